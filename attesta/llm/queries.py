@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .chat import OP9_SQL, op9_chat_format
 from .media import op10_media_columns
 from .secrets import op5_secret_scans
+from .warc import OP7_SQL, op7_warc
 
-QUERIES = {f.__name__: f for f in (op5_secret_scans, op10_media_columns)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_secret_scans, op7_warc, op9_chat_format, op10_media_columns)}
+ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op9_chat_format": OP9_SQL}
