@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from .chat import OP9_SQL, op9_chat_format
 from .media import op10_media_columns
+from .packing import op6_best_fit_packing
 from .secrets import op5_secret_scans
+from .tokenfiles import op8_token_files
+from .topk import OP3_SQL, op3_top_k
 from .warc import OP7_SQL, op7_warc
 
-QUERIES = {f.__name__: f for f in (op5_secret_scans, op7_warc, op9_chat_format, op10_media_columns)}
-ORACLES: dict[str, str] = {"op7_warc": OP7_SQL, "op9_chat_format": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op3_top_k, op5_secret_scans, op6_best_fit_packing, op7_warc, op8_token_files, op9_chat_format, op10_media_columns)}
+ORACLES: dict[str, str] = {"op3_top_k": OP3_SQL, "op7_warc": OP7_SQL, "op9_chat_format": OP9_SQL}
