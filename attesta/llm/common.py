@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch. Texts can be long, so batches stay short to bound a worker's memory.
 BATCH_ROWS = 256
@@ -60,3 +61,25 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | No
 
 def batch(**cols: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+
+def with_first(df: DataFrame, keys: list[str], value: str, salts: int = 64) -> DataFrame:
+    """``df`` with ``first``, the least ``value`` among the rows of equal ``keys``, and ``copies``, their number.
+
+    Keys are salted by a hash of ``value``: a key with a third of all rows is spread over ``salts`` tasks, partial
+    minima come first, and each key's minimum goes back to just the cells that hold its rows.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(salts)).cast("int"))
+    cells = salted.groupBy(*keys, "_salt").agg(F.min(value).alias("first"), F.count("*").alias("copies"))
+    firsts = cells.groupBy(*keys).agg(F.min("first").alias("first"), F.sum("copies").alias("copies"), F.collect_set("_salt").alias("_salt"))
+    return salted.join(firsts.withColumn("_salt", F.explode("_salt")), [*keys, "_salt"]).drop("_salt")
+
+
+def lookup(df: DataFrame, other: DataFrame, key: str, spread: str, salts: int = 64) -> DataFrame:
+    """Left join with ``other`` (one row for each ``key``), whose rows go to the (key, salt) cells that ``df`` has.
+
+    The salt is a hash of ``spread``, so a key with a third of all rows isn't gathered in one task.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    cells = salted.select(key, "_salt").distinct().join(other, key)
+    return salted.join(cells, [key, "_salt"], "left").drop("_salt")
