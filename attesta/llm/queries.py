@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op1_byte_bpe
 from .chat import OP9_SQL, op9_chat_format
 from .jaccard import op4_ngram_jaccard
 from .media import op10_media_columns
@@ -11,5 +12,5 @@ from .tokenfiles import op8_token_files
 from .topk import OP3_SQL, op3_top_k
 from .warc import OP7_SQL, op7_warc
 
-QUERIES = {f.__name__: f for f in (op3_top_k, op4_ngram_jaccard, op5_secret_scans, op6_best_fit_packing, op7_warc, op8_token_files, op9_chat_format, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_top_k, op4_ngram_jaccard, op5_secret_scans, op6_best_fit_packing, op7_warc, op8_token_files, op9_chat_format, op10_media_columns)}
 ORACLES: dict[str, str] = {"op3_top_k": OP3_SQL, "op7_warc": OP7_SQL, "op9_chat_format": OP9_SQL}
