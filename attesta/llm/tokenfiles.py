@@ -7,7 +7,8 @@ the same number of bytes, so that ``TokenFile`` maps the file and cuts sequence
 copying. A second stream beside it, the index, holds (doc_id, start in the file, n_tokens).
 
 Encoding runs the tokenizers library over the distinct space-separated chunks of a batch and keeps their ids in a
-bounded cache. That gives the ids of the whole text only for a tokenizer that drops white space and merges within
+bounded cache. Chunks are joined by a special token of the tokenizer, at which the library splits before anything else,
+so one call encodes many and its id tells them apart. That gives the ids of the whole text only for a tokenizer that drops white space and merges within
 words; for others, pass ``chunked=False``.
 
 Edge cases: null texts are empty and keep their end id; null ids come first; repeated rows are repeated documents; an
@@ -31,24 +32,36 @@ from .common import scratch, short_batches, table, written
 
 LENGTH = 2048  #: ids in a sequence
 ROWS = 64  #: sequences in a batch
-CACHE = 300_000  #: chunks whose ids a worker keeps
+CACHE = 800_000  #: chunks whose ids a worker keeps
 
 
 class Encoder:
     """Ids of texts as bytes of ``dtype``."""
 
     def __init__(self, path: str, chunked: bool = True):
+        """``chunked``: see above; needs a special token."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.chunked = chunked
+        self.marks = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special), reverse=True)
         self.cache: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_joined(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that hold no special token."""
+        mark = self.marks[0]
+        ids = np.array(self.tokenizer.encode_batch_fast([mark.join(chunks)], add_special_tokens=False)[0].ids, self.dtype)
+        raw, width = ids.tobytes(), self.dtype.itemsize
+        ends = [*np.flatnonzero(ids == self.tokenizer.token_to_id(mark)).tolist(), len(ids)]
+        if len(ends) != len(chunks):
+            raise ValueError("a chunk holds a special token")
+        return [raw[a * width : b * width] for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.chunked:
             return self._encode(texts)
@@ -56,9 +69,12 @@ class Encoder:
         if len(self.cache) > CACHE:
             self.cache.clear()
         missing = list(set().union(*split).difference(self.cache))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            self.cache.update(zip(part, self._encode(part), strict=True))
+        marked = [c for c in missing if any(m in c for m in self.marks)]
+        self.cache.update(zip(marked, self._encode(marked), strict=True))
+        missing = list(set(missing).difference(marked)) if marked else missing
+        for at in range(0, len(missing), 2048):
+            part = missing[at : at + 2048]
+            self.cache.update(zip(part, self._encode_joined(part), strict=True))
         get = self.cache.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
