@@ -10,7 +10,8 @@ from .packing import op6_best_fit_packing
 from .secrets import op5_secret_scans
 from .tokenfiles import op8_token_files
 from .topk import OP3_SQL, op3_top_k
+from .toxicity import op2_toxicity
 from .warc import OP7_SQL, op7_warc
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_top_k, op4_ngram_jaccard, op5_secret_scans, op6_best_fit_packing, op7_warc, op8_token_files, op9_chat_format, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_top_k, op4_ngram_jaccard, op5_secret_scans, op6_best_fit_packing, op7_warc, op8_token_files, op9_chat_format, op10_media_columns)}
 ORACLES: dict[str, str] = {"op3_top_k": OP3_SQL, "op7_warc": OP7_SQL, "op9_chat_format": OP9_SQL}
