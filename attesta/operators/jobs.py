@@ -32,7 +32,7 @@ def reap(jobs: DataFrame, as_of: Column, minutes: int = LEASE_MINUTES, attempts:
 def finish(jobs: DataFrame, outcomes: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
     """Outcomes (id, ok, error) applied: done, or queued again, or failed after the last attempt."""
     j = jobs.join(outcomes.select("id", "ok", F.col("error").alias("_error")), "id", "left")
-    state = F.when(F.col("ok").isNull(), F.col("state")).when("ok", "done").when(F.col("attempts") >= attempts, "failed").otherwise("queued")
+    state = F.when(F.col("ok").isNull(), F.col("state")).when(F.col("ok"), "done").when(F.col("attempts") >= attempts, "failed").otherwise("queued")
     return j.withColumn("state", state).withColumn("last_error", F.coalesce("_error", "last_error")).drop("ok", "_error")
 
 
