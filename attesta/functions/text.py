@@ -82,15 +82,26 @@ def banned_signal(key: Column | str, value: Column | str, banned: list[str]) ->
     return F.get(F.filter(strings(banned), lambda b: F.size(F.array_except(F.split(b, "_"), seen)) == 0), F.lit(0))
 
 
+def _joined_slice(words: Column, k: int):
+    return lambda i: F.array_join(F.slice(words, i, F.lit(k)), " ")
+
+
+def bound(c: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it (a lambda's free expressions aren't)."""
+    return F.transform(F.array(c), lambda x: f(x))[0]
+
+
 def ngram_windows(c: Column | str, longest: int = 3) -> Column:
     """Windows of ``longest`` to 1 words, larger first."""
-    words = F.filter(F.split(col(c), "[^A-Za-z0-9+#.]+"), lambda x: x != "")
-    n = F.size(words)
-    sizes = [
-        F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i, k=k: F.array_join(F.slice(words, i, k), " "))).otherwise(F.array().cast("array<string>"))
-        for k in range(longest, 0, -1)
-    ]
-    return F.concat(*sizes)
+
+    def windows(words: Column) -> Column:
+        n = F.size(words)
+        return F.concat(*[
+            F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), _joined_slice(words, k))).otherwise(F.array().cast("array<string>"))
+            for k in range(longest, 0, -1)
+        ])
+
+    return bound(F.filter(F.split(col(c), "[^A-Za-z0-9+#.]+"), lambda x: x != ""), windows)
 
 
 def squeezed(c: Column | str) -> Column:
@@ -140,7 +151,7 @@ def plain_reason(c: Column | str) -> Column:
 
 
 def comma_list(c: Column | str) -> Column:
-    return F.filter(F.transform(F.split(col(c), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(col(c), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def human_bytes(c: Column | str) -> Column:

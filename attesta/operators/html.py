@@ -79,8 +79,10 @@ def trimmed(window: Column, needle: Column, around: int = 160) -> Column:
     at = F.greatest(F.instr(F.lower(window), F.lower(needle)), F.lit(1))
     lo, hi = F.greatest(at - around, F.lit(1)), at + F.length(needle) + around
     cut = F.substr(window, lo, hi - lo)
-    cut = F.when(lo > 1, F.regexp_replace(cut, r"^\S*\s+", "")).otherwise(cut)
-    return F.when(hi <= F.length(window), F.regexp_replace(cut, r"\s+\S*$", "")).otherwise(cut)
+    within = lambda at: F.regexp_like(F.substr(window, at, F.lit(1)), F.lit(r"\S"))
+    cut = F.when((lo > 1) & within(lo - 1), F.regexp_replace(cut, r"^\S*\s+", "")).otherwise(cut)
+    cut = F.when((hi <= F.length(window)) & within(hi), F.regexp_replace(cut, r"\s+\S*$", "")).otherwise(cut)
+    return F.trim(cut)
 
 
 def title_near(window: Column, name: Column, cues: list[str], longest: int = 6) -> Column:

@@ -59,7 +59,7 @@ def components(requirements: DataFrame, claims: DataFrame, as_of: Column, pairs:
         F.min(F.when((F.col("claim_type") == "location") & names_foreign(F.col("claim_value")), F.trim("claim_value"))).alias("foreign_place"),
     )
     if pairs is None:
-        pairs = facts.select("subject_id").crossJoin(F.broadcast(requirements.select("req_id")))  # requirements: one row a search
+        pairs = claims.select("subject_id").distinct().crossJoin(F.broadcast(requirements.select("req_id")))  # requirements: one row a search
     base = pairs.join(facts, "subject_id", "left").join(skill, ["req_id", "subject_id"], "left").join(requirements, "req_id")
     total = F.aggregate("must_have", F.lit(0.0), lambda a, _: a + 1.0) + NICE_WEIGHT * F.size(F.array_except("nice_to_have", "must_have"))
     years = F.coalesce("stated_years", days_between(as_of, F.col("earliest")) / F.lit(365.25))

@@ -35,9 +35,13 @@ def _terms(t):
     return readers.terms_frame(t["documents"].sparkSession, TERMS)
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[^A-Za-z0-9+#.]+'), lambda x: x <> '') AS w FROM documents),
-g AS (SELECT doc_id, unnest(list_concat(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')), list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' ')), w)) AS win, generate_subscripts(list_concat(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')), list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' ')), w), 1) AS pos FROM w),
-h AS (SELECT doc_id, name, min(pos) AS pos FROM g JOIN """ + _ALIASES + """ ON regexp_replace(lower(win), '[^a-z0-9]', '', 'g') = key GROUP BY ALL)
+_W = "list_filter(regexp_split_to_array(text, '[^A-Za-z0-9+#.]+'), lambda x: x <> '')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({_W}) AS w, generate_subscripts({_W}, 1) AS i FROM documents),
+l AS (SELECT doc_id, i, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i AS pos, w || ' ' || w2 || ' ' || w3 AS win FROM l WHERE w3 IS NOT NULL UNION ALL SELECT doc_id, 10000000 + i, w || ' ' || w2 FROM l WHERE w2 IS NOT NULL UNION ALL SELECT doc_id, 20000000 + i, w FROM l),
+h AS (SELECT doc_id, name, min(pos) AS pos FROM g JOIN {_ALIASES} ON regexp_replace(lower(win), '[^a-z0-9]', '', 'g') = key GROUP BY ALL)
 SELECT doc_id, string_agg(name, '|' ORDER BY pos, name) AS names FROM h GROUP BY doc_id""")
 def ngram_dictionary_lookup(t):
     return D.terms_in_text(t["documents"], "doc_id", "text", _terms(t)).select("doc_id", joined("names").alias("names"))
@@ -86,14 +90,14 @@ def excluded_substring(t):
 
 @query("""WITH b AS (SELECT item_id, text AS s FROM benchmark WHERE length(text) > 0) SELECT doc_id, count(*) AS n FROM documents JOIN b ON contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(s, '\\s+', ' ', 'g')))) GROUP BY doc_id""")
 def quotable_containment(t):
-    """Benchmark passages that documents quote: candidates share the passage's first eight words, then containment decides."""
+    """Benchmark passages that documents quote: candidates share six of the passage's words, then containment decides."""
+    n = 6
     words = lambda c: F.split(text.squeezed(c), " ")
-    n = 8
-    b = t["benchmark"].where("length(text) > 0").select("item_id", F.col("text").alias("s"), F.slice(words("text"), 1, n).alias("head"))
-    # any word of a passage may be glued to another in a document only at its ends: keys leave out the first word
-    b = b.withColumn("key", F.array_join(F.slice("head", 2, n - 2), " "))
-    d = t["documents"].select("doc_id", "text", words("text").alias("w"))
-    grams = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 3), F.lit(1))), lambda i: F.array_join(F.slice("w", i, n - 2), " ")))).alias("key"))
+    # words at a passage's ends may be glued to others in a document: the key leaves out the first
+    b = t["benchmark"].where("length(text) > 0").select("item_id", F.col("text").alias("s"), F.array_join(F.slice(words("text"), 2, n), " ").alias("key"))
+    d = t["documents"].select("doc_id", "text")
+    windows = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
+    grams = d.select("doc_id", F.explode(text.bound(words("text"), windows)).alias("key"))
     hits = grams.join(b.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
     pairs = hits.join(b.select("item_id", "s"), "item_id").join(d.select("doc_id", "text"), "doc_id")
     return pairs.where(text.quotable(F.col("s"), F.col("text"))).groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -146,7 +150,7 @@ def page_text(t):
 def block_proximity(t):
     """Blocks near a page's first word, as name, with the second as employer; the first qualifying window of each."""
     p = t["pages"].select("page_id", html.page_text("html").alias("text"))
-    p = p.select("*", F.split(F.get(F.split("text", "\n"), F.lit(0)), " ").alias("w")).where("size(w) > 1").select("page_id", "text", F.col("w")[0].alias("name"), F.col("w")[1].alias("employer"))
+    p = p.select("*", F.split(F.get(F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit(" "))), F.lit(0)), " ").alias("w")).where("size(w) > 1").select("page_id", "text", F.col("w")[0].alias("name"), F.col("w")[1].alias("employer"))
     w = html.block_windows(p, "page_id", "text", F.col("name"), F.col("employer"))
     found = w.join(p.select("page_id", "name", "employer"), "page_id")
     best = html.corroborations(found, "page_id", text.signal_tokens("employer"))
@@ -225,7 +229,7 @@ def strong_keys(t):
     return t["documents"].select("doc_id", urls.strong_keys("text")["email_sha256"].alias("email")).where("email IS NOT NULL")
 
 
-@query("""SELECT p_partkey, CASE WHEN b < 1024 THEN printf('%.0f B', b::DOUBLE) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0::DOUBLE) ELSE printf('%.1f MB', b / 1048576.0::DOUBLE) END AS shown FROM (SELECT p_partkey, p_partkey * p_size AS b FROM part)""")
+@query("""SELECT p_partkey, CASE WHEN b < 1024 THEN printf('%.0f B', b::DOUBLE) WHEN b < 1048576 THEN printf('%.1f KB', round(b / 1024.0::DOUBLE, 1)) ELSE printf('%.1f MB', round(b / 1048576.0::DOUBLE, 1)) END AS shown FROM (SELECT p_partkey, p_partkey * p_size AS b FROM part)""")
 def human_bytes(t):
     return t["part"].select("p_partkey", text.human_bytes(F.col("p_partkey") * F.col("p_size")).alias("shown"))
 
@@ -236,7 +240,7 @@ def page_classifier(t):
 
 
 @query("""WITH e AS (SELECT user_id, epoch(ts) AS s FROM events), g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s) < 21600 THEN 0 ELSE 1 END AS new FROM e),
-n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s) AS k FROM g) SELECT user_id, CAST(min(s) AS BIGINT) AS start_s, count(*) AS n FROM n GROUP BY user_id, k""")
+n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s) AS k FROM g) SELECT user_id, CAST(floor(min(s)) AS BIGINT) AS start_s, count(*) AS n FROM n GROUP BY user_id, k""")
 def activity_sessions(t):
     e = t["events"].select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     return e.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.unix_seconds("w.start").alias("start_s"), "n")
