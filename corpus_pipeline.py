@@ -26,12 +26,13 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents, the one of least doc_id stays; without doc_id, all stay."""
-    classes = jaccard.join(docs, SHINGLE, NUM, DEN)
-    dropped = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    classes = written(jaccard.join(docs, SHINGLE, NUM, DEN).select("doc_id", "component_id"), "classes")
+    dropped = written(classes.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")  # broadcast by Spark only if its files are small
     kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    if classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
     # rows that repeat a kept doc_id are copies of it as well
-    ones, nulls = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), kept.where("doc_id IS NULL")
-    return ones.unionByName(nulls)
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
