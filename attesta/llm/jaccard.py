@@ -14,12 +14,15 @@ global token order. The steps:
 4. Sets that share a cell are candidates if lengths and sketches of the sets (parities of 1,024 cells; counts as well for
    large sets), whose differences bound the symmetric difference from below, allow a link. First each cell's sets pair with one leader; verified links make components.
    Then the sets of a cell pair across components only: within one a further link changes nothing. So a group of
-   near copies takes about a pair a member, not all pairs.
+   near copies takes about a pair a member, not all pairs, to find its component.
 5. A candidate pair whose prefixes under orders 3 or 4 (further hashes) are disjoint goes; what passes all orders is
    verified on the whole sets.
+6. Links are counted apart: each lies within a component, so all pairs of a component's sets are compared, whole sets
+   against whole sets. A component is cut into blocks by a hash; a cell is a pair of blocks, and gives counts, not pairs.
 
 Edge cases: null, empty and blank texts have empty sets, link with nothing and are their own component; texts of
-fewer words than a shingle are one shingle; rows that repeat a doc_id are one vertex (their sets all count for it);
+fewer words than a shingle are one shingle; rows that repeat a doc_id share a component (that of all their sets), but
+each has the links of its own set;
 null doc_ids link with nothing and have a null component; an empty table gives an empty result; further columns are
 ignored.
 """
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import lookup, short_batches, table, with_first, written
@@ -41,6 +44,7 @@ from .components import components
 PARITY = 1024  #: bits of a set's parity sketch
 CELLS = 1024  #: cells of a large set's histogram
 LARGE = 3000  #: tokens of a large set
+BLOCK, BLOCK_TOKENS = 512, 500_000  #: sets, and tokens of all sets, in a block of a component (on average)
 WORDS_KEPT = 400_000  #: word hashes that a worker keeps
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -196,11 +200,87 @@ def _may_link(num: int, den: int) -> str:
     )
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """|A and B| of each set of ``left`` with each of ``right``."""
+    _, at = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    cut = sum(map(len, left))
+    mine, theirs, size = at[:cut], at[cut:], int(at.max()) + 1
+    rows, cols = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (left, right))
+    df = np.bincount(theirs, minlength=size)
+    dense = df > max(8, len(right) // 8)  # these by a product of matrices, the others by lists
+    place = np.cumsum(dense) - 1
+    x, y = (np.zeros((len(v), int(dense.sum())), np.float32) for v in (left, right))
+    x[rows[dense[mine]], place[mine[dense[mine]]]] = 1
+    y[cols[dense[theirs]], place[theirs[dense[theirs]]]] = 1
+    both = np.rint(x @ y.T).astype(np.int64)
+    owners = cols[np.argsort(theirs, kind="stable")]
+    start = np.cumsum(df) - df
+    few = np.where(dense, 0, df)
+    bounds = np.cumsum([0, *map(len, left)])
+    for i in range(len(left)):
+        t = mine[bounds[i] : bounds[i + 1]]
+        n = few[t]
+        if total := int(n.sum()):
+            both[i] += np.bincount(owners[np.repeat(start[t] - (np.cumsum(n) - n), n) + np.arange(total)], minlength=len(right))
+    return both
+
+
+def _link_counts(classes: DataFrame, folded: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(first, set_links, row_links): with how many other sets each linked set links, and how many rows have those."""
+
+    def count(cell: pa.Table) -> pa.Table:
+        x = [np.frombuffer(s.as_buffer(), np.uint64) for s in cell["set"]]
+        ids, copies, block = (cell[c].to_numpy() for c in ("first", "copies", "block"))
+        n = np.array([len(s) for s in x])
+        u, v = cell["a"][0].as_py(), cell["b"][0].as_py()
+        i, j = np.flatnonzero(block == u), np.flatnonzero(block == v)
+        links = np.zeros((len(x), 2), np.int64)
+        if len(i) and len(j):
+            both = _common([x[k] for k in i], [x[k] for k in j])
+            ok = den * both >= num * (n[i][:, None] + n[j][None, :] - both)
+            if u == v:
+                np.fill_diagonal(ok, False)
+            else:
+                links[j] = np.stack([ok.sum(0), copies[i] @ ok], 1)
+            links[i] = np.stack([ok.sum(1), ok @ copies[j]], 1)
+        return pa.table({"first": ids, "set_links": links[:, 0].copy(), "row_links": links[:, 1].copy()})
+
+    members = folded.where("doc_id = first").select("first", "n", "copies").distinct().join(classes, "first")
+    sizes = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("tokens"), F.sum("copies").alias("held"))
+    placed = written(lookup(members, sizes, "component", "first"), "members")
+    two = placed.where("m = 2").select("first", F.lit(1).cast("long").alias("set_links"), (F.col("held") - F.col("copies")).alias("row_links"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("long")
+    many = placed.where("m > 2").select("first", "component", "copies", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("first", F.lit(5)), "blocks"))
+    whole = many.join(sets.where("n > 0").select(F.col("doc_id").alias("first"), "set"), "first")
+    cells = whole.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = cells.select("first", "copies", "set", "block", "component", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+    found = cells.groupBy("component", "a", "b").applyInArrow(count, "first long, set_links long, row_links long")
+    return two.unionByName(found.groupBy("first").agg(F.sum("set_links").alias("set_links"), F.sum("row_links").alias("row_links")))
+
+
+def row_key() -> Column:
+    """Tells the texts of a repeated doc_id apart; null without doc_id."""
+    return F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+
+
+def _repeated(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``join`` where rows of one doc_id have different sets: joined by key, then components meet by doc_id."""
+    keyed = docs.select(row_key().alias("key"), "doc_id", "text")
+    got = written(join(keyed.select(F.col("key").alias("doc_id"), "text"), k, num, den).withColumnRenamed("doc_id", "key"), "keyed")
+    ids = keyed.select("key", "doc_id").distinct()
+    rows = written(lookup(got.where("key IS NOT NULL").withColumn("_row", F.monotonically_increasing_id()), ids, "key", "_row").drop("_row", "key"), "rows")
+    ends = rows.groupBy("doc_id").agg(F.min("component_id").alias("a"))
+    same = components(rows.select("doc_id", F.col("component_id").alias("b")).distinct().join(ends, "doc_id").select("a", "b"))
+    placed = lookup(rows, same.withColumnRenamed("id", "component_id"), "component_id", "doc_id").withColumn("group", F.coalesce("component", "component_id"))
+    out = with_first(placed.withColumnRenamed("copies", "rows"), ["group"], "doc_id").select("doc_id", "n_shingles", F.col("first").alias("component_id"), F.col("rows").alias("copies"), "set_links", "n_links")
+    return out.unionByName(got.where("key IS NULL").withColumnRenamed("key", "doc_id"))
+
+
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id, copies, verified_links) of each document.
+    """(doc_id, n_shingles, component_id, copies, set_links, n_links) of each document.
 
-    ``copies`` counts the rows with the same set; ``verified_links`` the links that were verified for it with other sets
-    (enough to span its component, not all).
+    ``copies`` counts the rows with the same set, itself included; ``set_links`` the other sets that its set links with;
+    ``n_links`` the other rows that it links with, those of the same set included.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -208,6 +288,8 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     rows = written(_signatures(docs, k, num, den), "signatures")
     some = F.expr("n > 0 AND doc_id IS NOT NULL")
     folded = written(with_first(rows.where(some).select("doc_id", "n", "fp1", "fp2"), ["fp1", "fp2"], "doc_id"), "folded")
+    if not folded.groupBy("doc_id").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("fp1", "fp2") for f in (F.min, F.max))).where("min_fp1 <> max_fp1 OR min_fp2 <> max_fp2").isEmpty():
+        return _repeated(docs, k, num, den)
     reps = folded.where("doc_id = first").select("doc_id", "fp1", "fp2").distinct()
     reps = rows.join(reps, ["doc_id", "fp1", "fp2"], "left_semi")
     least = reps.groupBy("doc_id").agg(F.min("least").alias("least"))
@@ -244,16 +326,14 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     across = left.alias("x").join(left.alias("y"), F.expr(f"x.t = y.t AND x.component < y.component AND {condition}"))
     links = written(links.unionByName(_verified(ordered(across), sets, num, den)).distinct(), "links2")
 
-    # a doc_id of several sets joins their classes
-    least = folded.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a <> b").select("doc_id", "a")
-    same = folded.join(least, "doc_id").where("first <> a").select("a", F.col("first").alias("b")).distinct()
-    degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count("*").alias("verified_links"))
-    classes = components(links.unionByName(same)).withColumnRenamed("id", "first").join(degree, "first", "left")
-    known_rows = lookup(folded.select("doc_id", "n", "first", "copies"), classes, "first", "doc_id").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component_id"), "copies", F.coalesce("verified_links", F.lit(0)).cast("long").alias("verified_links")
+    classes = written(components(links).withColumnRenamed("id", "first"), "components2")
+    known = classes.join(_link_counts(classes, folded, sets, num, den), "first", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    known_rows = lookup(folded.select("doc_id", "n", "first", "copies"), known, "first", "doc_id").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component_id"), "copies", zero("set_links").alias("set_links"), (zero("row_links") + F.col("copies") - 1).alias("n_links")
     )
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    rest = rows.where(~F.coalesce(some, F.lit(False))).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), one.alias("copies"), none.alias("verified_links"))
+    rest = rows.where(~F.coalesce(some, F.lit(False))).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), one.alias("copies"), none.alias("set_links"), none.alias("n_links"))
     return known_rows.unionByName(rest)
 
 

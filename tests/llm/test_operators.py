@@ -161,6 +161,32 @@ def test_jaccard_brute_force(spark, k, num):
     assert jaccard.join(df.where("false"), k, num, 100).count() == 0
 
 
+@pytest.mark.parametrize(("k", "num", "block"), [(3, 90, 512), (5, 80, 4)])
+def test_jaccard_counts_every_link(spark, k, num, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    r = random.Random(num)
+    word = lambda: r.choice("abcdefghijklmnop") + r.choice("xyzuvw") + str(r.randint(0, 9))
+    rows = []
+    for size in (1, 2, 2, 3, 6, 20, 40):
+        t = [word() for _ in range(150)]
+        for _ in range(size):
+            c = list(t)
+            for _ in range(r.randint(0, 4)):
+                c[r.randrange(len(c))] = word()
+            rows += [(len(rows) + i, " ".join(c)) for i in range(r.choice([1, 1, 1, 3]))]
+    rows += [(len(rows) + i, t) for i, t in enumerate(EDGE)] + [(None, rows[0][1])]
+
+    def want(rows):
+        sets = [_sets(t, k) if i is not None else frozenset() for i, t in rows]
+        linked = [[j for j, t in enumerate(sets) if s and t and 100 * len(s & t) >= num * len(s | t)] for s in sets]
+        return collections.Counter((i, len({sets[j] for j in x if sets[j] != s}), len([j for j in x if j != at])) for at, ((i, _), s, x) in enumerate(zip(rows, sets, linked, strict=True)))
+
+    got = lambda rows: collections.Counter((x.doc_id, x.set_links, x.n_links) for x in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), k, num, 100).collect())
+    assert got(rows) == want(rows)
+    rows += [(0, rows[-20][1]), (0, rows[0][1]), (1, rows[-30][1]), (1, None)]  # doc_ids of several sets
+    assert got(rows) == want(rows)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 202), (200, 200)]
     got = {x.id: x.component for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
