@@ -237,3 +237,18 @@ def test_streams(spark, name, tmp_path):
         assert (dt.datetime(2024, 1, 1), 25) in full
     else:
         assert out.count() in (0, 2)
+
+
+def test_regions_drop_covered_takes_every_customer(spark):
+    from attesta.plans import text_queries
+
+    d = "/root/testdata/sf0.001"
+    region = {r.r_regionkey: r.r_name for r in spark.read.parquet(f"{d}/region.parquet").collect()}
+    nation = {r.n_nationkey: (region[r.n_regionkey], r.n_name) for r in spark.read.parquet(f"{d}/nation.parquet").collect()}
+    codes = {}
+    for r in spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_nationkey").collect():
+        x, y = nation[r.c_nationkey]
+        codes.setdefault(r.c_custkey % 100, set()).update((x, f"{x}-{y}"))
+    want = {k: {c for c in v if not any(e != c and e.startswith(c) for e in v)} for k, v in codes.items()}
+    got = text_queries.QUERIES["regions_drop_covered"][0](spark, d).collect()
+    assert {r.k: set(r.codes.split("|")) for r in got} == want and len(got) == len(want)
