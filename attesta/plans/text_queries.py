@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text, urls
-from ..operators import claims, dictionary as D, html, layout
+from ..operators import claims, dictionary as D, html, layout, panels
 from ..sources import readers
 from . import pipelines
 
@@ -235,10 +235,16 @@ def human_bytes(t):
 
 
 @query("""SELECT source, count(*) AS n, count(*) FILTER (WHERE lang = 'en') AS english, count(*) FILTER (WHERE n_chars > 1000) AS long FROM documents GROUP BY 1""")
-def page_classifier(t):
+def documents_by_source(t):
     return t["documents"].groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("english"), F.count_if(F.col("n_chars") > 1000).alias("long"))
 
 
+@query(None)
+def page_classifier(t):
+    """What each page shows: rendered, authwalled, has_experience and its number of dated ranges."""
+    return t["pages"].select("page_id", html.page_text("html").alias("text")).select("page_id", *panels.page_fields(F.col("text")))
+
+
 @query("""WITH e AS (SELECT user_id, epoch(ts) AS s FROM events), g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s) < 21600 THEN 0 ELSE 1 END AS new FROM e),
 n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s) AS k FROM g) SELECT user_id, CAST(floor(min(s)) AS BIGINT) AS start_s, count(*) AS n FROM n GROUP BY user_id, k""")
 def activity_sessions(t):

@@ -24,3 +24,25 @@ def test_panels(spark):
     assert panels.overview_fields(lines).first().fields == {"website": "https://x.y", "size": "11-50 employees", "industry": "Tools", "founded": "1999"}
     r = spark.range(1).select(panels.link_url(F.lit("github"), F.lit("me")).alias("a"), panels.link_url(F.lit("phone"), F.lit("1")).alias("b"), panels.find_more(F.lit(False), F.lit(3), 3).alias("c"), panels.page_state(F.lit("Sign in to see")).alias("d"), panels.page_state(F.lit("2016 - Present")).alias("e")).first()
     assert tuple(r) == ("https://github.com/me", None, "deepest", "walled", "dated")
+
+
+def test_page_classifier_reads_whole_texts(spark):
+    import re
+
+    from attesta.plans import text_queries
+
+    dated = re.compile(r"\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\.?\s+\d{4}\s*[-–—]\s*(Present|[A-Z][a-z]{2}\w*\.?\s+\d{4})", re.IGNORECASE)
+
+    def want(text):
+        low = (text or "").lower()
+        walled = any(m in low for m in ("join linkedin", "authwall", "sign in to see"))
+        return len(text or "") > 5000 and not walled, walled, "experience" in low, len(dated.findall(text or ""))
+
+    long = "word " * 1100
+    texts = [None, "", "Jan 2019 - Present", "JANUARY. 2019–mar 2021, Sept 2020 — Present", "2016 - Present", "AUTHWALL", long, long + "Sign in to See", long + "Experience Feb 2020 - Mar 2021 " * 3, "x" * 5000, "😀" * 5001, "MyJan 2019 - Present", "Jan\u00a02019 - Present"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r[0]: tuple(r)[1:] for r in df.select("i", *panels.page_fields(F.col("text"))).collect()}
+    assert got == {i: want(t) for i, t in enumerate(texts)}
+    d = "/root/testdata/sf0.001"
+    pages = {r.page_id: want(r.text) for r in text_queries.QUERIES["page_text"][0](spark, d).collect()}
+    assert {r.page_id: tuple(r)[1:] for r in text_queries.QUERIES["page_classifier"][0](spark, d).collect()} == pages
