@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.llm import jaccard, packing, secrets, toxicity
-from attesta.llm.common import short_batches, table, written
+from attesta.llm.common import short_batches, table, with_first, written
 
 #: Near duplicates here: five-word shingles, similarity 0.8.
 SHINGLE, NUM, DEN = 5, 80, 100
@@ -25,14 +25,22 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents, the one of least doc_id stays; without doc_id, all stay."""
-    classes = written(jaccard.join(docs, SHINGLE, NUM, DEN).select("doc_id", "component_id"), "classes")
-    dropped = written(classes.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")  # broadcast by Spark only if its files are small
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    if classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    # rows that repeat a kept doc_id are copies of it as well
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """Of each component of linked documents, the one of least doc_id stays; without doc_id, all stay.
+
+    Rows that repeat a doc_id with other texts are documents of their own: the one of least (doc_id, key) stays.
+    """
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        classes = written(jaccard.join(docs, SHINGLE, NUM, DEN).select("doc_id", "component_id"), "classes")
+        dropped = written(classes.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")  # broadcast by Spark only if its files are small
+        return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    keyed = docs.withColumn("_key", jaccard.row_key())
+    classes = jaccard.join(keyed.select(F.col("_key").alias("doc_id"), "text"), SHINGLE, NUM, DEN).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    ranked = classes.join(keyed.select("_key", "doc_id").distinct(), "_key").select("component_id", F.struct("doc_id", "_key").alias("v"))
+    best = written(with_first(ranked, ["component_id"], "v").where("v = first").select("v._key"), "kept")
+    # rows of one doc_id and text are copies: one stays, the first by the other columns
+    order = Window.partitionBy("_key").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], "doc_id")
+    kept = keyed.join(best, "_key", "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").select(docs.columns)
+    return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,3 +38,12 @@ def test_stages(spark, tmp_path):
         bins[r.bin_id] += r.n_bytes + 1
     assert max(bins.values()) <= packing.CAPACITY
     assert pipeline.near_duplicates(spark, docs.where(F.lit(False)), str(tmp_path)).count() == 0
+
+
+def test_repeated_ids_of_different_texts(spark, tmp_path):
+    a, b, c = (" ".join(f"{w}{j}" for j in range(60)) for w in "abc")
+    rows = [(0, a, "s"), (1, a + " tail", "s"), (1, b, "s"), (2, "", "s"), (2, c, "t"), (2, c, "s"), (None, a, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [rows[0], rows[2], rows[3], rows[5], rows[6]]))
