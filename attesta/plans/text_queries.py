@@ -90,17 +90,20 @@ def excluded_substring(t):
 
 @query("""WITH b AS (SELECT item_id, text AS s FROM benchmark WHERE length(text) > 0) SELECT doc_id, count(*) AS n FROM documents JOIN b ON contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(s, '\\s+', ' ', 'g')))) GROUP BY doc_id""")
 def quotable_containment(t):
-    """Benchmark passages that documents quote: candidates share six of the passage's words, then containment decides."""
-    n = 6
+    """Benchmark passages that documents quote: candidates share up to six of the passage's words, then containment decides."""
     words = lambda c: F.split(text.squeezed(c), " ")
-    # words at a passage's ends may be glued to others in a document: the key leaves out the first
-    b = t["benchmark"].where("length(text) > 0").select("item_id", F.col("text").alias("s"), F.array_join(F.slice(words("text"), 2, n), " ").alias("key"))
+    # words at a passage's ends may be glued to others in a document: the key takes inner ones
+    b = t["benchmark"].where("length(text) > 0").select("item_id", F.col("text").alias("s"), F.least(F.lit(6), F.size(words("text")) - 2).alias("n"))
+    keyed = b.where("n > 0").select("item_id", "s", "n", F.array_join(F.slice(words("s"), F.lit(2), F.col("n")), " ").alias("key"))
     d = t["documents"].select("doc_id", "text")
-    windows = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
-    grams = d.select("doc_id", F.explode(text.bound(words("text"), windows)).alias("key"))
-    hits = grams.join(b.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    pairs = hits.join(b.select("item_id", "s"), "item_id").join(d.select("doc_id", "text"), "doc_id")
-    return pairs.where(text.quotable(F.col("s"), F.col("text"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    windows = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (F.col("n") - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.col("n")), " ")))
+    lengths = F.broadcast(keyed.select("n").distinct())  # six at most
+    grams = d.crossJoin(lengths).select("doc_id", F.explode(text.bound(words("text"), windows)).alias("key"))
+    hits = grams.join(keyed.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    pairs = hits.join(b.select("item_id", "s"), "item_id").join(d, "doc_id").where(text.quotable(F.col("s"), F.col("text"))).select("doc_id")
+    # passages of one or two words have no inner word
+    short = d.where("text IS NOT NULL").join(b.where("n <= 0").select("s"), text.quotable(F.col("s"), F.col("text"))).select("doc_id")
+    return pairs.unionByName(short).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 _JD = "CASE o_orderkey % 5 WHEN 0 THEN (o_orderkey % 7)::VARCHAR || '-' || (o_orderkey % 11)::VARCHAR || ' years' WHEN 1 THEN 'at least ' || (o_orderkey % 9)::VARCHAR || ' years' WHEN 2 THEN (o_orderkey % 12)::VARCHAR || '+ years of it' WHEN 3 THEN (o_orderkey % 4)::VARCHAR || ' to ' || (o_orderkey % 13)::VARCHAR || ' yrs' ELSE 'no demands' END"

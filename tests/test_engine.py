@@ -252,3 +252,18 @@ def test_regions_drop_covered_takes_every_customer(spark):
     want = {k: {c for c in v if not any(e != c and e.startswith(c) for e in v)} for k, v in codes.items()}
     got = text_queries.QUERIES["regions_drop_covered"][0](spark, d).collect()
     assert {r.k: set(r.codes.split("|")) for r in got} == want and len(got) == len(want)
+
+
+def test_quotable_containment_of_short_passages(spark):
+    import inspect
+
+    from attesta.plans import text_queries
+
+    words = "the old mill stands by a quiet river near town".split()
+    passages = [" ".join(words[i : i + n]) for n in range(1, 10) for i in range(len(words) - n + 1)] + ["", "Old  Mill", "no such words", "ill stan"]
+    texts = ["(The old mill stands by a quiet river near town.)", "xthe old mill stands", "by a\nquiet river, near", "stands", "", None, "a quiet", "mill stands by a quiet rivers"]
+    t = {"benchmark": spark.createDataFrame(list(enumerate(passages)), "item_id long, text string"), "documents": spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")}
+    squeezed = lambda x: " ".join(x.split()).lower()
+    want = {i: sum(squeezed(p) in squeezed(x) for p in passages if p) for i, x in enumerate(texts) if x is not None}
+    f = inspect.getclosurevars(text_queries.QUERIES["quotable_containment"][0]).nonlocals["f"]
+    assert {r.doc_id: r.n for r in f(t).collect()} == {i: n for i, n in want.items() if n}
