@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,10 +28,13 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests on one machine, a temporary one is made.
+    A session on one machine that names none gets a temporary one; on a cluster that is an error, as executors would
+    write where nobody else reads.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^,\]]+(,\s*\d+)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="attesta-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,7 +49,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage is cut, lost executors lose nothing."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the folders of frames that ``written`` gave, once all that reads them has itself been written."""
+    for df in frames:
+        remove(df.sparkSession, df.written_path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in the store that holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
