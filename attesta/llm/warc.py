@@ -1,20 +1,24 @@
 """WARC archives with revisit records.
 
-Resolving. Digests of payloads are made by Spark; headers (not payloads) are shuffled by digest and salt, partial
-minima first, so that a payload that a third of the pages share is spread over ``SALTS`` tasks. Digests that occur
-once drop out; the others' originals are sent back to just the (digest, salt) cells that hold their copies, and the
-pages join them there. The payload of least page_id is the response; equal payloads of at least ``LEAST`` bytes
-become revisit records of it. Smaller ones are all responses.
+Capturing. Every task streams its pages to an archive of its own in the shared folder, a gzip member each, and hands on
+their headers only: id, address, payload digest and length, and where the member lies. Payloads move no further.
 
-Writing. Every task streams its records to one archive in the shared folder, a gzip member each, with headers made
-anew. A revisit record holds no payload, only the original's id, address and digest.
+Resolving. Headers are shuffled by digest and salt, partial minima first, so that a payload that a third of the pages
+share is spread over ``SALTS`` tasks. Digests that occur once drop out; the others' originals are sent back to just the
+(digest, salt) cells that hold their copies, and the headers join them there. The record of least page_id (then url and
+place) is the response; records of equal payloads of at least ``LEAST`` bytes become revisits of it. Smaller ones are
+all responses.
+
+Writing. Resolved headers are ranged by place, so that a task reads a stretch of captured archives from front to back;
+it writes one deduplicated archive with headers made anew, a warcinfo record first. A revisit record holds no payload,
+only the original's id, address and digest, and its captured member isn't read.
 
 Reading. ``read`` walks the members of an archive as a stream, parses the headers, checks each response's payload
 against its stated length and digest.
 
-Edge cases: a null html is an empty payload; null page_ids sort last, and a revisit of one has a null refers_to;
-rows that repeat the least page_id are all responses; a null url is left out of the header; an empty table gives an
-empty result; further columns are ignored.
+Edge cases: a null html is an empty payload; payloads of any length are taken whole; null page_ids sort last, and a
+revisit of one has a null refers_to; of rows that repeat the least page_id one is the response and the others revisit
+it; a null url is left out of the header; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +35,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
-from .common import scratch, short_batches, table, written
+from .common import discard, remove, scratch, short_batches, table, written
 
 LEAST = 100  #: bytes from which equal payloads are resolved
+ARCHIVE, SHARE = 256 << 20, 4 << 20  #: bytes of captured members that make an archive; small corpora still share cores by the second
 SALTS = 64  #: cells that one digest is spread over
 DATE = "2024-01-01T00:00:00Z"  #: date stated in the records: an argument of the job, never the clock
 CHUNK = 1 << 20
@@ -43,30 +48,58 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def resolve(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) with payload, digest, n_bytes and, where they revisit, the original's id and url."""
-    heads = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload")).select(
-        "*",
-        F.sha2("payload", 256).alias("digest"),
-        F.octet_length("payload").cast("long").alias("n_bytes"),
-        F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"),
-    )
-    first = F.min(F.struct(F.col("page_id").isNull().alias("late"), "page_id", F.col("url")))
+HEADS = "page_id long, url string, digest string, n_bytes long, path string, at long, size long"
+
+
+def capture(pages: DataFrame, folder: str) -> DataFrame:
+    """pages(page_id, url, html) written where they are read; the headers of their records (``HEADS``)."""
+    short_batches(pages.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, at, path = None, 0, f"{folder}/{files.attempt_name()}.captured.gz"
+        for b in batches:
+            rows = []
+            for page_id, url, html in zip(*(b.column(c) for c in range(3)), strict=True):
+                out = out or files.create(path)
+                payload = html.as_buffer().to_pybytes() if html.is_valid else b""
+                row = {"page_id": page_id.as_py(), "url": url.as_py(), "digest": hashlib.sha256(payload).hexdigest(), "n_bytes": len(payload)}
+                data = member(record(row | {"revisit": False, "payload": payload}), 1)
+                out.write(data)
+                rows.append((*row.values(), path, at, len(data)))
+                at += len(data)
+            if rows:
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "digest", "n_bytes", "path", "at", "size"])
+        if out:
+            out.close()
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode("html", "UTF-8").alias("html")).mapInArrow(run, HEADS)
+
+
+def resolve(heads: DataFrame) -> DataFrame:
+    """Headers with ``revisit`` and, where they revisit, the original's id and url."""
+    heads = heads.withColumn("salt", F.pmod(F.xxhash64("path", "at"), F.lit(SALTS)).cast("int"))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("late"), "page_id", "url", "path", "at"))
     cells = heads.where(F.col("n_bytes") >= LEAST).groupBy("digest", "salt").agg(first.alias("first"), F.count("*").alias("n"))
     originals = (
         cells.groupBy("digest")
         .agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts"))
         .where("n > 1")
-        .select("digest", F.explode("salts").alias("salt"), F.lit(True).alias("shared"), F.col("first.page_id").alias("original_id"), F.col("first.url").alias("original_url"))
+        .select("digest", F.explode("salts").alias("salt"), "first")
     )
-    revisit = F.col("shared").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original_id"))
+    revisit = F.col("first").isNotNull() & ~((F.col("path") == F.col("first.path")) & (F.col("at") == F.col("first.at")))
     return heads.join(originals, ["digest", "salt"], "left").select(
-        "page_id", "url", "digest", "n_bytes", revisit.alias("revisit"),
-        F.when(revisit, F.col("original_id")).alias("original_id"), F.when(revisit, F.col("original_url")).alias("original_url"),
-        F.when(~revisit, F.col("payload")).alias("payload"),
+        "page_id", "url", "digest", "n_bytes", "path", "at", "size", revisit.alias("revisit"),
+        F.when(revisit, F.col("first.page_id")).alias("original_id"), F.when(revisit, F.col("first.url")).alias("original_url"),
     )
 
 
+def member(raw: bytes, level: int = 3) -> bytes:
+    """A record as a gzip member."""
+    z = zlib.compressobj(level, wbits=31)
+    return z.compress(raw) + z.flush()
+
+
 def _record_id(page_id: int | None, url: str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}\n{url}\n{digest}')}>"
 
@@ -77,7 +110,7 @@ def _address(url: str) -> str:
 
 def record(row: dict, date: str = DATE) -> bytes:
     """One record: headers, then an HTTP message, whose body a revisit leaves out."""
-    body = row["payload"] or b""
+    body = row.get("payload") or b""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['n_bytes']}\r\n\r\n".encode()
     block = http if row["revisit"] else http + body
     head = [
@@ -103,24 +136,56 @@ def record(row: dict, date: str = DATE) -> bytes:
     return f"{VERSION}\r\n{''.join(f'{k}: {v}\r\n' for k, v in head)}\r\n".encode() + block + b"\r\n\r\n"
 
 
+def information(date: str = DATE) -> bytes:
+    """The record that opens an archive."""
+    body = b"software: attesta\r\nformat: WARC File Format 1.1\r\n"
+    head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, date)}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields"), ("Content-Length", len(body))]
+    return f"{VERSION}\r\n{''.join(f'{k}: {v}\r\n' for k, v in head)}\r\n".encode() + body + b"\r\n\r\n"
+
+
 def write(resolved: DataFrame, folder: str) -> DataFrame:
-    """Writes the archives; a row for each: path, records, bytes."""
-    short_batches(resolved.sparkSession)
+    """Writes the archives from captured members; a row for each: path, records, bytes."""
+    spark = resolved.sparkSession
+    total = resolved.agg(F.sum("size")).first()[0] or 0
+    n = max(1, -(-total // ARCHIVE), min(2 * spark.sparkContext.defaultParallelism, -(-total // SHARE)))
+    ranged = resolved.repartitionByRange(int(n), "path", "at").sortWithinPartitions("path", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n, size, path = None, 0, 0, f"{folder}/{files.attempt_name()}.warc.gz"
+        source, opened = None, None
         for b in batches:
             for row in b.to_pylist():
-                out = out or files.create(path)
-                z = zlib.compressobj(3, wbits=31)
-                data = z.compress(record(row)) + z.flush()
-                out.write(data)
+                if out is None:
+                    out = files.create(path)
+                    out.write(data := member(information()))
+                    size = len(data)
+                if not row["revisit"]:
+                    if opened != row["path"]:
+                        if source:
+                            source.close()
+                        source, opened = files.source(row["path"]), row["path"]
+                    source.seek(row["at"])
+                    row["payload"] = parse(zlib.decompress(source.read(row["size"]), wbits=31))["payload"]
+                out.write(data := member(record(row)))
                 n, size = n + 1, size + len(data)
+        if source:
+            source.close()
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [n], "bytes": [size]})
 
-    return resolved.mapInArrow(run, "path string, records long, bytes long")
+    return ranged.mapInArrow(run, "path string, records long, bytes long")
+
+
+def archive(pages: DataFrame, folder: str) -> DataFrame:
+    """Deduplicated archives of pages(page_id, url, html) in ``folder``; a row for each."""
+    caught = scratch(pages.sparkSession, "captured")
+    heads = written(capture(pages, caught), "heads")
+    resolved = written(resolve(heads), "resolved")
+    out = written(write(resolved, folder), "warc-manifest")
+    discard(heads, resolved)
+    remove(pages.sparkSession, caught)
+    return out
 
 
 def members(stream: pa.NativeFile) -> Iterator[bytes]:
@@ -165,6 +230,8 @@ def read(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
                 with files.source(path) as stream:
                     for raw in members(stream):
                         h = parse(raw)
+                        if h["warc-type"] not in ("response", "revisit"):
+                            continue
                         n, digest = int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha256:")
                         p = h["payload"]
                         if p is not None and (len(p) != n or hashlib.sha256(p).hexdigest() != digest):
@@ -183,16 +250,15 @@ def read(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = scratch(spark, "warc")
-    return read(written(write(resolve(table(spark, sf_dir, "pages")), folder), "warc-manifest"))
+    return read(archive(table(spark, sf_dir, "pages"), scratch(spark, "warc")))
 
 
 OP7_SQL = """
 WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, url, CAST(octet_length(b) AS BIGINT) AS n, sha256(b) AS h FROM p),
-m AS (SELECT h, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY h)
-SELECT page_id, n AS payload_bytes, d.h AS payload_digest,
-  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to, url
-FROM d LEFT JOIN m ON d.h = m.h
+r AS (SELECT *, n >= 100 AND row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST, url NULLS FIRST) > 1 AS again,
+  first_value(page_id) OVER (PARTITION BY h ORDER BY page_id NULLS LAST, url NULLS FIRST) AS first FROM d)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to, url
+FROM r
 """
