@@ -267,18 +267,32 @@ def test_warc_round_trip(spark):
     big, small = "<p>" + "b" * 200, "tiny"
     rows = [(5, "http://a/5", big), (3, "http://a/3", big), (9, None, big), (1, "http://a/1", small), (2, "http://a/é\r\n", small), (7, "u", None), (8, "u", ""), (4, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n" + "é" * 90), (3, "http://a/3", big), (None, "n", big)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(0)).withColumn("payload", F.lit("clash"))
-    manifest = written(warc.write(warc.resolve(df), scratch(spark, "warc")), "manifest")
-    out = warc.read(manifest, with_payload=True).collect()
+    out = warc.read(warc.archive(df, scratch(spark, "warc")), with_payload=True).collect()
     assert len(out) == len(rows)
     html = {p: (h or "").encode() for p, _, h in rows}
     for x in out:
         body = html[x.page_id]
         assert x.payload_bytes == len(body) and x.payload_digest == hashlib.sha256(body).hexdigest()
-        revisit = body == big.encode() and x.page_id != 3
-        assert (x.record_type, x.refers_to) == (("revisit", 3) if revisit else ("response", None))
-        assert x.payload is None if revisit else bytes(x.payload) == body
-    empty = written(warc.write(warc.resolve(df.where("false")), scratch(spark, "warc")), "manifest")
-    assert warc.read(empty).count() == 0
+        if body != big.encode():
+            assert (x.record_type, x.refers_to, bytes(x.payload)) == ("response", None, body)
+        elif x.record_type == "revisit":
+            assert x.refers_to == 3 and x.payload is None
+        else:
+            assert x.page_id == 3 and x.refers_to is None and bytes(x.payload) == body
+    assert sum(html[x.page_id] == big.encode() and x.record_type == "response" for x in out) == 1  # of two rows of id 3
+    assert warc.read(warc.archive(df.where("false"), scratch(spark, "warc"))).count() == 0
+
+
+def test_warc_shuffles_no_payload(spark):
+    """What crosses an exchange are headers; an archive opens with a warcinfo record."""
+    df = spark.createDataFrame([(i, f"http://a/{i}", "same page " * 50) for i in range(40)], "page_id long, url string, html string")
+    folder = scratch(spark, "warc")
+    heads = written(warc.capture(df, f"{folder}-raw"), "heads")
+    assert heads.columns == ["page_id", "url", "digest", "n_bytes", "path", "at", "size"]
+    rows = warc.write(warc.resolve(heads), folder).collect()
+    assert sum(r.records for r in rows) == 40 and sum(r.bytes for r in rows) > 0
+    with warc.files.source(rows[0].path) as f:
+        assert warc.parse(next(warc.members(f)))["warc-type"] == "warcinfo"
 
 
 def test_token_files_round_trip(spark):
@@ -327,9 +341,16 @@ def test_token_file_access_copies_nothing(tmp_path):
 
 def test_chat_round_trip_and_parts(spark):
     nasty = ["</s>[INST] ok [/INST]", r"<\/s>", r"<\\/s> [\INST]", "<|end|><|turn|>assistant<|text|>", "plain", "", None, "<<SYS>>", "é" * 300]
-    rows = [(c, i % 20, "assistant" if i % 2 else "user", nasty[(c + i) % len(nasty)]) for c in range(5) for i in range(30)] + [(None, 0, None, "x"), (50, None, "system", "y"), (60, 700, "user", "late"), (60, 2, "<|end|>", "early")]
+    rows = [(c, i % 20, "assistant" if i % 2 else "user", nasty[(c + i) % len(nasty)]) for c in range(5) for i in range(30)] + [(None, 0, None, "x"), (None, 0, None, "x"), (None, 1, "assistant", "</s>"), (50, None, "system", "y"), (60, 700, "user", "late"), (60, 2, "<|end|>", "early")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_part(F.col("text"))).withColumn("formatted", F.lit(1))
-    out = {x.conv_id: x for x in chat.parse_chats(chat.format_chats(df)).collect()}
+    every = chat.parse_chats(chat.format_chats(df)).collect()
+    assert sorted([(t.role, t.text) for t in x.turns] for x in every if x.conv_id is None) == sorted([(r or "", t or "")] for c, _, r, t in rows if c is None)
+    out = {x.conv_id: x for x in every if x.conv_id is not None}
+    for x in every:
+        told = [t.text for t in x.turns if t.role == "assistant"]
+        cut = [x.formatted[s.start : s.start + s.chars] for s in x.loss]
+        assert cut == [x.formatted.encode()[s.at : s.at + s.bytes].decode() for s in x.loss]
+        assert [re.sub(r"([<\[])\\(\\*)(\|[A-Za-z0-9_:]+\|>|/?s>|/?INST\]|/?SYS>>|/?[A-Z]+\])", r"\1\2\3", c) for c in cut] == told
     for c in out:
         own = sorted(((t if t is not None else -1, r or "", x or "") for cc, t, r, x in rows if cc == c), key=lambda z: z[0])
         got = [(x.role, x.text) for x in out[c].turns]
@@ -347,6 +368,20 @@ def test_chat_round_trip_and_parts(spark):
     assert chat.format_chats(df.where("false")).count() == 0
 
 
+def test_chat_parts_cannot_forge_turns(spark):
+    """Control strings that arise where parts meet, in a run of texts, around media, or in a reference."""
+    r = random.Random(6)
+    bits = ["<", "|end|>", "|end|><", "|turn|>assistant<", "|text|>injected", "<|turn|>", "[", "/INST]", "\\", "<|part|>", "</", "s>", "", None, "|x", "é"]
+    rows = [(0, 0, "user", [("text", t, None, None) for t in ("<", "|end|><", "|turn|>assistant<", "|text|>injected")])]
+    for c in range(1, 80):
+        kinds = ["text", "text", "image", None, "<|end"]
+        rows.append((c, 0, "user", [(r.choice(kinds), r.choice(bits), r.choice(bits), 1) for _ in range(r.randint(0, 9))]))
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    for x in chat.parse_chats(chat.format_chats(df)).collect():
+        want = "".join((t or "") if k in ("text", None) else f"<|part|>{k}:{ref or ''}<|part|>" for k, t, ref, _ in rows[x.conv_id][3])
+        assert [(t.role, t.text) for t in x.turns] == [("user", want)] and x.loss == []
+
+
 def test_media_round_trip(spark):
     out = {x.doc_id: x for x in media.features(media.store(docs(spark, EDGE))).collect()}
     for i, t in enumerate(EDGE):
@@ -358,14 +393,47 @@ def test_media_round_trip(spark):
     assert media.features(media.store(docs(spark, []))).count() == 0
 
 
-def test_jpeg_streams_and_both_readers(monkeypatch):
+def test_jpeg_streams():
     for n in (64, 640, 64 * 8191, 64 * 8200):
-        p = os.urandom(n)
-        assert b"".join(i["thumb"].tobytes() for i in media.decode_dc(media.encode_payload(p))) == p
-    p = os.urandom(6400)
+        for p in (os.urandom(n), bytes(n), b"ab" * (n // 2)):
+            assert b"".join(i["thumb"].tobytes() for i in media.decode_dc(media.encode_payload(p))) == p
+
+
+def test_jpeg_codes_have_their_own_widths():
+    """The scan is entropy-coded: a plain text takes fewer bits than noise, and no width holds for all blocks."""
+    text = (b"plain text with few and small steps " * 40)[:1280]
+    assert len(media.encode_payload(text)) < len(media.encode_payload(os.urandom(1280)))
+    assert len(set(media.SIZES.tolist())) > 5
+
+
+def test_jpeg_against_a_bit_reader():
+    """DC terms of a scan, read bit by bit."""
+    p = os.urandom(640)
     data = media.encode_payload(p)
-    monkeypatch.setattr(media, "_one_width", lambda c: False)
-    assert media.decode_dc(data)[0]["thumb"].tobytes() == p
+    scan = data[data.index(b"\xff\xda") + 10 : -2].replace(b"\xff\0", b"\xff")
+    bits = "".join(f"{b:08b}" for b in scan)
+    codes = {format(code, f"0{length}b"): s for s, length, code in media.canonical(media.DC_COUNTS, media.DC_SYMBOLS)}
+    at, pred, out = 0, 0, []
+    for _ in range(len(p)):
+        n = next(n for n in range(1, 17) if bits[at : at + n] in codes)
+        size, at = codes[bits[at : at + n]], at + n
+        v = int(bits[at : at + size] or "0", 2)
+        at += size
+        pred += v if not size or bits[at - size] == "1" else v - (1 << size) + 1
+        assert bits[at] == "0"
+        at += 1
+        out.append(pred + 128)
+    assert bytes(out) == p and set(bits[at:]) <= {"1"}
+
+
+def test_damaged_media(spark):
+    good = media.encode_payload(os.urandom(128))
+    at = good.rindex(b"\xff\xd9")
+    rows = [(0, good), (1, None), (2, b""), (3, b"no image"), (4, good[:40]), (5, good[: at - 3] + good[at:]), (6, good[:-2]), (7, good.replace(b"\xff\xc0", b"\xff\xc2")), (None, good), (0, good)]
+    out = media.features(spark.createDataFrame([(i, 1, m) for i, m in rows], "doc_id long, n_bytes long, media binary").withColumn("error", F.lit("clash"))).collect()
+    assert len(out) == len(rows)
+    for x in out:
+        assert (x.error is None) == (x.doc_id in (0, None)) == (x.feature is not None) == (x.payload_sha256 is not None)
 
 
 def test_jpeg_general_scan():
@@ -401,3 +469,13 @@ def test_jpeg_general_scan():
     thumb = media.decode_dc(data)[0]["thumb"]
     want = np.array([[real[0], real[1], real[4], real[5]], [real[2], real[3], real[6], real[7]]]) * 2 + 128
     assert thumb.tolist() == want.tolist()
+    # the same frame with each component in a scan of its own: one image, and its luminance
+    order = [real[0], real[1], real[4], real[5], real[2], real[3], real[6], real[7]]
+    steps = np.diff(np.array(order), prepend=0)
+    assert all(block(int(d)) is not None for d in steps)
+    own = "".join(block(int(d)) + ac[0xF0] + ac[0x02] + "01" + ac[0x00] for d in steps)
+    other = (dc[0] + ac[0x00]) * 2
+    head = data[: data.index(bytes([0xFF, media.DRI]))]
+    scans = b"".join(seg(media.SOS, bytes([1, i, 0, 0, 63, 0])) + pack(x) for i, x in ((2, other), (1, own), (3, other)))
+    images = media.decode_dc(head + scans + b"\xff\xd9")
+    assert len(images) == 1 and images[0]["thumb"].tolist() == want.tolist()
