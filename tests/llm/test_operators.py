@@ -107,6 +107,23 @@ def test_topk_brute_force(spark):
     assert topk.top_k(df.where("false"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_topk_thresholds_cross_blocks(spark, monkeypatch):
+    """Many blocks, a row repeated a hundred times and ties at the threshold."""
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    r = np.random.default_rng(8)
+    vecs = [(i, r.normal(size=8).round(1).tolist()) for i in range(400)]
+    vecs += [(77, vecs[77][1])] * 100 + [(i, vecs[i % 7][1]) for i in range(500, 600)]
+    got = collections.defaultdict(list)
+    for x in topk.top_k(spark.createDataFrame(vecs, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0).collect():
+        got[x.query_id].append((x.rank, x.vec_id, x.score))
+    q = lambda v: np.floor(256 * np.array(v)).astype(np.int64)
+    for i, v in vecs:
+        if i % 50 == 0:
+            s = sorted((-int(q(v) @ q(w)), j) for j, w in vecs if j != i)[:5]
+            assert sorted(got[i]) == [(n + 1, j, -a) for n, (a, j) in enumerate(s)]
+
+
 def test_topk_bounds_and_huge_values():
     r = np.random.default_rng(0)
     a, b = r.integers(-300, 300, (5, 64)).astype(float), r.integers(-300, 300, (40, 64)).astype(float)
@@ -239,11 +256,24 @@ def test_packing_is_whole_tight_and_free_of_conflicts(spark):
             assert x.offset == at
             at += x.n_bytes + 1
         assert at <= 1000
-        whole = collections.Counter(texts[x.doc_id] for x in b if x.doc_id > 11)
-        assert all(n == 1 for n in whole.values())
+        assert len({texts[x.doc_id] if x.doc_id else (x.doc_id, x.n_bytes) for x in b}) == len(b)  # no copies
+        assert len({f"s{x.doc_id % 3}" for x in b}) == len(b)  # no two of a source
     pieces = sorted((x.start, x.n_bytes) for x in rows if x.doc_id == EDGE.index("x" * 5000))
     assert [p[0] for p in pieces] == list(range(0, 5000, 999)) and sum(p[1] for p in pieces) == 5000
     assert packing.pack(df.where("false")).count() == 0
+    held = collections.defaultdict(bytes)
+    for x in sorted(packing.pack(docs(spark, texts), capacity=1000, content=True).collect(), key=lambda x: (x.doc_id, x.piece)):
+        assert len(x.content) == x.n_bytes
+        held[x.doc_id] += bytes(x.content)
+    assert [held[i].decode() for i in range(len(texts))] == [t or "" for t in texts]
+
+
+def test_packing_spreads_repeated_rows(spark):
+    """Rows that repeat one document don't meet in one shard; each has a bin of its own; null ids are kept."""
+    df = spark.createDataFrame([(1, "same text", "s")] * 300 + [(None, "x", None)] * 2, "doc_id long, text string, source string")
+    rows = packing.pack(df, shard_rows=30).collect()
+    assert len({x.bin_id for x in rows if x.doc_id == 1}) == 300 and len({x.bin_id >> 32 for x in rows if x.doc_id == 1}) > 5
+    assert sum(x.doc_id is None for x in rows) == 2
 
 
 def test_best_fit_against_brute_force():
@@ -252,7 +282,7 @@ def test_best_fit_against_brute_force():
         n = 60
         size = sorted((r.randint(1, 50) for _ in range(n)), reverse=True)
         slot, cluster = [r.randint(0, 9) for _ in range(n)], [r.randint(0, 25) for _ in range(n)]
-        got = packing.best_fit(size, slot, cluster, list(range(n)), 100)
+        got = packing.best_fit(size, slot, cluster, 100)
         bins = []
         for i in range(n):
             fits = [(100 - sum(size[j] for j in b) - size[i], k) for k, b in enumerate(bins) if sum(size[j] for j in b) + size[i] <= 100 and not any(slot[j] == slot[i] or cluster[j] == cluster[i] for j in b)]
