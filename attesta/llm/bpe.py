@@ -2,23 +2,25 @@
 
 Texts are split by the tokenizer's pattern. The distinct words of a batch that aren't cached become token-position
 rows (word and position in one id, tok), at first a row for each byte. A recursive query joins neighbouring rows with the merge
-table (left, right, rank), which holds every split of every token, and in each step contracts each word's leftmost pair
-of least rank; a word without such a pair drops out: its last rows are its tokens. Words of more than ``LONG`` bytes,
-whose steps would take quadratic space, are contracted by the same rule on a linked list with a heap.
+table (left, right, rank), which holds every split of every token, and contracts each word's leftmost pair of least
+rank until none is left. Its table is keyed by position: a step writes the changed positions only, and looks only at
+words that the step before has changed, so a word of any length takes space in proportion to it.
+
+Where the leftmost pair of least rank occurs again in the word, a step contracts these occurrences too, from left to
+right and without overlaps: they would be the next ones, as long as the token that they make can't begin or end a
+token of lower rank. Pairs whose token can (``alone``) are contracted one at a time.
 
 Decoding joins id-position rows with the vocabulary; an ordered string aggregate puts the bytes of each document
 back together.
 
-Edge cases: null texts are empty and have no tokens; repeated rows give repeated results; an empty table gives an
-empty one; further columns are ignored.
+Edge cases: null texts are empty and have no tokens; null ids are kept; words and texts of any length take the same
+query; repeated rows give repeated results; an empty table gives an empty one; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-import tempfile
 
 import duckdb
 import numpy as np
@@ -28,24 +30,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import batch, map_batches, short_batches, table
 
-LONG = 128  #: bytes up to which a word is contracted by the query (positions have 8 bits)
-STEP_ROWS = 1_500_000  #: rows that one recursive query may make
+STEP_BYTES = 200_000  #: bytes of words, the shortest first, that one recursive query takes (a longer word has one of its own)
 CACHE = 300_000  #: words whose ids a worker keeps
 DECODE_TOKENS = 1_000_000  #: tokens that one decoding query takes
-MEMORY = "200MB"
+MEMORY = "400MB"
 
 _ENCODE = """
-WITH RECURSIVE t(id, tok, step) AS (
-  SELECT (word << 8) | pos, tok, 0 FROM start
-  UNION ALL
-  SELECT x.id, CASE WHEN x.id & 255 = b.best & 255 THEN b.best >> 8 ELSE x.tok END, x.step + 1
-  FROM (SELECT id, tok, step, lag(id) OVER (ORDER BY id) AS before FROM t) x
-  JOIN (
-    SELECT n.id >> 8 AS word, min((m.rank << 8) | (n.id & 255)) AS best
-    FROM (SELECT id, tok, lead(tok) OVER (ORDER BY id) AS after, lead(id) OVER (ORDER BY id) AS next FROM t) n
-    JOIN merges m ON n.tok = m.l AND n.after = m.r WHERE n.next >> 8 = n.id >> 8 GROUP BY 1) b ON x.id >> 8 = b.word
-  WHERE x.before IS NULL OR x.before >> 8 <> b.word OR x.before & 255 <> b.best & 255)
-SELECT t.id >> 8 AS word, tok FROM t JOIN (SELECT id >> 8 AS w, max(step) AS last FROM t GROUP BY 1) l ON t.id >> 8 = l.w AND t.step = l.last ORDER BY id
+WITH RECURSIVE t(id, tok) USING KEY (id) AS (
+  SELECT (word << 32) | pos, tok FROM start
+  UNION
+  (WITH n AS (
+    SELECT id, tok, lead(tok) OVER w AS after, lead(id) OVER w AS next FROM recurring.t
+    WHERE tok >= 0 AND id >> 32 IN (SELECT id >> 32 FROM t) WINDOW w AS (ORDER BY id)),
+  p AS (SELECT n.id, n.next, m.rank, m.alone FROM n JOIN merges m ON n.tok = m.l AND n.after = m.r WHERE n.next >> 32 = n.id >> 32),
+  b AS (SELECT id >> 32 AS word, min(rank) AS least, arg_min(id, (rank << 32) | (id & 4294967295)) AS leftmost FROM p GROUP BY 1),
+  c AS (
+    SELECT p.*, b.leftmost, row_number() OVER w AS nth, lag(next) OVER w = id AS tied
+    FROM p JOIN b ON p.id >> 32 = b.word AND p.rank = b.least WINDOW w AS (ORDER BY id)),
+  r AS (SELECT *, max(CASE WHEN tied IS NOT TRUE THEN nth END) OVER (ORDER BY id) AS run FROM c),
+  d AS (SELECT id, next, rank FROM r WHERE CASE WHEN alone THEN id = leftmost ELSE (nth - run) % 2 = 0 END)
+  SELECT id, rank FROM d UNION ALL SELECT next, -1 FROM d))
+SELECT id >> 32 AS word, tok FROM t WHERE tok >= 0 ORDER BY id
 """
 _DECODE = "SELECT doc, string_agg(v.bytes, '' ORDER BY pos) AS bytes FROM ids JOIN vocabulary v USING (tok) GROUP BY doc"
 
@@ -71,10 +76,9 @@ class Coder:
             if (left := self.ranks.get(token[:i])) is not None and (right := self.ranks.get(token[i:])) is not None
         ]
         left, right, rank = (pa.array(x, pa.int64()) for x in zip(*rows, strict=True))
-        self.pairs: dict[tuple[int, int], int] | None = None
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": tempfile.gettempdir()})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})  # nothing is spilled
         self.db.register("merge_rows", pa.table({"l": left, "r": right, "rank": rank}))
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows")
+        self.db.execute("CREATE TABLE merges AS SELECT *, rank IN (SELECT greatest(l, r) FROM merge_rows WHERE rank <= greatest(l, r)) AS alone FROM merge_rows")
         self.db.unregister("merge_rows")
         # bytes as the characters of equal number, so that strings can be aggregated
         tokens = pa.table({"tok": pa.array(list(self.ranks.values()), pa.int64()), "bytes": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())})
@@ -97,51 +101,24 @@ class Coder:
         cuts = np.searchsorted(out["word"], np.arange(1, len(words)))
         return np.split(out["tok"].astype("<u4"), cuts)
 
-    def _contract_long(self, word: bytes) -> np.ndarray:
-        """The same for a long word: linked list and heap of (rank, position)."""
-        if self.pairs is None:
-            self.pairs = {(a, b): r for a, b, r in self.db.execute("SELECT l, r, rank FROM merges").fetchall()}
-        tok = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
-        n = len(tok)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := self.pairs.get((tok[i], tok[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i]
-            if tok[i] < 0 or j >= n or self.pairs.get((tok[i], tok[j])) != rank:
-                continue
-            tok[i], tok[j], after[i] = rank, -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] < n and (r := self.pairs.get((tok[a], tok[after[a]]))) is not None:
-                    heapq.heappush(heap, (r, a))
-        return np.array([t for t in tok if t >= 0], "<u4")
-
     def learn(self, words: list[str]) -> None:
-        held: list[str] = []
-        rows = 0
-
-        def flush() -> None:
-            if held:
-                coded = self._contract([w.encode() for w in held])
-                self.cache.update((w, c.tobytes()) for w, c in zip(held, coded, strict=True))
-
+        open_ = []
         for w in words:
-            n = len(w) if w.isascii() else len(w.encode())
-            if n > LONG:
-                self.cache[w] = self._contract_long(w.encode()).tobytes()
-                continue
-            if (whole := self.ranks.get(w.encode())) is not None:  # a word that is a token is that token
+            raw = w.encode()
+            if (whole := self.ranks.get(raw)) is not None:  # a word that is a token is that token
                 self.cache[w] = np.array([whole], "<u4").tobytes()
-                continue
-            held.append(w)
-            rows += n * (n + 1) // 2
-            if rows >= STEP_ROWS:
-                flush()
-                held, rows = [], 0
-        flush()
+            else:
+                open_.append((len(raw), w, raw))
+        open_.sort(key=lambda x: x[0])
+        at = 0
+        while at < len(open_):
+            end, size = at, 0
+            while end < len(open_) and (end == at or size + open_[end][0] <= STEP_BYTES):
+                size += open_[end][0]
+                end += 1
+            coded = self._contract([raw for _, _, raw in open_[at:end]])
+            self.cache.update((w, c.tobytes()) for (_, w, _), c in zip(open_[at:end], coded, strict=True))
+            at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
