@@ -1,7 +1,7 @@
 """Token ids in Arrow stream files of fixed-size-list batches.
 
-Documents, ascending by id, form one stream of ids: each document's, then the end id. A range of documents makes one
-file: an Arrow IPC stream without compression whose batches hold ``ROWS`` sequences of ``LENGTH`` ids (16 bits where
+Documents, ascending by id, form one stream of ids: each document's, then the end id. A range of documents, of about
+``FILE`` bytes of text whatever the corpus, makes one file: an Arrow IPC stream without compression whose batches hold ``ROWS`` sequences of ``LENGTH`` ids (16 bits where
 the vocabulary allows) and their masks; the last sequence is filled up with masked zeros. All full batches take
 the same number of bytes, so that ``TokenFile`` maps the file and cuts sequence i out at a computed place, without
 copying. A second stream beside it, the index, holds (doc_id, start in the file, n_tokens).
@@ -11,8 +11,9 @@ bounded cache. Chunks are joined by a special token of the tokenizer, at which t
 so one call encodes many and its id tells them apart. That gives the ids of the whole text only for a tokenizer that drops white space and merges within
 words; for others, pass ``chunked=False``.
 
-Edge cases: null texts are empty and keep their end id; null ids come first; repeated rows are repeated documents; an
-empty table makes no files; further columns are ignored.
+Edge cases: null texts are empty and keep their end id; texts of any length are encoded whole; null ids come first;
+rows that repeat an id are documents of their own in the order of the input, and may be spread over files; an empty
+table makes no files; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from .common import scratch, short_batches, table, written
 
 LENGTH = 2048  #: ids in a sequence
 ROWS = 64  #: sequences in a batch
+FILE, SHARE = 128 << 20, 4 << 20  #: bytes of text that make a file; small corpora still share cores by the second
 CACHE = 800_000  #: chunks whose ids a worker keeps
 
 
@@ -186,8 +188,10 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, chunked: bool = True, length: int = LENGTH) -> DataFrame:
     """Writes (doc_id, text) rows; a row for each file: shard, path, n_docs, n_tokens."""
     short_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-total // FILE), min(8 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // SHARE)))
+    rows = rows.repartitionByRange(int(n), "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, path = encoder(tokenizer, chunked), f"{folder}/{files.attempt_name()}.arrows"
