@@ -6,8 +6,9 @@ a run of 24 holds two neighbouring probes that are 12 apart, so only texts with
 Tokens with an embedded checksum (three-letter prefix, 30 characters, six base-62 digits of their CRC-32) become
 spans of kind ``checked`` only where the checksum holds.
 
-Edge cases: null and empty texts have no spans; repeated rows give repeated results; an empty table gives an empty
-one; further columns are kept by ``redact`` and ignored by ``scan``.
+Edge cases: null and empty texts have no spans; null ids are kept; texts of any length are searched whole, in batches
+of few rows; repeated rows give repeated results; an empty table gives an empty one; further columns are kept by
+``redact`` and ignored by ``scan``.
 """
 
 from __future__ import annotations

@@ -11,8 +11,10 @@ score is a logistic function of the summed weights, absolute and by length, fitt
 
 Edge cases: null texts are empty; empty texts have the score of no match; a null doc_id isn't held out; labels that
 repeat a doc_id count as toxic if one says so; without both classes every score is the share of toxic labels or 0;
-repeated rows give repeated results; an empty table gives an empty one; further columns are kept by
-``reject`` and ignored by ``score``.
+repeated rows give repeated results; texts of any length are folded and matched whole, in batches of few rows; an
+empty table gives an empty one; further columns are kept by ``reject`` and ignored by ``score``.
+
+How large the lexicon can be follows from the sample alone: a term is in ``SHARE`` of the toxic sample's documents.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ from pyspark.sql import functions as F
 from .common import batch, map_batches, short_batches, table, written
 
 SAMPLE = 6000  #: labelled rows of a class that learning takes at most
-TERMS = 20_000  #: terms at most
 SHARE = 0.02  #: of the toxic sample's documents must hold a term
 LEAST = 5  #: documents that must hold a term or phrase
 WEIGHT = 3.0  #: least log-odds of a term
@@ -130,7 +131,7 @@ def held_out(doc_id: Column) -> Column:
 def _terms(folded: str) -> set[str]:
     out = set()
     for w in set(folded.split()):
-        if 3 <= len(w) <= 24:
+        if len(w) >= 3:
             out.add(f" {w} ")
         out.update(f" {w[:n]}" for n in PREFIXES if n < len(w))
     return out
@@ -180,8 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     weight = F.log((F.col("toxic") + 0.5) / (n[1] + 1) / ((F.col("clean") + 0.5) / (n[0] + 1)))
     least = max(LEAST, math.ceil(SHARE * n[1]))
-    found = _counts(rows, _terms).where(F.col("toxic") >= least).withColumn("w", weight).where(F.col("w") >= WEIGHT).orderBy(F.desc("w"), F.desc("toxic"), "term").limit(TERMS)
-    model = Model({r["term"]: r["w"] for r in found.collect()})
+    found = _counts(rows, _terms).where(F.col("toxic") >= least).withColumn("w", weight).where(F.col("w") >= WEIGHT).orderBy(F.desc("w"), F.desc("toxic"), "term")
+    model = Model({r["term"]: r["w"] for r in found.collect()})  # bounded by the sample
 
     def phrases(folded: str) -> set[str]:
         out = set()
@@ -196,7 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return out
 
     spared = _counts(rows, phrases).where((F.col("clean") >= LEAST) & (F.col("clean") / n[0] >= 5 * F.col("toxic") / n[1]))
-    model.exceptions = [r["term"] for r in spared.orderBy(F.desc("clean"), "term").limit(TERMS).collect()]
+    model.exceptions = [r["term"] for r in spared.orderBy(F.desc("clean"), "term").collect()]  # likewise
     model._automaton = None
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted)."""
-    known = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TERMS
+    known = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that taught it
 
     def f(b: pa.RecordBatch) -> pa.RecordBatch:
         s = [known.value.score(t) for t in b.column("text").to_pylist()]
