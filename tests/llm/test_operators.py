@@ -42,13 +42,32 @@ def test_bpe_matches_the_library(spark):
     assert bpe.digests(bpe.decode(bpe.encode(docs(spark, []), path, P.PATTERN), path, P.PATTERN)).count() == 0
 
 
-def test_bpe_long_words_take_the_same_merges():
+def test_bpe_words_of_any_length():
+    """Long words take the same query: runs of a letter, repeats, noise, many scripts; against the library."""
+    import tiktoken
+
     path = P.path("byte_bpe_multi_50k.tiktoken")
     c = bpe.Coder(path, P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
     r = random.Random(5)
-    for _ in range(60):
-        w = "".join(r.choice("aabething字é=-") for _ in range(r.randint(2, 40))).encode()
-        assert c._contract_long(w).tolist() == c._contract([w])[0].tolist()
+    words = ["".join(r.choice(a) for _ in range(r.randint(2, n))) for a in ("aabething", "xy", "字é=-a", "กขคงจ", "the and ing".replace(" ", "")) for n in (40, 200, 900) for _ in range(4)]
+    words += ["x" * 5000, "ab" * 2500, "é" * 999, "-" * 1000]
+    for w, ids in zip(words, c.encode(words), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(w)
+
+
+def test_bpe_one_pair_at_a_time():
+    """The query against the rule taken literally: contract the leftmost pair of least rank until none is left."""
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    c = bpe.Coder(path, P.PATTERN)
+    r = random.Random(7)
+    words = ["".join(r.choice("aabethingr") for _ in range(r.randint(2, 60))).encode() for _ in range(200)]
+    for w, ids in zip(words, c._contract(words), strict=True):
+        parts = [bytes([b]) for b in w]
+        while found := [(c.ranks[a + b], i) for i, (a, b) in enumerate(itertools.pairwise(parts)) if a + b in c.ranks]:
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert ids.tolist() == [c.ranks[p] for p in parts]
 
 
 def test_toxicity_learns_and_spares(spark):
