@@ -43,3 +43,49 @@ EMPLOYMENT_TYPES = [
     "internship", "apprenticeship", "seasonal", "temporary", "permanent",
 ]
 ACTIONS = ["shortlisted", "rejected", "contacted", "needs_info"]
+
+# Patterns of texts and layouts.
+ROLE_WORD = r"(?i)\b(engineer|developer|programmer|sde)s?\b"
+YEARS_RANGE = r"(?i)(\d{1,2})\s*(?:-|–|to)\s*(\d{1,2})\s*\+?\s*years?"
+YEARS_LEAST = r"(?i)(?:at least|minimum(?: of)?|min\.?)\s*(\d{1,2})\s*\+?\s*years?"
+YEARS_PLUS = r"(?i)(\d{1,2})\s*\+\s*years?"
+DATED_LINE = r"^([A-Za-z]{3,9}\.?\s+\d{4}|\d{4})\s*[-–—]\s*(Present|Current|[A-Za-z]{3,9}\.?\s+\d{4}|\d{4})\b"
+TENURE_LINE = r"(?i)^\d+\s*(?:yrs?|mos?)(?:\s+\d+\s*(?:yrs?|mos?))?$"
+NO_EMPLOYER_STARTS = ["●", "•", "-", "skills:", "… more", "...more", "show "]
+NO_SKILL_LINES = ["skills", "all", "industry knowledge", "tools & technologies", "show all"]
+JUNIOR_WORDS = ["intern", "student", "trainee", "fresher", "junior", "jr ", "jr.", "apprentice", "graduate"]
+
+# Addresses.
+SECRET_PARAMS = ["api_key", "apikey", "key", "token", "access_token", "secret"]
+PERSON_MARKERS = ["in", "pub"]
+NO_PERSON_SEGMENTS = [
+    "company", "school", "jobs", "pulse", "posts", "groups", "showcase",
+    "learning", "events", "feed", "help", "legal", "directory", "checkpoint",
+]
+LINKS = {
+    "github_login": "https://github.com/%s",
+    "gitlab_login": "https://gitlab.com/%s",
+    "linkedin_slug": "https://linkedin.com/in/%s",
+    "personal_domain": "https://%s",
+    "hf_user": "https://huggingface.co/%s",
+    "codeforces_handle": "https://codeforces.com/profile/%s",
+}
+STRONG_KINDS = ["github_login", "gitlab_login", "hf_user", "codeforces_handle", "so_user_id", "personal_domain", "email_sha256", "linkedin_slug"]
+LOGIN_KEYS = ["github_url", "url", "blog"]
+WALLS = ["authwall", "Join LinkedIn", "Sign in to see", "Please verify you are a human"]
+
+# Search plans, roles and the queue.
+COUNTRY = "India"
+PLAN_CAP = 24
+RESULTS_CAP = 20
+RESCUE_BELOW = 0.5
+MUST_HAVES = 6
+REMOTE = ["onsite", "hybrid", "remote", "remote_relocate"]
+PROFILES = {True: "engineering", False: "business"}
+NOTE_CHARS = 500
+PHRASES = {
+    "no evidence for": "No public sign of",
+    "outside": "Located outside",
+    "most recent public work": "Most recent public work is",
+}
+STAGES = {"discover": "Searching LinkedIn", "enrich": "Reading profiles", "score": "Ranking"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .constants import EMPLOYMENT_TYPES, ROLE_WORDS, TITLE_NOISE
+from .constants import EMPLOYMENT_TYPES, JUNIOR_WORDS, PHRASES, ROLE_WORD, ROLE_WORDS, TITLE_NOISE, YEARS_LEAST, YEARS_PLUS, YEARS_RANGE
 
 
 def strings(values) -> Column:
@@ -42,14 +42,11 @@ def signal_tokens(c: Column | str) -> Column:
     return F.array_distinct(_split(c, "[^a-z0-9]+"))
 
 
-_ROLE = r"(?i)\b(engineer|developer|programmer|sde)s?\b"
-
-
 def title_variants(c: Column | str) -> Column:
     """The title with its first role word replaced by each interchangeable one; itself if it has none; [] if empty."""
     c = col(c)
-    at = F.regexp_instr(c, F.lit(_ROLE))
-    n = F.length(F.regexp_extract(c, _ROLE, 0))
+    at = F.regexp_instr(c, F.lit(ROLE_WORD))
+    n = F.length(F.regexp_extract(c, ROLE_WORD, 0))
     swapped = F.array_distinct(F.transform(strings(ROLE_WORDS), lambda w: F.concat(F.substr(c, F.lit(1), at - 1), w, F.substr(c, at + n))))
     return F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).when(at == 0, F.array(c)).otherwise(swapped)
 
@@ -77,13 +74,13 @@ def first_excluded(haystack: list[Column], excluded: Column) -> Column:
 
 
 def banned_signal(key: Column | str, value: Column | str, banned: list[str]) -> Column:
-    """The first banned signal all of whose words occur in key or value; null if none."""
-    seen = F.array_union(F.coalesce(signal_tokens(key), F.array().cast("array<string>")), F.coalesce(signal_tokens(value), F.array().cast("array<string>")))
-    return F.get(F.filter(strings(banned), lambda b: F.size(F.array_except(F.split(b, "_"), seen)) == 0), F.lit(0))
+    """The first banned signal that the key names, else the value: all its words occur in that one text. Null if none."""
 
+    def named(c: Column | str) -> Column:
+        words = signal_tokens(c)
+        return F.get(F.filter(strings(banned), lambda b: F.size(F.array_except(F.split(b, "_"), words)) == 0), F.lit(0))
 
-def _joined_slice(words: Column, k: int):
-    return lambda i: F.array_join(F.slice(words, i, F.lit(k)), " ")
+    return F.coalesce(named(key), named(value))
 
 
 def bound(c: Column, f) -> Column:
@@ -91,17 +88,28 @@ def bound(c: Column, f) -> Column:
     return F.transform(F.array(c), lambda x: f(x))[0]
 
 
-def ngram_windows(c: Column | str, longest: int = 3) -> Column:
-    """Windows of ``longest`` to 1 words, larger first."""
+def words(c: Column | str) -> Column:
+    """Runs of letters, digits, plus, hash and full stop, in order."""
+    return F.filter(F.split(col(c), "[^A-Za-z0-9+#.]+"), lambda x: x != "")
+
+
+def window_keys(c: Column | str, longest: int = 3, wanted: Column | None = None) -> Column:
+    """{pos, key} of the windows of ``longest`` to 1 words, larger first: their words in lower case, letters and digits only.
+
+    Each word is folded once, and a window's key is made of folded words. ``wanted`` keeps windows by their key.
+    """
+
+    def windows(folded: Column) -> Column:
+        n = F.size(folded)
+        start = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+
+        def of(k: int) -> Column:
+            key = lambda i: F.when(i + k <= n, F.concat(*[F.get(folded, i + j) for j in range(k)]))
+            return F.transform(start, lambda i: F.struct(((longest - k) * 10_000_000 + i).alias("pos"), key(i).alias("key")))
 
-    def windows(words: Column) -> Column:
-        n = F.size(words)
-        return F.concat(*[
-            F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), _joined_slice(words, k))).otherwise(F.array().cast("array<string>"))
-            for k in range(longest, 0, -1)
-        ])
+        return F.filter(F.concat(*map(of, range(longest, 0, -1))), lambda w: F.coalesce(w["key"] != "", F.lit(False)) & (wanted(w["key"]) if wanted else F.lit(True)))
 
-    return bound(F.filter(F.split(col(c), "[^A-Za-z0-9+#.]+"), lambda x: x != ""), windows)
+    return bound(F.transform(words(c), lambda w: F.translate(F.lower(w), "+#.", "")), windows)
 
 
 def squeezed(c: Column | str) -> Column:
@@ -128,26 +136,43 @@ def employer_keys(c: Column | str, stop: list[str], cues: list[str]) -> Column:
     return F.when(looks_like_title(c, cues), F.array().cast("array<string>")).otherwise(own)
 
 
+def quoted(c: Column) -> Column:
+    return F.when(F.contains(c, F.lit(" ")), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(c)
+
+
 def or_clause(items: Column) -> Column:
-    """Distinct items, quoted where they hold a space, joined by OR; in parentheses if several."""
-    quoted = F.transform(F.array_distinct(items), lambda x: F.when(F.contains(x, F.lit(" ")), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x))
-    joined = F.array_join(quoted, " OR ")
-    return F.when(F.size(quoted) > 1, F.concat(F.lit("("), joined, F.lit(")"))).otherwise(joined)
+    """Distinct items that aren't empty, quoted where they hold a space, joined by OR; in parentheses if several."""
+    some = F.transform(F.array_distinct(F.filter(items, lambda x: F.coalesce(x, F.lit("")) != "")), quoted)
+    joined = F.array_join(some, " OR ")
+    return F.when(F.size(some) > 1, F.concat(F.lit("("), joined, F.lit(")"))).otherwise(joined)
 
 
 def years_from_text(c: Column | str) -> Column:
-    """Struct of min_years and max_years: a range (swapped if inverted), "at least n", "n+"; else nulls."""
-    t = F.lower(col(c))
-    rng = r"(\d{1,2})\s*(?:-|–|to)\s*(\d{1,2})\s*\+?\s*(?:years|yrs)"
-    a, b = (F.regexp_extract(t, rng, i).try_cast("int") for i in (1, 2))
-    least = F.coalesce(F.regexp_extract(t, r"at\s+least\s+(\d{1,2})", 1).try_cast("int"), F.regexp_extract(t, r"(\d{1,2})\s*\+\s*(?:years|yrs)", 1).try_cast("int"))
+    """Struct of min_years and max_years that a text states: a range (swapped if inverted), a minimum, "n+"; else nulls."""
+    t = col(c)
+    a, b = (F.regexp_extract(t, YEARS_RANGE, i).try_cast("int") for i in (1, 2))
+    least = F.coalesce(F.regexp_extract(t, YEARS_LEAST, 1).try_cast("int"), F.regexp_extract(t, YEARS_PLUS, 1).try_cast("int"))
     return F.struct(F.coalesce(F.least(a, b), least).alias("min_years"), F.greatest(a, b).alias("max_years"))
 
 
 def plain_reason(c: Column | str) -> Column:
-    """A reason without its prefix up to the first colon, with a capital first letter."""
-    rest = F.trim(F.regexp_replace(col(c), r"^[^:]*:\s*", ""))
-    return F.concat(F.upper(F.substring(rest, 1, 1)), F.substr(rest, F.lit(2)))
+    """A reason for readers: what follows the first colon, phrases in plain words, a capital first letter."""
+    out = F.trim(F.when(F.contains(col(c), F.lit(":")), F.regexp_replace(col(c), r"(?s)^[^:]*:", "")).otherwise(col(c)))
+    for phrase, plain in PHRASES.items():
+        out = F.replace(out, F.lit(phrase), F.lit(plain))
+    return F.when(F.coalesce(out, F.lit("")) == "", "No reason recorded").otherwise(F.concat(F.upper(F.substring(out, 1, 1)), F.substr(out, F.lit(2))))
+
+
+def display_headline(title: Column, employer: Column, headline: Column) -> Column:
+    """Title at employer where both are known, else the title, else the headline."""
+    some = lambda x: F.nullif(x, F.lit(""))
+    return F.coalesce(F.when(some(title).isNotNull() & some(employer).isNotNull(), F.concat(title, F.lit(" at "), employer)), some(title), headline)
+
+
+def is_junior(c: Column | str) -> Column:
+    """Whether a position holds one of the words of beginners."""
+    padded = F.concat(F.lit(" "), F.lower(col(c)), F.lit(" "))
+    return F.exists(strings(JUNIOR_WORDS), lambda w: F.contains(padded, w))
 
 
 def comma_list(c: Column | str) -> Column:

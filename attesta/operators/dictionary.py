@@ -6,10 +6,15 @@ they are under its threshold and shuffles otherwise: windows are an equi-join ei
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ngram_windows, normalise_key, strings
+from ..functions.constants import ROLE_WORD
+from ..functions.text import normalise_key, strings, window_keys
+
+
+#: Keys of a dictionary up to which windows are looked up where they arise; beyond, they are joined.
+FEW_KEYS = 5_000
 
 
 def alias_lookup(terms: DataFrame) -> DataFrame:
@@ -17,10 +22,17 @@ def alias_lookup(terms: DataFrame) -> DataFrame:
     return terms.select(normalise_key("alias").alias("key"), "name", "ord").groupBy("key").agg(F.max_by("name", "ord").alias("name"))
 
 
+def _windows(docs: DataFrame, id_col: str, text_col: str, dim: DataFrame) -> DataFrame:
+    """(id, pos, key) of the windows whose key the dictionary has (or of all, where it is large)."""
+    keys = [r["key"] for r in dim.select("key").limit(FEW_KEYS + 1).collect()]  # a dimension, and bounded
+    known = (lambda k: k.isin(keys)) if len(keys) <= FEW_KEYS else None
+    return docs.select(id_col, F.inline(window_keys(text_col, wanted=known)))
+
+
 def terms_in_text(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
     """(id, names): canonical names in the order in which windows of 3 to 1 words first name them."""
-    windows = docs.select(id_col, F.posexplode(ngram_windows(text_col)).alias("pos", "window")).select(id_col, "pos", normalise_key("window").alias("key"))
-    hits = windows.join(alias_lookup(terms), "key").groupBy(id_col, "name").agg(F.min("pos").alias("pos"))
+    dim = alias_lookup(terms)
+    hits = _windows(docs, id_col, text_col, dim).join(dim, "key").groupBy(id_col, "name").agg(F.min("pos").alias("pos"))
     return hits.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]).alias("names"))
 
 
@@ -48,8 +60,8 @@ def drop_covered(codes: Column) -> Column:
 
 
 def regions_in_text(docs: DataFrame, id_col: str, text_col: str, regions: DataFrame) -> DataFrame:
-    windows = docs.select(id_col, F.explode(ngram_windows(text_col)).alias("window")).select(id_col, normalise_key("window").alias("key")).distinct()
-    hits = windows.join(region_lookup(regions), "key")
+    dim = region_lookup(regions)
+    hits = _windows(docs, id_col, text_col, dim).join(dim, "key")
     return hits.groupBy(id_col).agg(drop_covered(F.collect_set("code")).alias("codes"))
 
 
@@ -58,16 +70,24 @@ def region_of(df: DataFrame, id_col: str, text_col: str, regions: DataFrame) ->
     the longest code wins, the earliest on ties."""
     dim = region_lookup(regions)
     base = df.select(id_col, F.col(text_col).alias("t"))
-    whole = base.select(id_col, F.lit(0).alias("stage"), F.lit(0).alias("pos"), F.col("t").alias("w"))
-    parts = base.select(id_col, F.lit(1).alias("stage"), F.posexplode(F.split("t", ",")).alias("pos", "w"))
-    words = base.select(id_col, F.posexplode(ngram_windows("t")).alias("pos", "w")).select(
-        id_col, (F.lit(5) - F.size(F.filter(F.split("w", "[^A-Za-z0-9+#.]+"), lambda x: x != ""))).alias("stage"), "pos", "w"
-    )
-    tried = whole.unionByName(parts).unionByName(words).withColumn("key", normalise_key("w")).where("key <> ''").join(dim, "key")
+    whole = base.select(id_col, F.lit(0).alias("stage"), F.lit(0).alias("pos"), normalise_key("t").alias("key"))
+    parts = base.select(id_col, F.lit(1).alias("stage"), F.posexplode(F.split("t", ",")).alias("pos", "w")).select(id_col, "stage", "pos", normalise_key("w").alias("key"))
+    found = _windows(base, id_col, "t", dim).select(id_col, (F.lit(2) + F.floor(F.col("pos") / 10_000_000).cast("int")).alias("stage"), F.col("pos").cast("int").alias("pos"), "key")
+    tried = whole.unionByName(parts).unionByName(found).where("key <> ''").join(dim, "key")
     best = tried.groupBy(id_col).agg(F.min_by("code", F.struct("stage", (-F.length("code")).alias("n"), "pos")).alias("region"))
     return df.select(id_col).distinct().join(best, id_col, "left")
 
 
+def cities(code_col: Column, places: Column) -> Column:
+    """Places of a region code in a map of code to places; none for unknown codes."""
+    return F.coalesce(F.element_at(places, code_col), F.array().cast("array<string>"))
+
+
+def kind_of(df: DataFrame, name: str, terms: DataFrame) -> DataFrame:
+    """Rows with the ``kind`` of their canonical term; null for unknown ones."""
+    return df.join(terms.groupBy(F.col("name").alias(name)).agg(F.max_by("kind", "ord").alias("kind")), name, "left")
+
+
 def compatible(region: Column, wanted: Column) -> Column:
     """Prefix relation in either direction; IN-REMOTE in the wanted list means IN."""
     return F.exists(wanted, lambda w: F.startswith(region, F.when(w == "IN-REMOTE", "IN").otherwise(w)) | F.startswith(F.when(w == "IN-REMOTE", "IN").otherwise(w), region))
@@ -76,10 +96,5 @@ def compatible(region: Column, wanted: Column) -> Column:
 def expects_artifacts(terms_held: Column, titles: Column, code_terms: list[str], analyst_terms: list[str]) -> Column:
     """Whether code can be expected: a code term outside the analyst set, or an analyst one under a title with a role word."""
     code = F.array_intersect(terms_held, strings(code_terms))
-    role = F.exists(titles, lambda t: F.regexp_like(t, F.lit(r"(?i)\b(engineer|developer|programmer|sde)s?\b")))
-    return (F.size(F.array_except(code, strings(analyst_terms))) > 0) | ((F.size(code) > 0) & role)
-
-
-def dictionary_windows(df: DataFrame) -> DataFrame:
-    """Number rows of a dimension that comes without an order (``ord``), by all its columns."""
-    return df.withColumn("ord", F.row_number().over(Window.orderBy(*df.columns)))
+    role = F.exists(titles, lambda t: F.regexp_like(t, F.lit(ROLE_WORD)))
+    return F.coalesce((F.size(F.array_except(code, strings(analyst_terms))) > 0) | ((F.size(code) > 0) & F.coalesce(role, F.lit(False))), F.lit(False))
