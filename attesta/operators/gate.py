@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import FOREIGN
+from ..functions.constants import FOREIGN, RESCUE_BELOW
 from ..functions.text import acceptable_titles, first_excluded, mentions_country, normalise_country, title_matches
 from .dictionary import compatible
+from .relational import null_safe_lookup
 
 
 def ordered_gate(rules: list[tuple[Column, Column]], note: Column | None = None) -> Column:
@@ -20,8 +21,13 @@ def ordered_gate(rules: list[tuple[Column, Column]], note: Column | None = None)
     return F.struct(passed.alias("passed"), F.when(passed, note if note is not None else F.lit(None).cast("string")).otherwise(reason).alias("reason"))
 
 
+def foreign_place(location: Column) -> Column:
+    """The first comma part of a location that names a country which disproves it; null if none does."""
+    return F.get(F.filter(F.transform(F.split(location, ","), lambda p: F.trim(p)), lambda p: normalise_country(p).isin(FOREIGN)), F.lit(0))
+
+
 def names_foreign(location: Column) -> Column:
-    return F.exists(F.split(location, ","), lambda p: normalise_country(p).isin(FOREIGN))
+    return foreign_place(location).isNotNull()
 
 
 def snippet_gate(title: Column, headline: Column, employer: Column, raw: Column, location: Column, region: Column, spec: dict[str, Column]) -> Column:
@@ -50,12 +56,23 @@ def snippet_gate(title: Column, headline: Column, employer: Column, raw: Column,
     return ordered_gate(rules, note)
 
 
-def rescue(refs: DataFrame, req: str, strict: str, loose: str, least: float = 0.5) -> DataFrame:
-    """Where under half of a requirement's refs pass the strict verdict, its failures take the loose one, annotated."""
-    share = F.avg(F.col(strict)["passed"].cast("double")).over(Window.partitionBy(req))
-    again = (F.col("pass_share") < least) & ~F.col(strict)["passed"] & F.col(loose)["passed"]
-    verdict = F.when(again, F.struct(F.lit(True).alias("passed"), F.concat(F.lit("rescued: "), F.coalesce(F.col(strict)["reason"], F.lit(""))).alias("reason"))).otherwise(F.col(strict))
-    return refs.withColumn("pass_share", share).withColumn("rescued", again).withColumn("verdict", verdict)
+def rescue(refs: DataFrame, req: str, strict: str, loose: str, least: float = RESCUE_BELOW) -> DataFrame:
+    """Where under half of a requirement's refs pass the strict verdict, its failures take the loose one, annotated.
+
+    Counts are aggregated once a requirement and joined back, so that no task holds all refs of one.
+    """
+    ok = F.col(strict)["passed"]
+    counts = refs.groupBy(req).agg(F.count("*").alias("_n"), F.count_if(ok).alias("_kept"))
+    joined = null_safe_lookup(refs, counts, req)
+    share = F.col("_kept") / F.col("_n")
+    again = (share < least) & ~ok & F.col(loose)["passed"]
+    note = F.concat(
+        F.lit("admitted: the job-title filter refused "), (F.col("_n") - F.col("_kept")).cast("string"), F.lit(" of "), F.col("_n").cast("string"),
+        F.lit(" people this search found, so it is not being trusted for this role — check the headline"),
+    )
+    why = F.nullif(F.col(loose)["reason"], F.lit(""))
+    verdict = F.when(again, F.struct(F.lit(True).alias("passed"), F.concat(note, F.coalesce(F.concat(F.lit(" ("), why, F.lit(")")), F.lit(""))).alias("reason"))).otherwise(F.col(strict))
+    return joined.withColumn("pass_share", share).withColumn("rescued", again).withColumn("verdict", verdict).drop("_n", "_kept")
 
 
 def regate(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

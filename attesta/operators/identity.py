@@ -10,9 +10,12 @@ from .relational import null_safe
 NEW_KEY = "concat('s-', substring(sha2(source_id, 256), 1, 16))"
 
 
-def resolve(keys: DataFrame, identities: DataFrame) -> DataFrame:
-    """(source_id, outcome, subject_id, candidates): none without keys, create on no match, attach on one, review on more."""
-    clean = keys.where("coalesce(trim(value), '') <> ''").select("source_id", "kind", F.trim("value").alias("value")).distinct()
+def resolve(keys: DataFrame, identities: DataFrame, kinds: list[str] = ()) -> DataFrame:
+    """(source_id, outcome, subject_id, candidates): none without keys, create on no match, attach on one, review on more.
+
+    ``kinds`` names the kinds that count as strong (all, if none are named).
+    """
+    clean = keys.where("coalesce(trim(value), '') <> ''").where(F.col("kind").isin(list(kinds)) if kinds else F.lit(True)).select("source_id", "kind", F.trim("value").alias("value")).distinct()
     seen = clean.join(identities.select("kind", "value", "subject_id"), ["kind", "value"], "left").groupBy("source_id").agg(F.array_sort(F.collect_set("subject_id")).alias("candidates"))
     out = keys.select("source_id").distinct().join(seen, "source_id", "left")
     n = F.size("candidates")
@@ -23,14 +26,16 @@ def resolve(keys: DataFrame, identities: DataFrame) -> DataFrame:
 def merge(identities: DataFrame, claims: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(identities, claims, journal) after subjects move from ``from_id`` to ``into_id``.
 
-    Claims that would collide with one of the target stay; the journal lists what moved, so that unmerge is exact.
+    Claims that would collide with one of the target stay; so do all but the first (by from_id, then claim) of those
+    that would collide with each other there. The journal lists what moved, so that unmerge is exact.
     """
-    m = merges.select("from_id", "into_id")
+    m = merges.select("from_id", "into_id").distinct()
+    key = ["into_id", "claim_type", "claim_key", "source_url"]
     moved_ids = identities.join(m, identities.subject_id == m.from_id)
     ids = identities.join(m, identities.subject_id == m.from_id, "left").select("identity_id", F.coalesce("into_id", "subject_id").alias("subject_id"), "kind", "value")
     own = claims.join(m, claims.subject_id == m.from_id)
     target = claims.select(F.col("subject_id").alias("into_id"), "claim_type", "claim_key", "source_url")
-    free = null_safe(own, target, ["into_id", "claim_type", "claim_key", "source_url"], "left_anti").select("claim_id", "from_id", "into_id")
+    free = null_safe(own, target, key, "left_anti").groupBy(*key).agg(F.min(F.struct("from_id", "claim_id")).alias("m")).select("m.claim_id", "m.from_id", "into_id")
     out = claims.join(free.select("claim_id", "into_id"), "claim_id", "left").withColumn("subject_id", F.coalesce("into_id", "subject_id")).select(claims.columns)
     a = moved_ids.groupBy("from_id", "into_id").agg(F.array_sort(F.collect_list("identity_id")).alias("identity_ids"))
     b = free.groupBy("from_id", "into_id").agg(F.array_sort(F.collect_list("claim_id")).alias("claim_ids"))
@@ -52,6 +57,19 @@ def strong_key_map(identities: DataFrame) -> DataFrame:
 
 
 def link_refs(refs: DataFrame, identities: DataFrame) -> DataFrame:
-    """Refs without a subject take that of the identity of their slug."""
-    slugs = identities.where("kind = 'slug'").select(F.col("value").alias("_slug"), F.col("subject_id").alias("_subject"))
-    return refs.join(slugs, F.split_part("ref_value", F.lit("/"), F.lit(3)) == F.col("_slug"), "left").withColumn("subject_id", F.coalesce("subject_id", "_subject")).select(refs.columns)
+    """Profile refs without a subject take that of the identity of their slug."""
+    slugs = identities.where("kind = 'linkedin_slug'").select(F.concat(F.lit("linkedin.com/in/"), F.lower("value")).alias("ref_value"), F.lit("linkedin_url").alias("ref_kind"), F.col("subject_id").alias("_subject"))
+    return refs.join(slugs, ["ref_kind", "ref_value"], "left").withColumn("subject_id", F.coalesce("subject_id", "_subject")).select(refs.columns)
+
+
+REVIEW = "multiple candidates hold strong keys from the same source"  # a fixed text
+
+
+def propose(resolved: DataFrame) -> DataFrame:
+    """Open reviews of sources whose keys name several subjects; nothing is merged."""
+    c = F.col("candidates")
+    return resolved.where("outcome = 'review'").select("source_id", c[0].alias("subject_a"), c[1].alias("subject_b"), F.lit(REVIEW).alias("reason"), F.to_json(F.struct(c.alias("all_matched"))).alias("evidence"), F.lit("open").alias("status"))
+
+
+def open_reviews(reviews: DataFrame, order: str = "source_id") -> DataFrame:
+    return reviews.where("status = 'open'").orderBy(order)

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.constants import NOTE_CHARS
 from .relational import first_wins, null_safe
 
 LEASE_MINUTES, ATTEMPTS = 15, 3
 
 
-def payload_hash(payload: Column) -> Column:
-    """Digest of a JSON object with its keys sorted."""
-    m = F.from_json(payload, "map<string,string>")
-    return F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m)))), 256)
+def payload_hash(kind: Column, payload: Column) -> Column:
+    """Digest of a job's kind and JSON payload: keys sorted at every level, values with their types, no white space."""
+    body = F.to_json(F.try_parse_json(payload))  # a variant keeps the fields of an object in the order of their names
+    return F.sha2(F.concat(F.lit('{"kind":"'), kind, F.lit('","payload":'), body, F.lit("}")), 256)
 
 
 def enqueue(jobs: DataFrame, asked: DataFrame, order: list[Column]) -> DataFrame:
     """Asked jobs without an unfinished one of the same kind and payload; repeats in one batch count once."""
-    new = first_wins(asked.withColumn("payload_hash", payload_hash(F.col("payload"))), ["kind", "payload_hash"], order)
-    return null_safe(new, jobs.where(F.col("state").isin("queued", "running")), ["kind", "payload_hash"], "left_anti")
+    new = first_wins(asked.withColumn("payload_hash", payload_hash(F.col("kind"), F.col("payload"))), ["payload_hash"], order)
+    return null_safe(new, jobs.where(F.col("state").isin("queued", "running")), ["payload_hash"], "left_anti")
 
 
 def reap(jobs: DataFrame, as_of: Column, minutes: int = LEASE_MINUTES, attempts: int = ATTEMPTS) -> DataFrame:
@@ -36,6 +37,13 @@ def finish(jobs: DataFrame, outcomes: DataFrame, attempts: int = ATTEMPTS) -> Da
     return j.withColumn("state", state).withColumn("last_error", F.coalesce("_error", "last_error")).drop("ok", "_error")
 
 
+def stop(jobs: DataFrame, ids: DataFrame, why: str = "stopped") -> DataFrame:
+    """Unfinished jobs of the ids end as stopped."""
+    hit = F.col("_stop").isNotNull() & F.col("state").isin("queued", "running")
+    j = jobs.join(ids.select("id", F.lit(True).alias("_stop")).distinct(), "id", "left")
+    return j.withColumn("last_error", F.when(hit, F.lit(why)).otherwise(F.col("last_error"))).withColumn("state", F.when(hit, "stopped").otherwise(F.col("state"))).drop("_stop")
+
+
 def next_jobs(jobs: DataFrame, n: int) -> DataFrame:
     """Oldest queued jobs: a top-k report."""
     return jobs.where("state = 'queued'").orderBy("created_at", "id").limit(n)
@@ -45,6 +53,24 @@ def state_counts(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("state").agg(F.count("*").alias("n"))
 
 
+def pending(jobs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """For each kind, whether a job of it waits or runs anywhere."""
+    live = jobs.where(F.col("state").isin("queued", "running")).select("kind", F.lit(True).alias("pending")).distinct()
+    return kinds.select("kind").join(live, "kind", "left").withColumn("pending", F.coalesce("pending", F.lit(False)))
+
+
+def noted(jobs: DataFrame, notes: DataFrame) -> DataFrame:
+    """Jobs with their newest note (id, note, noted_at), cut to what the column holds."""
+    last = notes.groupBy("id").agg(F.max_by(F.substring("note", 1, NOTE_CHARS), F.struct("noted_at", "note")).alias("note"))
+    return jobs.join(last, "id", "left")
+
+
+def also_affected(refs: DataFrame, read: DataFrame) -> DataFrame:
+    """(req_id): the other requirements that hold people of ``read`` (req_id, subject_id), once each."""
+    hit = refs.where("subject_id IS NOT NULL").select("req_id", "subject_id").join(read.select(F.col("req_id").alias("_own"), "subject_id"), "subject_id")
+    return hit.where("req_id <> _own").select(F.col("_own").alias("read_for"), "req_id").distinct()
+
+
 def policy_reason(has_row: Column, enabled: Column, reason: Column) -> Column:
     return F.when(~has_row, "no policy for this source").when(~enabled, F.coalesce(reason, F.lit("disabled")))
 

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.constants import LINKS, MONTHS, STAGES, WALLS
 from ..functions.text import employer_keys, first_integer, keyword_routes
 
-# Address templates of identity kinds.
-LINKS = {"slug": "https://www.linkedin.com/in/%s", "github": "https://github.com/%s"}
-
 
 def link_url(kind: Column, value: Column) -> Column:
     """Address of an identity; null for kinds without one."""
@@ -61,12 +59,18 @@ def region_choices(regions: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(regions.select("code").distinct(), "code", "left_semi")
 
 
-def page_state(page: Column) -> Column:
-    """How a page came out: walled, dated, rendered or empty."""
+def wall_marker(page: Column) -> Column:
+    """The first marker of a wall that a page holds, without regard to case; null if it holds none."""
     low = F.lower(F.coalesce(page, F.lit("")))
-    walled = F.contains(low, F.lit("sign in to")) | F.contains(low, F.lit("security check"))
-    dated = F.regexp_like(low, F.lit(r"\b(?:19|20)\d{2}\s*[-–—]\s*(?:present|(?:19|20)\d{2})|[a-z]{3,9} (?:19|20)\d{2}\s*[-–—]"))
-    return F.when(walled, "walled").when(dated, "dated").when(F.length(low) > 200, "rendered").otherwise("empty")
+    return F.coalesce(*[F.when(F.contains(low, F.lit(m.lower())), F.lit(m)) for m in WALLS])
+
+
+def stage_name(kind: Column) -> Column:
+    """What a requirement's queue is doing, for readers."""
+    out = F.lit("Starting up")
+    for k, name in STAGES.items():
+        out = F.when(kind == k, name).otherwise(out)
+    return out
 
 
 def company_field(label: Column, value: Column) -> Column:
@@ -92,10 +96,10 @@ def post_counts(reactions: Column, comments: Column) -> Column:
     return F.struct(F.coalesce(first_integer(reactions), F.lit(0)).alias("reactions"), F.coalesce(first_integer(comments), F.lit(0)).alias("comments"))
 
 
-# Dated ranges and wall markers of a page's text.
-_MONTH = r"(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+# Dated ranges of a page's text, and the walls that its fields tell.
+_MONTH = "(?:" + "|".join(m.capitalize() for m in MONTHS) + ")"
 DATED = r"(?iU)\b" + _MONTH + r"\w*\.?\s+\d{4}\s*[-–—]\s*(?:Present|[A-Z][a-z]{2}\w*\.?\s+\d{4})"
-WALLS = ("join linkedin", "authwall", "sign in to see")
+PAGE_WALLS = ("join linkedin", "authwall", "sign in to see")
 
 
 def page_fields(page: Column) -> tuple[Column, ...]:
@@ -103,7 +107,7 @@ def page_fields(page: Column) -> tuple[Column, ...]:
     text = F.coalesce(page, F.lit(""))
     low = F.lower(text)
     walled = F.lit(False)
-    for marker in WALLS:
+    for marker in PAGE_WALLS:
         walled = walled | F.contains(low, F.lit(marker))
     rendered = (F.char_length(text) > 5000) & ~walled
     return rendered.alias("rendered"), walled.alias("authwalled"), F.contains(low, F.lit("experience")).alias("has_experience"), F.regexp_count(text, F.lit(DATED)).alias("dated_entries")

@@ -30,6 +30,11 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
     return left.join(r, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]), how)
 
 
+def null_safe_lookup(df: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``df`` with the columns of ``facts``, which has one row a key; null keys are equal."""
+    return df.join(facts.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+
+
 def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Existing rows, and the first incoming row of each key that they lack."""
     new = null_safe(first_wins(incoming, keys, order), existing, keys, "left_anti")
@@ -62,11 +67,31 @@ def wildcard_join(df: DataFrame, policy: DataFrame, key: str, scope: str, value:
     return df.join(exact, key, "left").join(star, scope, "left").withColumn(value, F.coalesce("_e", "_s")[value]).drop("_e", "_s")
 
 
-def rolling_count(df: DataFrame, keys: list[str], ts: str, hours: int, tie: str) -> DataFrame:
-    """Rows of the key in the ``hours`` up to each row."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-hours * 3_600_000_000, 0)
-    return df.withColumn("_us", micros).withColumn("in_window", F.count(tie).over(w)).drop("_us")
+def rolling_count(df: DataFrame, keys: list[str], ts: str, hours: int, row_id: str) -> DataFrame:
+    """Rows of the key in the ``hours`` up to each row (``row_id`` is unique), its own instant included on both ends.
+
+    Rows are dealt by key and hour, so a key with all rows has a task an hour. A row's count is that of whole hours
+    (a window over one row an hour), and of the two hours that its window cuts: in its own it counts what isn't later,
+    and in the first, by a probe that it sends there, what isn't earlier than the window's start.
+    """
+    hour = 3_600_000_000
+    rows = df.select(*keys, row_id, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
+    at = lambda shift: F.floor((F.col("_us") - shift) / hour).cast("long")
+    own = rows.select(*keys, row_id, "_us", at(0).alias("_h"), F.lit(1).alias("_row"))
+    probes = rows.select(*keys, row_id, (F.col("_us") - hours * hour).alias("_us"), at(hours * hour).alias("_h"), F.lit(0).alias("_row"))
+    upto = Window.partitionBy(*keys, "_h").orderBy("_us")
+    seen = own.unionByName(probes).select(
+        row_id, "_row",
+        F.when(F.col("_row") == 1, F.sum("_row").over(upto.rangeBetween(Window.unboundedPreceding, 0))).otherwise(-F.coalesce(F.sum("_row").over(upto.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_n"),
+    )
+    by_hour = Window.partitionBy(*keys).orderBy("_h")
+    whole = own.groupBy(*keys, "_h").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(by_hour.rangeBetween(-hours, -1)), F.lit(0)))
+    parts = seen.groupBy(row_id).agg(F.sum("_n").alias("_n"))
+    same = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in keys]
+    sums = whole.select(*[F.col(k).alias(f"_w_{k}") for k in keys], F.col("_h").alias("_wh"), "_before")
+    placed = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_h", at(0))
+    out = placed.join(sums, reduce(lambda a, b: a & b, [*same, F.col("_h") == F.col("_wh")])).join(parts, row_id)
+    return out.withColumn("in_window", (F.col("_before") + F.col("_n")).cast("long")).select(*df.columns, "in_window")
 
 
 def window_frees_at(df: DataFrame, keys: list[str], ts: str, as_of: Column, hours: int) -> DataFrame:
@@ -105,3 +130,18 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Colum
     """The last value that isn't null up to each row. A closing row passes a struct with a null field."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+
+
+def all_of(conditions: list[Column | None]) -> Column:
+    """The conditions that are asked for, all of them; true if none is."""
+    return reduce(lambda a, b: a & b, [c for c in conditions if c is not None], F.lit(True))
+
+
+def merged_maps(first: Column, second: Column) -> Column:
+    """Entries of both maps; those of the second win."""
+    return F.map_concat(F.map_filter(first, lambda k, _: ~F.coalesce(F.map_contains_key(second, k), F.lit(False))), second)
+
+
+def dropped_counts(df: DataFrame, key: str) -> DataFrame:
+    """How often each dropped key occurs, by key."""
+    return df.groupBy(key).agg(F.count("*").alias("n")).orderBy(key)

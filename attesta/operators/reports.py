@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import ACTIONS
 from ..functions.scores import label, segments
+from .panels import link_url, stage_name
 from .relational import scalar_lookup, top_k
 from .scoring import current_matches
 
@@ -40,8 +41,16 @@ def not_opened(refs: DataFrame, checked: DataFrame) -> DataFrame:
     return refs.where("state = 'failed'").join(checked.select("subject_id").distinct(), "subject_id", "left_anti")
 
 
-def detail(matches: DataFrame, claims: DataFrame, actions: DataFrame, requirements: DataFrame) -> DataFrame:
-    """For each current match: proven and stated claims, and the five newest decisions on other requirements."""
+def weighted_components(components: Column, weights: Column) -> Column:
+    """Components (a map) without those to which the weights (a map) give none; all of them where there are no weights."""
+    return F.when(weights.isNull(), components).otherwise(F.map_filter(components, lambda k, _: F.coalesce(F.element_at(weights, k), F.lit(1.0)) > 0))
+
+
+def detail(matches: DataFrame, claims: DataFrame, actions: DataFrame, requirements: DataFrame, identities: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """For each current match: proven and stated claims, and the five newest decisions on other requirements.
+
+    ``identities`` add the person's links; ``weights`` (version, weights map) cut a ``components`` map to those that count.
+    """
     rows = claims.groupBy("subject_id").agg(
         *[F.array_sort(F.collect_list(F.when(c, F.struct("claim_type", "claim_key", "claim_value", "source_url")))).alias(n) for n, c in (("proven", F.col("tier") == "artifact_backed"), ("says_so", F.col("tier") != "artifact_backed"))]
     )
@@ -49,7 +58,13 @@ def detail(matches: DataFrame, claims: DataFrame, actions: DataFrame, requiremen
     now = current_matches(matches)
     prior = now.select("req_id", "subject_id").join(past, "subject_id").where("other_req <> req_id")
     prior = top_k(prior, ["req_id", "subject_id"], [F.desc("acted_at"), F.desc("action_id")], 5).groupBy("req_id", "subject_id").agg(F.array_sort(F.collect_list(F.struct("rank", "other_req", "action"))).alias("prior"))
-    return now.join(rows, "subject_id", "left").join(prior, ["req_id", "subject_id"], "left")
+    out = now.join(rows, "subject_id", "left").join(prior, ["req_id", "subject_id"], "left")
+    if identities is not None:
+        links = identities.withColumn("url", link_url(F.col("kind"), F.col("value"))).groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct("kind", "value", "url"))).alias("links"))
+        out = out.join(links, "subject_id", "left")
+    if weights is not None:
+        out = out.join(weights.select(F.col("version").alias("weights_version"), F.col("weights").alias("_w")), "weights_version", "left").withColumn("components", weighted_components(F.col("components"), F.col("_w"))).drop("_w")
+    return out
 
 
 def overview(requirements: DataFrame, refs: DataFrame, matches: DataFrame, actions: DataFrame, runs: DataFrame) -> DataFrame:
@@ -57,22 +72,31 @@ def overview(requirements: DataFrame, refs: DataFrame, matches: DataFrame, actio
     done = actions.where("action = 'shortlisted'").join(matches.select("match_id", "req_id"), "match_id")
     out = scalar_lookup(requirements, refs, "req_id", {"found": F.count("*"), "kept": F.count_if(F.col("state") == "passed")}, {"found": 0, "kept": 0})
     out = scalar_lookup(out, current_matches(matches), "req_id", {"ranked": F.count("*")}, {"ranked": 0})
-    out = scalar_lookup(out, done, "req_id", {"shortlisted": F.count_distinct("match_id")}, {"shortlisted": 0})
+    out = scalar_lookup(out, done, "req_id", {"shortlisted": F.count("*")}, {"shortlisted": 0})
     return scalar_lookup(out, runs, "req_id", {"last_run": F.max("run_at")})
 
 
 def progress(jobs: DataFrame, as_of: Column, stall_seconds: int = 90) -> DataFrame:
-    """For each requirement of the queue: pending, stalled, stage and age of its oldest open job."""
-    is_open = F.col("state").isin("queued", "running")
+    """For each requirement with an unfinished job: pending and stalled jobs, what it is doing, and for how long."""
+    live = jobs.where(F.col("state").isin("queued", "running")).withColumn("req_id", F.get_json_object("payload", "$.role_id"))
     stalled = (F.col("state") == "queued") & (F.col("attempts") == 0) & (F.col("created_at") < as_of - F.make_dt_interval(secs=F.lit(stall_seconds)))
-    return jobs.withColumn("req_id", F.get_json_object("payload", "$.role_id")).groupBy("req_id").agg(
-        F.count_if(is_open).alias("pending"),
+    return live.groupBy("req_id").agg(
+        F.count("*").alias("pending"),
         F.count_if(stalled).alias("stalled"),
-        F.coalesce(F.min(F.when(F.col("state") == "running", F.col("kind"))), F.min(F.when(F.col("state") == "queued", F.col("kind")))).alias("stage"),
-        F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.min(F.when(is_open, F.col("created_at"))).cast("timestamp"))) / 1_000_000).cast("long").alias("age_s"),
+        F.coalesce(F.min(F.when(F.col("state") == "running", F.col("kind"))), F.min("kind")).alias("stage"),
+        F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.min("created_at").cast("timestamp"))) / 1_000_000).cast("long").alias("age_s"),
     )
 
 
+def role_progress(requirements: DataFrame, refs: DataFrame, matches: DataFrame, claims: DataFrame, jobs: DataFrame, as_of: Column) -> DataFrame:
+    """Numbers of each requirement's search: found and kept refs, people ranked and read, and its queue."""
+    read = current_matches(matches).join(claims.select("subject_id").distinct(), "subject_id", "left_semi")
+    out = scalar_lookup(requirements, refs, "req_id", {"found": F.count("*"), "kept": F.count_if(F.col("state") == "passed")}, {"found": 0, "kept": 0})
+    out = scalar_lookup(out, read, "req_id", {"ranked": F.count("*")}, {"ranked": 0})
+    queue = progress(jobs, as_of)
+    return out.join(queue, "req_id", "left").fillna(0, ["pending", "stalled", "age_s"]).withColumn("doing", stage_name(F.col("stage")))
+
+
 def degraded(requirements: DataFrame, matches: DataFrame, claims: DataFrame) -> DataFrame:
     """Requirements none of whose matches has computed years."""
     known = current_matches(matches).join(claims.where("claim_type = 'experience_years'").select("subject_id").distinct(), "subject_id", "left_semi").select("req_id").distinct()
@@ -108,9 +132,10 @@ def search_cost(planned: Column, ran: Column, depth: Column) -> Column:
     return ran + (planned - ran) * (depth + 1)
 
 
-def search_depth(runs: DataFrame, req: str, payload: str) -> DataFrame:
+def search_depth(jobs: DataFrame, req: str, payload: str) -> DataFrame:
+    """The deepest page that each requirement was searched to; payloads that name none count as 1."""
     pages = F.coalesce(F.get_json_object(payload, "$.pages").try_cast("int"), F.lit(1))
-    return runs.groupBy(req).agg(F.max(pages).alias("depth"))
+    return jobs.groupBy(req).agg(F.max(pages).alias("depth"))
 
 
 def preflight(rules: list[tuple[Column, str]], count: Column, limit: Column) -> Column:

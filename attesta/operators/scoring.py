@@ -6,16 +6,16 @@ requirements are a small dimension that is joined on the claim key, not a per-su
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..functions.constants import BANNED, COMPONENTS, DECIMALS, DEPTH_CAP, NICE_WEIGHT, NONE_HELD_FACTOR, SCORER_VERSION, TIERS, WEIGHTS
+from ..functions.constants import BANNED, COMPONENTS, DECIMALS, DEPTH_CAP, NICE_WEIGHT, NONE_HELD_FACTOR, PROFILES, SCORER_VERSION, TIERS, WEIGHTS
 from ..functions.text import banned_signal
 from ..functions.timefn import days_between, decay
 from .dictionary import compatible
 from .gate import names_foreign
-from .relational import latest_per_key
+from .relational import latest_per_key, upsert
 
 
 def wanted_terms(requirements: DataFrame) -> DataFrame:
@@ -25,12 +25,12 @@ def wanted_terms(requirements: DataFrame) -> DataFrame:
     return must.unionByName(nice)
 
 
-def components(requirements: DataFrame, claims: DataFrame, as_of: Column, pairs: DataFrame | None = None, depth_cap: float = DEPTH_CAP) -> DataFrame:
-    """Facts and components of each pair (all subjects with claims against all requirements unless ``pairs`` is given).
+def components(requirements: DataFrame, claims: DataFrame, as_of: Column, pairs: DataFrame, depth_cap: float = DEPTH_CAP) -> DataFrame:
+    """Facts and components of each pair (req_id, subject_id): the subjects that a search attached to a requirement.
 
-    Three aggregates over the claims (by subject and wanted term, by subject, location rows), then joins by subject.
+    A foreign place is that of the first claim (by claim_id, where claims have one; else by its text). Three aggregates over the claims (by subject and wanted term, by subject, location rows), then joins by subject.
     """
-    usable = claims.where(banned_signal(F.lit(None).cast("string"), "claim_key", BANNED).isNull() & ~F.col("claim_type").isin(BANNED))
+    usable = claims.where(banned_signal("claim_type", "claim_key", BANNED).isNull())
     artifact = F.col("tier") == "artifact_backed"
     terms = wanted_terms(requirements)
     held = (
@@ -56,16 +56,14 @@ def components(requirements: DataFrame, claims: DataFrame, as_of: Column, pairs:
         F.max(F.when(F.col("claim_type") == "experience_years", F.col("value_num"))).alias("stated_years"),
         F.max(F.when(F.col("claim_type") == "availability", 1.0).otherwise(0.0)).alias("available"),
         F.array_sort(F.collect_set(F.when(F.col("claim_type") == "location", F.nullif(F.col("claim_key"), F.lit(""))))).alias("regions_held"),
-        F.min(F.when((F.col("claim_type") == "location") & names_foreign(F.col("claim_value")), F.trim("claim_value"))).alias("foreign_place"),
+        F.min_by(F.trim("claim_value"), F.when((F.col("claim_type") == "location") & names_foreign(F.col("claim_value")), F.struct(*([F.col("claim_id")] if "claim_id" in claims.columns else []), F.trim("claim_value").alias("v")))).alias("foreign_place"),
     )
-    if pairs is None:
-        pairs = claims.select("subject_id").distinct().crossJoin(F.broadcast(requirements.select("req_id")))  # requirements: one row a search
-    base = pairs.join(facts, "subject_id", "left").join(skill, ["req_id", "subject_id"], "left").join(requirements, "req_id")
+    base = pairs.select("req_id", "subject_id").distinct().join(facts, "subject_id", "left").join(skill, ["req_id", "subject_id"], "left").join(requirements, "req_id")
     total = F.aggregate("must_have", F.lit(0.0), lambda a, _: a + 1.0) + NICE_WEIGHT * F.size(F.array_except("nice_to_have", "must_have"))
     years = F.coalesce("stated_years", days_between(as_of, F.col("earliest")) / F.lit(365.25))
     basis = F.when(F.col("stated_years").isNotNull(), "computed").when(F.col("earliest").isNotNull(), "estimated").otherwise("unknown")
     none = F.array().cast("array<string>")
-    return base.select(
+    made = base.select(
         *requirements.columns, "subject_id", "latest", "foreign_place", basis.alias("seniority_basis"),
         F.coalesce("regions_held", none).alias("regions_held"), F.coalesce("must_held", none).alias("must_held"),
         scores.clamp(F.when(total > 0, F.coalesce("earned", F.lit(0.0)) / total).otherwise(0.0)).alias("skill_match"),
@@ -74,6 +72,15 @@ def components(requirements: DataFrame, claims: DataFrame, as_of: Column, pairs:
         scores.clamp(F.when(F.col("latest").isNull(), 0.0).otherwise(decay(days_between(as_of, F.col("latest"))))).alias("activity_recency"),
         scores.clamp(F.coalesce("available", F.lit(0.0))).alias("availability"),
     )
+    return allowed_only(made, [*requirements.columns, "subject_id", "latest", "foreign_place", "seniority_basis", "regions_held", "must_held"])
+
+
+def allowed_only(scored: DataFrame, facts: list[str]) -> DataFrame:
+    """``scored``, if what it holds besides ``facts`` are exactly the components that may be scored; else an error."""
+    found = set(scored.columns) - set(facts)
+    if found != set(COMPONENTS):
+        raise ValueError(f"components {sorted(found)} differ from the allowed {sorted(COMPONENTS)}")
+    return scored
 
 
 def gates(as_of: Column) -> dict[str, Column]:
@@ -101,8 +108,8 @@ def gates(as_of: Column) -> dict[str, Column]:
     return {"gate_must_have": musts, "gate_location": location, "gate_activity": activity}
 
 
-def evaluate(requirements: DataFrame, claims: DataFrame, as_of: Column, weights: DataFrame | None = None, pairs: DataFrame | None = None, depth_cap: float = DEPTH_CAP) -> DataFrame:
-    """One row for each (req_id, subject_id): gates, components, score, passed, label.
+def evaluate(requirements: DataFrame, claims: DataFrame, as_of: Column, pairs: DataFrame, weights: DataFrame | None = None, depth_cap: float = DEPTH_CAP) -> DataFrame:
+    """One row for each pair (req_id, subject_id): gates, components, score, passed, label.
 
     ``weights`` has (profile, version, w_<component>) with one active row a profile; without it all weigh 0.2.
     """
@@ -126,12 +133,38 @@ def active_weights(weights: DataFrame) -> DataFrame:
     return latest_per_key(weights.where("active"), ["profile"], [F.desc("weights_id")])
 
 
+def profile_of(expects: Column) -> Column:
+    """The weight profile of a requirement, by whether artifacts can be expected of its people."""
+    return F.when(expects, PROFILES[True]).otherwise(PROFILES[False])
+
+
+def upsert_matches(existing: DataFrame, scored: DataFrame) -> DataFrame:
+    """One match for each requirement, subject and pair of versions; a new score replaces an older one of its key."""
+    key = ["req_id", "subject_id", "scorer_version", "weights_version"]
+    return upsert(existing, scored, key, ["scored_at"], [c for c in existing.columns if c not in (*key, "match_id")])
+
+
 def current_matches(matches: DataFrame) -> DataFrame:
     """The latest score of each (requirement, subject), over versions."""
     return latest_per_key(matches, ["req_id", "subject_id"], [F.col("scored_at").desc_nulls_last(), F.desc("match_id")])
 
 
-def ranked(scored: DataFrame, by: list[str]) -> DataFrame:
-    from pyspark.sql import Window
+#: Steps of the score by which ranks are dealt.
+STEPS = 1000
+
 
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "subject_id")))
+def ranked(scored: DataFrame, by: str, tie: str = "subject_id", ties: Column | None = None) -> DataFrame:
+    """Rows with their rank in ``by``: by score, then ``tie``.
+
+    Rows are dealt by their score (and by ``ties``, a number that grows with ``tie``, where many rows can have one score),
+    ranked within such a cell, and moved by the count of the cells before it in its step of the score, and of the steps
+    before that one: no task holds all rows of a requirement.
+    """
+    low = F.coalesce("score", F.lit(-1.0))
+    placed = scored.withColumn("_score", low).withColumn("_step", -F.floor(low * STEPS).cast("long")).withColumn("_tie", (F.lit(0) if ties is None else ties).cast("long"))
+    past = lambda keys, *order: F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = placed.groupBy(by, "_step", "_score", "_tie").agg(F.count("*").alias("_n")).withColumn("_in_step", past([by, "_step"], F.desc("_score"), "_tie")).drop("_n")
+    steps = placed.groupBy(by, "_step").agg(F.count("*").alias("_n")).withColumn("_before", past([by], "_step")).drop("_n")
+    own = F.row_number().over(Window.partitionBy(by, "_step", "_score", "_tie").orderBy(tie))
+    out = placed.withColumn("_own", own).join(cells, [by, "_step", "_score", "_tie"]).join(steps, [by, "_step"])
+    return out.withColumn("rank", (F.col("_own") + F.col("_in_step") + F.col("_before")).cast("long")).drop("_score", "_step", "_tie", "_own", "_in_step", "_before")

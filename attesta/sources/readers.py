@@ -16,10 +16,21 @@ USER = (
 )
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+class Tables(dict):
+    """The driver's tables by name, each opened when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        df = self[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return df
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The driver's tables; a scan reads the columns that a plan needs."""
-    names = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names.split()}
+    return Tables(spark, sf_dir)
 
 
 def split_title(title: Column) -> Column:
@@ -65,6 +76,12 @@ def code_host_repos(payloads: DataFrame, payload: str) -> DataFrame:
     )
 
 
+def code_host_accounts(payloads: DataFrame, payload: str) -> DataFrame:
+    """(subject_id, login, account_type, location, hireable, url) of code-host payloads."""
+    p = payloads.select("subject_id", F.from_json(payload, USER).alias("p")).select("subject_id", "p.user")
+    return p.select("subject_id", "user.login", F.col("user.type").alias("account_type"), "user.location", "user.hireable", F.col("user.html_url").alias("url"))
+
+
 def contacts(spark: SparkSession, path: str) -> DataFrame:
     """CSV export with a header (UTF-8, byte-order mark allowed), all strings."""
     df = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True, escape='"')
