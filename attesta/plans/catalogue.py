@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import matching_queries, relational_queries, text_queries
+from . import matching_queries, operator_queries, relational_queries, text_queries
 
-QUERIES = matching_queries.QUERIES | relational_queries.QUERIES | text_queries.QUERIES
+QUERIES = matching_queries.QUERIES | relational_queries.QUERIES | text_queries.QUERIES | operator_queries.QUERIES

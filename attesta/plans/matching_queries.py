@@ -35,24 +35,32 @@ def claims(t: dict[str, DataFrame]) -> DataFrame:
     return skill.unionByName(place).unionByName(years).unionByName(ready)
 
 
+def _pairs(t: dict[str, DataFrame]) -> DataFrame:
+    """The one search has found all customers."""
+    return t["customer"].select(F.lit("r1").alias("req_id"), F.col("c_custkey").alias("subject_id"))
+
+
 def _as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
 def shortlist_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = evaluate(requirements(spark), claims(tables(spark, sf_dir)), _as_of(), depth_cap=CAP)
-    return ranked(scored, ["req_id"]).select("req_id", "subject_id", *COMPONENTS, "score", "gate_must_have", "gate_location", "gate_activity", "passed", "label", F.col("rank").cast("long").alias("rank"))
+    t = tables(spark, sf_dir)
+    scored = evaluate(requirements(spark), claims(t), _as_of(), _pairs(t), depth_cap=CAP)
+    return ranked(scored, "req_id", ties=F.col("subject_id") / 4096).select("req_id", "subject_id", *COMPONENTS, "score", "gate_must_have", "gate_location", "gate_activity", "passed", "label", "rank")
 
 
 def component_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = components(requirements(spark), claims(tables(spark, sf_dir)), _as_of(), depth_cap=CAP)
+    t = tables(spark, sf_dir)
+    rows = components(requirements(spark), claims(t), _as_of(), _pairs(t), depth_cap=CAP)
     return rows.select("subject_id", "seniority_basis", *COMPONENTS)
 
 
 def weighted_profile_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores under the newest active weights of a profile."""
     w = spark.createDataFrame([(1, "tech", "v0", True, 0.1, 0.1, 0.1, 0.1, 0.6), (2, "tech", "v1", True, 0.4, 0.2, 0.2, 0.2, 0.0), (3, "tech", "v2", False, 1.0, 0.0, 0.0, 0.0, 0.0)], "weights_id int, profile string, version string, active boolean, " + ", ".join(f"w_{c} double" for c in COMPONENTS))
-    out = evaluate(requirements(spark), claims(tables(spark, sf_dir)), _as_of(), active_weights(w), depth_cap=CAP)
+    t = tables(spark, sf_dir)
+    out = evaluate(requirements(spark), claims(t), _as_of(), _pairs(t), active_weights(w), depth_cap=CAP)
     return out.select("subject_id", "weights_version", "score")
 
 
@@ -65,7 +73,7 @@ def golden_score(spark: SparkSession, sf_dir: str) -> DataFrame:
          ("s", "experience_years", None, None, 6.0, "self_reported", False), ("s", "availability", None, None, None, "self_reported", False)],
         "subject_id string, claim_type string, claim_key string, claim_value string, value_num double, tier string, dated boolean",
     ).withColumn("observed_at", F.when(F.col("dated"), now))
-    return evaluate(r, c, now).select("subject_id", *COMPONENTS, "score", "passed")
+    return evaluate(r, c, now, c.select(F.lit("g").alias("req_id"), "subject_id")).select("subject_id", *COMPONENTS, "score", "passed")
 
 
 _BASE = f"""
@@ -102,5 +110,8 @@ SELECT 'r1' AS req_id, subject_id, skill_match, skill_depth, seniority_fit, acti
   row_number() OVER (ORDER BY score DESC, subject_id) AS rank FROM sc"""),
     "component_breakdown": (component_breakdown, _BASE + "SELECT subject_id, CASE WHEN y IS NOT NULL THEN 'computed' WHEN latest IS NOT NULL THEN 'estimated' ELSE 'unknown' END AS seniority_basis, skill_match, skill_depth, seniority_fit, activity_recency, availability FROM comp"),
     "weighted_profile_join": (weighted_profile_join, _BASE + "SELECT subject_id, 'v1' AS weights_version, round((0.4 * skill_match + 0.2 * skill_depth + 0.2 * seniority_fit + 0.2 * activity_recency + 0.0 * availability)::DOUBLE * CASE WHEN n_must = 0 THEN 0.25::DOUBLE ELSE 1 END, 6) AS score FROM comp"),
-    "golden_score": (golden_score, "SELECT 's' AS subject_id, 0.833333::DOUBLE AS skill_match, round(ln(1 + 100000::DOUBLE) / ln(1 + 500000::DOUBLE), 6) AS skill_depth, 1.0::DOUBLE AS seniority_fit, 1.0::DOUBLE AS activity_recency, 1.0::DOUBLE AS availability, 0.942137::DOUBLE AS score, true AS passed"),
+    "golden_score": (golden_score, """WITH w(k, weight, must) AS (VALUES ('Python', 1.0::DOUBLE, true), ('PostgreSQL', 1.0, true), ('Kubernetes', 0.4, false)), h(k, bytes, days) AS (VALUES ('Python', 100000.0::DOUBLE, 0), ('PostgreSQL', 100000.0, 0)),
+c AS (SELECT round(sum(weight) FILTER (WHERE bytes IS NOT NULL) / sum(weight), 6) AS skill_match, round(sum(CASE WHEN must THEN least(1.0, ln(1 + bytes) / ln(1 + 500000::DOUBLE)) * pow(0.5, days / 365.0) END) / count(*) FILTER (WHERE must), 6) AS skill_depth,
+  round(least(1.0, greatest(0.0, 1 - (4 - 6) / 4.0::DOUBLE)), 6) AS seniority_fit, round(pow(0.5, min(days) / 365.0), 6) AS activity_recency, 1.0::DOUBLE AS availability FROM w LEFT JOIN h USING (k))
+SELECT 's' AS subject_id, *, round((skill_match + skill_depth + seniority_fit + activity_recency + availability) * 0.2, 6) AS score, true AS passed FROM c"""),
 }

@@ -2,24 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timefn
 from ..operators import gate, identity, jobs, relational as R, reports
-from ..sources.readers import tables
-
-QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = (lambda spark, sf_dir: f(tables(spark, sf_dir)), sql)
-        return f
+from .registry import Registry
 
-    return add
+QUERIES = Registry()
+query = QUERIES.query
 
 
 def _ts(c: str):
@@ -113,12 +103,13 @@ def tier_split_sort(t):
 
 
 @query("""WITH c AS (SELECT c_custkey, c_nationkey, c_acctbal > 6000 AS strict, c_acctbal > 2000 AS loose FROM customer),
-s AS (SELECT *, avg(CASE WHEN strict THEN 1.0 ELSE 0 END) OVER (PARTITION BY c_nationkey) AS share FROM c)
-SELECT c_custkey, strict OR (share < 0.5 AND loose) AS passed, NOT strict AND share < 0.5 AND loose AS rescued FROM s""")
+s AS (SELECT *, count(*) FILTER (WHERE strict) OVER (PARTITION BY c_nationkey) AS kept, count(*) OVER (PARTITION BY c_nationkey) AS n FROM c)
+SELECT c_custkey, strict OR (kept / n < 0.5 AND loose) AS passed, NOT strict AND kept / n < 0.5 AND loose AS rescued,
+CASE WHEN strict THEN NULL WHEN kept / n < 0.5 AND loose THEN 'admitted: the job-title filter refused ' || (n - kept) || ' of ' || n || ' people this search found, so it is not being trusted for this role — check the headline' ELSE 'balance: under 6000' END AS reason FROM s""")
 def rescue_threshold(t):
     verdict = lambda limit: gate.ordered_gate([(F.col("c_acctbal") <= limit, F.concat(F.lit("balance: under "), F.lit(limit)))])
     rows = t["customer"].select("c_custkey", "c_nationkey", verdict(6000).alias("strict"), verdict(2000).alias("loose"))
-    return gate.rescue(rows, "c_nationkey", "strict", "loose").select("c_custkey", F.col("verdict.passed").alias("passed"), "rescued")
+    return gate.rescue(rows, "c_nationkey", "strict", "loose").select("c_custkey", F.col("verdict.passed").alias("passed"), "rescued", F.col("verdict.reason").alias("reason"))
 
 
 @query("""WITH c AS (SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'passed' ELSE 'failed' END AS old_state, CASE WHEN c_acctbal > 3000 AND c_mktsegment <> 'BUILDING' THEN 'passed' ELSE 'failed' END AS new_state,
@@ -191,19 +182,19 @@ def lease_reap_state(t):
 
 
 @query(f"""WITH p AS (SELECT DISTINCT event_type AS domain, event_type <> 'error' AS enabled FROM events),
-f AS (SELECT event_type AS domain, count(*) AS ran, count(*) FILTER (WHERE value > 99.9) AS succeeded, count(*) FILTER (WHERE value > 99.9 AND ts >= TIMESTAMP '{DAY}' - INTERVAL 7 DAY) AS lately FROM events GROUP BY 1)
-SELECT domain, ran, succeeded, lately, CASE WHEN NOT enabled THEN 'red' WHEN ran = 0 OR succeeded = 0 OR lately = 0 THEN 'amber' ELSE 'green' END AS light FROM p JOIN f USING (domain)""")
+f AS (SELECT event_type AS domain, strftime(max(ts) FILTER (WHERE value > 99.9), '%Y-%m-%d %H:%M:%S') AS last_success, arg_max(props, (ts, event_id)) FILTER (WHERE value <= 99.9) AS last_error, count(*) AS ran, count(*) FILTER (WHERE value > 99.9) AS succeeded, count(*) FILTER (WHERE value > 99.9 AND ts >= TIMESTAMP '{DAY}' - INTERVAL 7 DAY) AS lately FROM events GROUP BY 1)
+SELECT domain, ran, succeeded, lately, last_success, last_error, CASE WHEN NOT enabled THEN 'red' WHEN ran = 0 OR succeeded = 0 OR lately = 0 THEN 'amber' ELSE 'green' END AS light FROM p JOIN f USING (domain)""")
 def health_light(t):
     e = t["events"]
     p = e.select(F.col("event_type").alias("domain"), (F.col("event_type") != "error").alias("enabled")).distinct()
     f = e.select(F.col("event_type").alias("domain"), F.when(F.col("value") > 99.9, 200).otherwise(500).alias("status"), F.col("ts").alias("fetched_at"), F.col("props").alias("error"), F.col("event_id").alias("fetch_id"))
-    return reports.health(p, f, F.lit(DAY).cast("timestamp_ntz")).select("domain", "ran", "succeeded", "lately", "light")
+    return reports.health(p, f, F.lit(DAY).cast("timestamp_ntz")).select("domain", "ran", "succeeded", "lately", _ts("last_success"), "last_error", "light")
 
 
-@query("""WITH o AS (SELECT o_custkey, max(o_totalprice) AS best FROM orders GROUP BY 1)
+@query("""WITH o AS (SELECT o_custkey, max(o_totalprice) AS best FROM orders WHERE o_custkey % 7 > 0 GROUP BY 1)
 SELECT CASE WHEN o_custkey IS NULL THEN 'unchecked' WHEN best > 250000 THEN 'ranked' ELSE 'ruled_out' END AS bucket, count(*) AS n FROM customer LEFT JOIN o ON c_custkey = o_custkey GROUP BY 1""")
 def bucket_split(t):
-    o = t["orders"].groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("best"))
+    o = t["orders"].where("o_custkey % 7 > 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("best"))
     bucket = F.when(F.col("best").isNull(), "unchecked").when(F.col("best") > 250000, "ranked").otherwise("ruled_out")
     return t["customer"].select("c_custkey").join(o, "c_custkey", "left").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -243,9 +234,12 @@ def wildcard_policy_join(t):
     return R.wildcard_join(rows, policy, "domain", "adapter", "cap").select("doc_id", "cap")
 
 
-@query("SELECT event_id, sha256('{\"k\":\"' || json_extract_string(props, '$.k') || '\"}') AS payload_hash FROM events")
+@query("""SELECT event_id, sha256('{"kind":"' || event_type || '","payload":{"a":{"x":"' || user_id || '","y":[1,true,null]},"k":' || CASE WHEN event_id % 2 = 0 THEN '"' ELSE '' END || CAST(json_extract(props, '$.k') AS VARCHAR) || CASE WHEN event_id % 2 = 0 THEN '"' ELSE '' END || '}}') AS payload_hash FROM events""")
 def payload_hash(t):
-    return t["events"].select("event_id", jobs.payload_hash(F.col("props")).alias("payload_hash"))
+    """Keys in another order at both levels, white space, and numbers that differ from strings of the same digits."""
+    k, quote = F.get_json_object("props", "$.k"), F.when(F.col("event_id") % 2 == 0, '"').otherwise("")
+    body = F.concat(F.lit('{ "k" : '), quote, k, quote, F.lit(', "a" : {"y": [1, true, null], "x": "'), F.col("user_id").cast("string"), F.lit('"} }'))
+    return t["events"].select("event_id", jobs.payload_hash(F.col("event_type"), body).alias("payload_hash"))
 
 
 @query("SELECT user_id, max(coalesce(try_cast(json_extract_string(props, '$.k') AS INTEGER), 1)) AS depth FROM events GROUP BY 1")
@@ -265,12 +259,14 @@ def yield_summary(t):
     return reports.yield_summary(t["events"], ["event_type"], F.col("value") > 75)
 
 
-@query("""WITH j AS (SELECT event_type AS kind, props, event_id FROM events), open AS (SELECT DISTINCT kind, props FROM j WHERE event_id % 4 = 0)
-SELECT kind, min(event_id) AS id FROM j WHERE event_id % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM open o WHERE o.kind = j.kind AND o.props = j.props) GROUP BY kind, props""")
+@query("""WITH j AS (SELECT event_id AS id, event_type AS kind, user_id AS u, CAST(json_extract(props, '$.k') AS INTEGER) % 5 AS k FROM events), open AS (SELECT DISTINCT kind, u, k FROM j WHERE id % 4 = 0 AND id % 8 = 0)
+SELECT kind, u, k, min(id) AS id FROM j WHERE id % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM open o WHERE o.kind = j.kind AND o.u = j.u AND o.k = j.k) GROUP BY ALL""")
 def enqueue_idempotent(t):
-    e = t["events"].select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("props").alias("payload"))
-    old = e.where("id % 4 = 0").withColumn("payload_hash", jobs.payload_hash(F.col("payload"))).withColumn("state", F.lit("queued"))
-    return jobs.enqueue(old, e.where("id % 4 <> 0"), [F.asc("id")]).select("kind", "id")
+    """Payloads whose keys come in another order are the same work; done jobs don't stand in the way."""
+    e = t["events"].select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("user_id").alias("u"), (F.get_json_object("props", "$.k").cast("int") % 5).alias("k"))
+    old = e.where("id % 4 = 0").withColumn("payload_hash", jobs.payload_hash(F.col("kind"), F.format_string('{"u": %d, "k": %d}', "u", "k"))).withColumn("state", F.when(F.col("id") % 8 == 0, "queued").otherwise("done"))
+    asked = e.where("id % 4 <> 0").withColumn("payload", F.format_string('{"k":%d,"u":%d}', "k", "u"))
+    return jobs.enqueue(old, asked, [F.asc("id")]).select("kind", "u", "k", "id")
 
 
 @query("""WITH f AS (SELECT source, lang, min(doc_id) AS first FROM documents GROUP BY ALL), p AS (SELECT source, doc_id // 100 AS page, count(*) FILTER (WHERE doc_id = first) AS new_items FROM documents JOIN f USING (source, lang) GROUP BY ALL),

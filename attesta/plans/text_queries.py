@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text, urls
 from ..operators import claims, dictionary as D, html, layout, panels
 from ..sources import readers
 from . import pipelines
+from .registry import Registry
 
-QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = (lambda spark, sf_dir: f(readers.tables(spark, sf_dir)), sql)
-        return f
-
-    return add
+QUERIES = Registry()
+query = QUERIES.query
 
 
 def joined(c):
@@ -71,7 +63,7 @@ def region_prefix_compat(t):
     return c.withColumn("compatible", D.compatible(F.col("code"), text.strings(["ASIA", "EUROPE-FRANCE"])))
 
 
-@query("""WITH c AS (SELECT c_custkey % 100 AS k, unnest([r_name, r_name || '-' || n_name]) AS code FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 3 > 0),
+@query("""WITH c AS (SELECT c_custkey % 100 AS k, unnest([r_name, r_name || '-' || n_name]) AS code FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 d AS (SELECT DISTINCT k, code FROM c) SELECT k, string_agg(code, '|' ORDER BY length(code) DESC, code) AS codes FROM d WHERE NOT EXISTS (SELECT 1 FROM d e WHERE e.k = d.k AND e.code <> d.code AND starts_with(e.code, d.code)) GROUP BY k""")
 def regions_drop_covered(t):
     c = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
@@ -106,7 +98,7 @@ def quotable_containment(t):
     return pairs.unionByName(short).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-_JD = "CASE o_orderkey % 5 WHEN 0 THEN (o_orderkey % 7)::VARCHAR || '-' || (o_orderkey % 11)::VARCHAR || ' years' WHEN 1 THEN 'at least ' || (o_orderkey % 9)::VARCHAR || ' years' WHEN 2 THEN (o_orderkey % 12)::VARCHAR || '+ years of it' WHEN 3 THEN (o_orderkey % 4)::VARCHAR || ' to ' || (o_orderkey % 13)::VARCHAR || ' yrs' ELSE 'no demands' END"
+_JD = "CASE o_orderkey % 5 WHEN 0 THEN (o_orderkey % 7)::VARCHAR || '-' || (o_orderkey % 11)::VARCHAR || ' years' WHEN 1 THEN 'at least ' || (o_orderkey % 9)::VARCHAR || ' years' WHEN 2 THEN (o_orderkey % 12)::VARCHAR || '+ years of it' WHEN 3 THEN (o_orderkey % 4)::VARCHAR || ' to ' || (o_orderkey % 13)::VARCHAR || ' years' ELSE 'no demands' END"
 
 
 @query(f"""WITH j AS (SELECT o_orderkey, {_JD} AS t FROM orders), r AS (SELECT *, try_cast(regexp_extract(t, '(\\d+)\\s*(-|to)\\s*(\\d+) y', 1) AS INTEGER) AS a, try_cast(regexp_extract(t, '(\\d+)\\s*(-|to)\\s*(\\d+) y', 3) AS INTEGER) AS b, try_cast(regexp_extract(t, '(\\d+)\\+? years', 1) AS INTEGER) AS c FROM j)
@@ -114,7 +106,7 @@ SELECT o_orderkey, CASE WHEN a IS NOT NULL THEN least(a, b) ELSE c END AS min_ye
 def years_from_text(t):
     k = F.col("o_orderkey")
     m = lambda n: (k % n).cast("string")
-    jd = F.when(k % 5 == 0, F.concat(m(7), F.lit("-"), m(11), F.lit(" years"))).when(k % 5 == 1, F.concat(F.lit("at least "), m(9), F.lit(" years"))).when(k % 5 == 2, F.concat(m(12), F.lit("+ years of it"))).when(k % 5 == 3, F.concat(m(4), F.lit(" to "), m(13), F.lit(" yrs"))).otherwise("no demands")
+    jd = F.when(k % 5 == 0, F.concat(m(7), F.lit("-"), m(11), F.lit(" years"))).when(k % 5 == 1, F.concat(F.lit("at least "), m(9), F.lit(" years"))).when(k % 5 == 2, F.concat(m(12), F.lit("+ years of it"))).when(k % 5 == 3, F.concat(m(4), F.lit(" to "), m(13), F.lit(" years"))).otherwise("no demands")
     return t["orders"].select("o_orderkey", text.years_from_text(jd).alias("y")).select("o_orderkey", "y.min_years", "y.max_years")
 
 
@@ -129,21 +121,15 @@ def host_block(t):
     return t["pages"].select("page_id", h.alias("host"), urls.blocked(h, ["com", "example.org"]).alias("blocked"))
 
 
-@query("""WITH u AS (SELECT page_id, url || '?q=1&token=' || page_id || '&x=2' AS u FROM pages) SELECT page_id, regexp_replace(u, '(token=)[^&#]*', '\\1REDACTED') AS redacted, sha256(regexp_replace(u, '(token=)[^&#]*', '\\1REDACTED')) AS url_hash FROM u""")
+@query("""WITH u AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS u FROM pages), r AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN u ELSE u || '?q=a+b&Token=REDACTED&empty=&x=%C3%A9~%2A&apikey=REDACTED#f' END AS redacted FROM u)
+SELECT page_id, redacted, sha256(redacted) AS url_hash FROM r""")
 def url_redact_hash(t):
-    u = F.concat("url", F.lit("?q=1&token="), F.col("page_id").cast("string"), F.lit("&x=2"))
+    """Secrets go, other parameters are encoded anew; addresses without a query stay."""
+    plain = F.regexp_replace("url", "[?#].*$", "")
+    u = F.when(F.col("page_id") % 2 == 0, plain).otherwise(F.concat(plain, F.lit("?q=a%20b&Token="), F.col("page_id").cast("string"), F.lit("&empty&x=é~*&&apikey=z#f")))
     return t["pages"].select("page_id", urls.redact_url(u).alias("redacted"), urls.url_hash(u).alias("url_hash"))
 
 
-@query("""WITH p AS (SELECT r_regionkey, '(' || string_agg(CASE WHEN contains(n_name, ' ') THEN '"' || n_name || '"' ELSE n_name END, ' OR ' ORDER BY n_name) || ')' AS place FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1)
-SELECT r_regionkey, 'site:linkedin.com/in "Data Engineer" ' || place || '|' || 'site:linkedin.com/in Analyst ' || place || '|site:linkedin.com/in "SQL Engineer" ' || place AS queries, 0 AS dropped FROM p""")
-def query_plan_strings(t):
-    titles, must = text.strings(["Data Engineer", "Analyst"]), text.strings(["SQL"])
-    reqs = t["region"].select(F.col("r_regionkey").cast("string").alias("req_id"), titles.alias("titles"), must.alias("must_have"), F.array("r_name").alias("regions"))
-    cities = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("code"), F.col("n_name").alias("place"))
-    return pipelines.query_plan(reqs, cities).select(F.col("req_id").cast("int").alias("r_regionkey"), joined("queries").alias("queries"), "dropped")
-
-
 @query(None)
 def page_text(t):
     return t["pages"].select("page_id", html.page_text("html").alias("text"))
@@ -160,8 +146,6 @@ def block_proximity(t):
     return best.select("page_id", "pos", html.trimmed(F.col("window"), F.col("name")).alias("window"))
 
 
-
-
 @query("""WITH d AS (SELECT o_orderkey AS doc, 'Engineer ' || o_custkey AS title, 'Firm ' || (o_custkey % 50) AS firm, o_orderkey % 3 AS kind FROM orders)
 SELECT doc, title, firm AS employer, CASE kind WHEN 0 THEN 'Jan 2019' WHEN 1 THEN 'Feb 2020' ELSE '2016' END AS "from", CASE kind WHEN 0 THEN 'Present' WHEN 1 THEN 'Mar 2021' ELSE '2018' END AS "to" FROM d
 UNION ALL SELECT doc, 'Lead', firm, 'Apr 2021', 'Present' FROM d WHERE kind = 1""")
@@ -171,7 +155,7 @@ def line_layout_entries(t):
     nl = F.lit("\n")
     one = F.concat(title, nl, firm, F.lit(" · Full-time\nJan 2019 - Present · 2 yrs"))
     two = F.concat(firm, F.lit("\n3 yrs 2 mos\nDelhi, India · Remote\n"), title, F.lit("\nFeb 2020 – Mar 2021 · 1 yr\nLead\nFull-time\nApr 2021 - Present\nMore profiles for you\nOther\nElse · Contract\n2010 - 2012"))
-    body = F.when(F.col("o_orderkey") % 3 == 0, one).when(F.col("o_orderkey") % 3 == 1, F.replace(two, F.lit("Lead\nFull-time"), F.lit("Lead\nFull-time"))).otherwise(F.concat(title, nl, firm, F.lit("\n2016 - 2018")))
+    body = F.when(F.col("o_orderkey") % 3 == 0, one).when(F.col("o_orderkey") % 3 == 1, two).otherwise(F.concat(title, nl, firm, F.lit("\n2016 - 2018")))
     d = t["orders"].select(F.col("o_orderkey").alias("doc"), body.alias("text"))
     return layout.experience_entries(d, "doc", "text").select("doc", "title", "employer", "from", "to")
 
@@ -218,7 +202,7 @@ SELECT s, repo, lang, bytes, round(share, 6) AS share FROM (SELECT *, bytes / su
 def language_share(t):
     r = t["lineitem"].join(t["part"], F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").alias("subject_id"), F.col("l_orderkey").alias("repo"), "p_brand").agg(F.sum("l_quantity").cast("long").alias("bytes"))
     repos = r.groupBy("subject_id", "repo").agg(F.map_from_entries(F.collect_list(F.struct("p_brand", "bytes"))).alias("languages"))
-    return claims.language_claims(repos, ["Brand#1"]).select(F.col("subject_id").alias("s"), "repo", F.col("language").alias("lang"), "bytes", F.round("share", 6).alias("share"))
+    return claims.language_shares(repos, ["brand#1"]).select(F.col("subject_id").alias("s"), "repo", F.col("language").alias("lang"), "bytes", F.round("share", 6).alias("share"))
 
 
 @query("""SELECT event_id, CASE WHEN value / 100 >= 0.55 THEN 'Strong match' WHEN value / 100 >= 0.4 THEN 'Good match' WHEN value / 100 >= 0.25 THEN 'Possible match' ELSE 'Weak' END AS label, CASE WHEN value = 0 THEN 0 ELSE greatest(1, least(5, CAST(round_even(value / 20, 0) AS INTEGER))) END AS segments FROM events""")
@@ -259,5 +243,3 @@ def activity_sessions(t):
 def capped_per_owner(t):
     w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
     return t["documents"].withColumn("r", F.row_number().over(w)).where("r <= 30").select("doc_id", "source")
-
-

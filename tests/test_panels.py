@@ -22,8 +22,8 @@ def test_panels(spark):
     assert [(r.req_id, r.ref_value) for r in panels.assign_contacts(contacts, {"d": ["data"], "o": ["ops"]}, 3).orderBy("place").collect()] == [("d", "u0"), ("d", "u1"), ("d", "u2")]
     lines = spark.createDataFrame([("c", 1, "Website", "https://x.y"), ("c", 2, "Company size", "11-50 employees"), ("c", 3, "Industry", "Tools"), ("c", 4, "x", "1999"), ("c", 5, "x", "2001"), ("c", 6, "y", "z")], "company string, pos int, label string, value string")
     assert panels.overview_fields(lines).first().fields == {"website": "https://x.y", "size": "11-50 employees", "industry": "Tools", "founded": "1999"}
-    r = spark.range(1).select(panels.link_url(F.lit("github"), F.lit("me")).alias("a"), panels.link_url(F.lit("phone"), F.lit("1")).alias("b"), panels.find_more(F.lit(False), F.lit(3), 3).alias("c"), panels.page_state(F.lit("Sign in to see")).alias("d"), panels.page_state(F.lit("2016 - Present")).alias("e")).first()
-    assert tuple(r) == ("https://github.com/me", None, "deepest", "walled", "dated")
+    r = spark.range(1).select(panels.link_url(F.lit("github_login"), F.lit("me")).alias("a"), panels.link_url(F.lit("phone"), F.lit("1")).alias("b"), panels.find_more(F.lit(False), F.lit(3), 3).alias("c"), panels.wall_marker(F.lit("Please SIGN IN to see it")).alias("d"), panels.stage_name(F.lit("enrich")).alias("e")).first()
+    assert tuple(r) == ("https://github.com/me", None, "deepest", "Sign in to see", "Reading profiles")
 
 
 def test_page_classifier_reads_whole_texts(spark):
