@@ -1,7 +1,8 @@
 """Corpus pipeline: toxicity, near duplicates, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as Parquet in the shared
-folder before the next one reads it.
+folder before the next one reads it. All but the last return the columns that they were given, whatever their names.
+Empty tables pass through all stages.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ SHINGLE, NUM, DEN = 5, 80, 100
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go; the labels of the corpus teach the lexicon."""
+    """Documents that score as toxic go; the labels of the corpus teach the lexicon.
+
+    Null texts score as empty ones; rows that repeat a document stay or go together; without labels nothing goes.
+    """
     short_batches(spark)
     return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents, the one of least doc_id stays; without doc_id, all stay.
+    """Of each component of linked documents, the one of least doc_id stays; without doc_id or words, all stay.
 
     Rows that repeat a doc_id with other texts are documents of their own: the one of least (doc_id, key) stays.
     """
@@ -44,13 +48,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts; every document stays."""
+    """Secrets are replaced in the texts; every row stays, null texts as they are."""
     return secrets.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences."""
-    return packing.pack(docs)
+    """The training sequences: each piece of each document with its bytes, its bin and its place there.
+
+    Null texts take a separator only; copies, and documents of one source, lie in different bins.
+    """
+    return packing.pack(docs, content=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
