@@ -102,6 +102,57 @@ def test_toxicity_learns_and_spares(spark):
     assert toxicity.score(docs(spark, []), model).count() == 0
 
 
+def _naive_fold(text):
+    out, t = "", (text or "").lower()
+    for i, c in enumerate(t):
+        after = t[i + 1] if i + 1 < len(t) else " "
+        if c == "!" and not (after.isalnum() or after == "_"):
+            out += "" if i and t[i - 1] == "!" else " "  # a run of closing marks is one space
+        elif c in toxicity.LOOKS:
+            out += toxicity.LOOKS[c]
+        elif c in toxicity.ZERO_WIDTH:
+            continue
+        elif "Ａ" <= c <= "ｚ":
+            low = chr(ord(c) - 0xFEE0).lower()
+            out += toxicity.LOOKS.get(low, low if low.isalnum() else " ") if c.isalnum() else " "
+        else:
+            out += c if c.isalnum() else " "
+    return f" {out} "
+
+
+def _naive_score(model, text):
+    """Every term tried at every place; the longest of a word counts, unless an exception phrase covers its start."""
+    f = _naive_fold(text)
+    hits = {}
+    for at in range(len(f)):
+        if found := [t for t in model.terms if f.startswith(t, at)]:
+            hits[at] = model.terms[max(found, key=len)]
+    for at in range(len(f)):
+        for e in model.exceptions:
+            if f.startswith(e, at):
+                hits = {s: w for s, w in hits.items() if not at <= s < at + len(e) - 1}
+    total = sum(hits.values())
+    z = model.coef[0] + model.coef[1] * np.log1p(total) + model.coef[2] * np.log1p(1000 * total / (len(f) + 100))
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def test_toxicity_against_naive_matching(spark):
+    """Aho-Corasick, overlaps and exceptions give what naive matching gives, for a learnt and for a hand-made lexicon."""
+    terms = {" grob": 3.5, " grobble ": 5.0, " grobbl": 4.0, " snark ": 3.1, " snar": 3.0, " i": 0.5, " x" * 1 + "y" * 30 + " ": 6.0}
+    made = toxicity.Model(terms, [" pie grobble ", " snark is ", " the snark "], (-4.0, 1.5, 0.7))
+    r = random.Random(8)
+    bits = ["grobble", "GR0bble", "grobbling", "snark", "ѕnark", "the", "is", "pie", "!", "!!", " ", " ", " ", "ｇrob", "gro\u200bbble", "x" + "y" * 30, "İ", "字", "_", "", "1", "ß", "\n"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 25))) for _ in range(800)] + EDGE + ["grobble " * 3000]
+    for t in texts:
+        assert toxicity.fold(t) == _naive_fold(t), t
+        assert abs(made.score(t) - _naive_score(made, t)) < 1e-12, t
+    rows = [(i, " ".join([f"w{i % 7}", *(["grobble", "snarkest"] if i % 4 == 0 else ["plain"]), f"v{i % 5}"])) for i in range(400)]
+    learnt = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
+    assert learnt.terms
+    got = {x.doc_id: x.score for x in toxicity.score(docs(spark, texts[:60] + EDGE), learnt).collect()}
+    assert all(abs(got[i] - _naive_score(learnt, t)) < 1e-12 for i, t in enumerate(texts[:60] + EDGE))
+
+
 def test_folding():
     assert toxicity.fold("ІDIOT! 1d10t, Ｉdi​ot!!").split() == ["idiot"] * 3
 
@@ -197,6 +248,43 @@ def test_jaccard_brute_force(spark, k, num):
     assert jaccard.join(df.where("false"), k, num, 100).count() == 0
 
 
+def test_jaccard_of_large_sets(spark):
+    """Sets of over 3,000 tokens: near copies below and above the threshold, and an unrelated one of equal size."""
+    r = random.Random(11)
+    word = lambda: f"{r.choice('abcdefghijklmnop')}{r.randint(0, 99999)}"
+    base, other = [word() for _ in range(4000)], [word() for _ in range(4000)]
+    edit = lambda t, n: [word() if i < n * 7 and i % 7 == 0 else w for i, w in enumerate(t)]
+    rows = [(i, " ".join(t)) for i, t in enumerate([base, edit(base, 40), edit(base, 60), edit(base, 90), other, edit(base, 40) + ["more"]])]
+    got = {(x.doc_id, x.n_shingles, x.component_id) for x in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _components(rows, 3, 90, 100) and len({c for _, _, c in got}) == 3
+
+
+def test_jaccard_orders_are_intersected_before_sets_are_read(spark):
+    """What shares no token under orders 3 or 4 goes by the prefixes alone: the frame that filters holds no sets."""
+    words = [" ".join(f"{c}{i}" for i in range(100)) for c in "ab"]
+    rows = [(0, words[0]), (1, words[0] + " z"), (2, words[1]), (3, words[1] + " z")]
+    sets = written(jaccard._sets(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100), "sets").drop("set")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3)], "a long, b long")
+    assert sorted((x.a, x.b) for x in jaccard._surviving(pairs, sets, 90, 100).collect()) == [(0, 1), (2, 3)]
+    blind = sets.withColumn("parity", F.array(*[F.lit(0).cast("long")] * 16))  # without the sketch, the orders alone
+    assert sorted((x.a, x.b) for x in jaccard._surviving(pairs, blind, 90, 100).collect()) == [(0, 1), (2, 3)]
+    one = blind.withColumn("prefix4", F.when(F.col("doc_id") == 1, F.lit(b"none")).otherwise(F.col("prefix4")))
+    assert sorted((x.a, x.b) for x in jaccard._surviving(pairs, one, 90, 100).collect()) == [(2, 3)]
+
+
+def test_jaccard_counts_a_tight_group_without_comparing(spark):
+    """All sets near the pivot link with each other: the counts need none of the sets."""
+    text = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(text[:10 * i] + ["new"] + text[10 * i + 1 :])) for i in range(12)]
+    sets = written(jaccard._sets(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100), "sets")
+    both = lambda a, b: len(_sets(rows[a][1], 3) & _sets(rows[b][1], 3))
+    links = spark.createDataFrame([(0, i, both(0, i)) for i in range(1, 12)], "a long, b long, both long")
+    folded = spark.createDataFrame([(i, i, len(_sets(t, 3)), 1) for i, t in rows], "doc_id long, first long, n long, copies long")
+    classes = spark.createDataFrame([(i, 0) for i in range(12)], "first long, component long")
+    counts = jaccard._link_counts(classes, folded, links, sets.withColumn("set", F.lit(None).cast("binary")), 90, 100)
+    assert {(x["first"], x.set_links, x.row_links) for x in counts.collect()} == {(i, 11, 11) for i in range(12)}
+
+
 @pytest.mark.parametrize(("k", "num", "block"), [(3, 90, 512), (5, 80, 4)])
 def test_jaccard_counts_every_link(spark, k, num, block, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", block)
