@@ -91,13 +91,17 @@ def login_from_keys(keys: Column) -> Column:
     return F.coalesce(F.nullif(F.element_at(keys, "github_login"), F.lit("")), *[login_from_url(F.element_at(keys, k)) for k in LOGIN_KEYS])
 
 
+_URL = r"https?://[^\s\"'<>)\]]+"
+_MAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
+
+
 def strong_keys(c: Column | str) -> Column:
-    """First login and the digest of the first e-mail address of a text, as a map of kind to value."""
-    logins = F.regexp_extract_all(col(c), F.lit(r"(?i)github\.com/([A-Za-z0-9][A-Za-z0-9-]{0,38})"), F.lit(1))
-    mails = F.regexp_extract_all(F.lower(col(c)), F.lit(r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"), F.lit(0))
+    """The login of the first address of a text that gives one, and the digest of its first e-mail address, by kind."""
+    logins = F.filter(F.transform(F.regexp_extract_all(col(c), F.lit(_URL), F.lit(0)), lambda u: login_from_url(u)), lambda x: x.isNotNull())
+    mails = F.regexp_extract_all(col(c), F.lit(_MAIL), F.lit(0))
     entries = F.array(
-        F.struct(F.lit("github_login").alias("k"), F.lower(F.get(logins, F.lit(0))).alias("v")),
-        F.struct(F.lit("email_sha256").alias("k"), F.sha2(F.encode(F.get(mails, F.lit(0)), "UTF-8"), 256).alias("v")),
+        F.struct(F.lit("github_login").alias("k"), F.get(logins, F.lit(0)).alias("v")),
+        F.struct(F.lit("email_sha256").alias("k"), F.sha2(F.encode(F.lower(F.get(mails, F.lit(0))), "UTF-8"), 256).alias("v")),
     )
     return F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
 

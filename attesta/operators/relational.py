@@ -94,6 +94,18 @@ def rolling_count(df: DataFrame, keys: list[str], ts: str, hours: int, row_id: s
     return out.withColumn("in_window", (F.col("_before") + F.col("_n")).cast("long")).select(*df.columns, "in_window")
 
 
+def throttled(df: DataFrame, keys: list[str], ts: str, seconds: float, tie: str) -> DataFrame:
+    """Rows with ``starts_at``: each key's rows in their order, none sooner than ``seconds`` after the one before it starts.
+
+    Start n is the greatest of (time j + (n - j) * seconds) over the rows up to it, so a running maximum stands for the fold.
+    """
+    gap = round(seconds * 1_000_000)
+    w = Window.partitionBy(*keys).orderBy("_us", tie)
+    rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_n", F.row_number().over(w))
+    least = F.max(F.col("_us") - F.col("_n") * gap).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("starts_at", F.timestamp_micros(least + F.col("_n") * gap)).drop("_us", "_n")
+
+
 def window_frees_at(df: DataFrame, keys: list[str], ts: str, as_of: Column, hours: int) -> DataFrame:
     """When the oldest row of the window leaves it, and how many it holds."""
     inside = df.where((F.col(ts) > as_of - F.make_dt_interval(hours=F.lit(hours))) & (F.col(ts) <= as_of))

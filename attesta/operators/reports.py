@@ -144,3 +144,12 @@ def preflight(rules: list[tuple[Column, str]], count: Column, limit: Column) ->
     for when, text in rules:
         out = F.when(when, F.lit(text)) if out is None else out.when(when, F.lit(text))
     return F.struct(out.alias("refusal"), F.when(out.isNull(), F.greatest(F.lit(0), F.least(count, limit))).alias("count"))
+
+
+def reading(off: Column, budget: Column, attached: Column, busy: Column, waiting: Column, limit: Column, picked: Column) -> Column:
+    """Struct of refusal and count of a request to read: switched off, budget spent, no browser, busy or nobody left; else
+    at least one and at most the limit (all of those picked by hand, where some were), those waiting and the budget."""
+    asked = F.when(picked > 0, picked).otherwise(limit)
+    left = F.when(picked > 0, picked).otherwise(waiting)
+    out = F.when(off, "off").when(budget <= 0, "spent").when(~attached, "no-browser").when(busy, "busy").when(left <= 0, "nobody")
+    return F.struct(out.alias("refusal"), F.when(out.isNull(), F.greatest(F.lit(1), F.least(asked, left, budget))).alias("count"))

@@ -540,6 +540,22 @@ def queue_rules(t):
     return out.join(live, "event_id", "left").withColumn("live", F.coalesce("live", F.lit(False)))
 
 
+@query("""WITH n AS (SELECT user_id AS u, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
+SELECT a.event_id, CAST(max(b.t + (a.n - b.n) * 7200000000) // 1000000 AS BIGINT) AS starts_s FROM n a JOIN n b ON a.u = b.u AND b.n <= a.n GROUP BY a.event_id""")
+def throttled_fetches(t):
+    """Fetches of a domain two hours apart at least."""
+    out = R.throttled(t["events"].select("event_id", "user_id", "ts"), ["user_id"], "ts", 7200, "event_id")
+    return out.select("event_id", F.unix_seconds("starts_at").alias("starts_s"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'off' WHEN event_id % 7 = 0 THEN 'spent' WHEN event_id % 5 = 0 THEN 'no-browser' WHEN event_id % 3 = 0 THEN 'busy' WHEN event_id % 4 <> 1 AND event_id % 6 = 0 THEN 'nobody' END AS refusal,
+CASE WHEN event_id % 11 > 0 AND event_id % 7 > 0 AND event_id % 5 > 0 AND event_id % 3 > 0 AND NOT (event_id % 4 <> 1 AND event_id % 6 = 0) THEN CASE WHEN event_id % 4 = 1 THEN least(3, event_id % 7) ELSE greatest(1, least(event_id % 9, event_id % 6, event_id % 7)) END END AS n FROM events""")
+def reading_requests(t):
+    k = F.col("event_id")
+    r = reports.reading(k % 11 == 0, k % 7, k % 5 != 0, k % 3 == 0, k % 6, k % 9, F.when(k % 4 == 1, 3).otherwise(0).cast("long"))
+    return t["events"].select("event_id", r.alias("r")).select("event_id", "r.refusal", F.col("r.count").alias("n"))
+
+
 # --- expressions ----------------------------------------------------------------------------------------------------
 
 

@@ -246,7 +246,7 @@ def score(requirements: DataFrame, claims: DataFrame, weights: DataFrame, as_of:
 
 def attached(refs: DataFrame, subjects: DataFrame) -> DataFrame:
     """(req_id, subject_id): the active people that refs attach to requirements, once each."""
-    return refs.where("subject_id IS NOT NULL").select("req_id", "subject_id").distinct().join(subjects.where("status = 'active'").select("subject_id"), "subject_id", "left_semi")
+    return refs.where("subject_id IS NOT NULL").select("req_id", "subject_id").distinct().join(subjects.where("status = 'active'").select("subject_id"), "subject_id", "left_semi").select("req_id", "subject_id")
 
 
 def changed(old: DataFrame, refs: DataFrame, requirements: DataFrame, regions: DataFrame | Resolver) -> DataFrame:

@@ -211,7 +211,7 @@ def label_segments(t):
     return t["events"].select("event_id", scores.label(v).alias("label"), scores.segments(v).alias("segments"))
 
 
-@query("""SELECT doc_id, sha256(regexp_extract(lower(text), '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}', 0)) AS email FROM documents WHERE regexp_matches(lower(text), '[a-z0-9._%+-]+@[a-z0-9.-]+\\.[a-z]{2,}')""")
+@query(r"""WITH m AS (SELECT doc_id, regexp_extract(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+', 0) AS m FROM documents) SELECT doc_id, sha256(lower(m)) AS email FROM m WHERE m <> ''""")
 def strong_keys(t):
     return t["documents"].select("doc_id", urls.strong_keys("text")["email_sha256"].alias("email")).where("email IS NOT NULL")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strings
+from ..functions.text import human_bytes, strings
 from ..functions.urls import body_path, profile_url, registered_host, url_hash
 
 SEARCH = "organic_results array<struct<position:int,title:string,link:string,snippet:string,rich_snippet:struct<top:struct<extensions:array<string>>>>>"
@@ -112,6 +112,24 @@ def region_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("code string, places array<string>").json(path).select("code", F.explode("places").alias("place"))
 
 
+def _yaml(spark: SparkSession, path: str) -> dict:
+    """A YAML file of a dictionary, in its order; it is read by Spark and is as small as a dictionary is."""
+    import yaml
+
+    return yaml.safe_load(spark.read.text(path, wholetext=True).first().value)
+
+
+def yaml_terms(spark: SparkSession, path: str) -> DataFrame:
+    """(name, alias, kind, implies, ord) from YAML entries ``name: {kind, aliases, implies}``; their order counts."""
+    return terms_frame(spark, [(name, e.get("kind"), e.get("aliases") or [], e.get("implies") or []) for name, e in _yaml(spark, path).items()])
+
+
+def yaml_regions(spark: SparkSession, path: str) -> DataFrame:
+    """(code, place, ord) from YAML entries ``code: [places]``."""
+    rows = [(code, place) for code, members in _yaml(spark, path).items() for place in members]
+    return spark.createDataFrame([(c, p, i) for i, (c, p) in enumerate(rows)], "code string, place string, ord int")
+
+
 def terms_frame(spark: SparkSession, entries: list[tuple[str, str, list[str], list[str]]]) -> DataFrame:
     """The same from literal (name, kind, aliases, implies) rows."""
     rows = [(n, a, k, i, at) for at, (n, k, al, i) in enumerate(entries) for a in [n, *al]]
@@ -137,3 +155,11 @@ def field_presence(refs: DataFrame, fields: list[str]) -> DataFrame:
     """How many rows hold each field."""
     one = refs.agg(F.count("*").alias("n"), *[F.count_if(F.col(f).isNotNull()).alias(f) for f in fields])
     return one.select("n", F.explode(F.map_from_arrays(strings(fields), F.array(*fields))).alias("field", "present"))
+
+
+def folder_usage(spark: SparkSession, path: str, budget: int, amber: float = 0.8) -> DataFrame:
+    """(bytes, share, light, human) of all files under a folder, whose sizes alone are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("length")
+    total = files.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("bytes"))
+    share = F.col("bytes") / budget if budget else F.lit(0.0)
+    return total.select("bytes", share.alias("share"), F.when(share >= amber, "amber").otherwise("green").alias("light"), human_bytes("bytes").alias("human"))

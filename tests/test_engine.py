@@ -1,12 +1,13 @@
 """Domain semantics on inline fixtures: nulls, goldens, ordered gates, layouts, identities, queue states, streams."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from attesta.functions import scores, text, timefn, urls
-from attesta.operators import claims, dictionary, gate, html, identity, jobs, layout, relational, reports, scoring
+from attesta.operators import claims, dictionary, gate, html, identity, jobs, layout, panels, relational, reports, scoring
 from attesta.plans import matching_queries, pipelines
 from attesta.sources import readers
 from attesta.streaming import mirrors
@@ -85,10 +86,10 @@ def test_dates(spark):
 def test_urls(spark):
     r = one(
         spark, a=urls.profile_url(F.lit("in.linkedin.com/in/Jane-D/?x=1")), b=urls.profile_url(F.lit("https://linkedin.com/company/x")), c=urls.profile_url(F.lit("https://evil.com/in/x")),
-        h=urls.redact_url(F.lit("http://x/y?a=1&api_key=Z#f")), l=urls.login_from_url(F.lit("https://github.com/Octo-Cat?tab=1")), o=urls.login_from_url(F.lit("https://github.com/orgs/x")), blk=urls.blocked(F.lit("a.b.com"), ["b.com"]), nb=urls.blocked(F.lit("ab.com"), ["b.com"]), k=urls.strong_keys(F.lit("see github.com/Me and A@B.co")), none=urls.host(F.lit("not a url")),
+        h=urls.redact_url(F.lit("http://x/y?a=1&api_key=Z#f")), l=urls.login_from_url(F.lit("https://github.com/Octo-Cat?tab=1")), o=urls.login_from_url(F.lit("https://github.com/orgs/x")), blk=urls.blocked(F.lit("a.b.com"), ["b.com"]), nb=urls.blocked(F.lit("ab.com"), ["b.com"]), k=urls.strong_keys(F.lit("see https://x.y, (https://github.com/orgs/a) https://github.com/Me and A+1@B-c.co")), none=urls.host(F.lit("not a url")),
     )
     assert r.a == "linkedin.com/in/jane-d" and r.b is None and r.c is None and r.h == "http://x/y?a=1&api_key=REDACTED#f"
-    assert (r.l, r.o, r.blk, r.nb, r.none) == ("octo-cat", None, True, False, None) and r.k["github_login"] == "me" and len(r.k["email_sha256"]) == 64
+    assert (r.l, r.o, r.blk, r.nb, r.none) == ("octo-cat", None, True, False, None) and r.k == {"github_login": "me", "email_sha256": hashlib.sha256(b"a+1@b-c.co").hexdigest()}
 
 
 def test_relational_nulls_and_ties(spark):
@@ -319,6 +320,55 @@ def test_search_to_linked_refs(spark):
     assert identity.link_refs(refs, ids).first().subject_id == "s1"
 
 
+def test_dictionaries_and_files(spark, tmp_path):
+    (tmp_path / "terms.yaml").write_text('Go: {kind: language, aliases: [Golang]}\n"C++": {kind: language}\nDjango: {kind: framework, implies: [Python]}\n')
+    (tmp_path / "regions.yaml").write_text("IN-KA-BLR:\n  - Bengaluru\n  - Whitefield\nIN-KA:\n  - Karnataka\n")
+    terms, regions = readers.yaml_terms(spark, str(tmp_path / "terms.yaml")), readers.yaml_regions(spark, str(tmp_path / "regions.yaml"))
+    assert {(r.key, r.name) for r in dictionary.alias_lookup(terms).collect()} == {("go", "Go"), ("golang", "Go"), ("c", "C++"), ("django", "Django")}
+    assert [(r.code, r.place, r.ord) for r in regions.orderBy("ord").collect()] == [("IN-KA-BLR", "Bengaluru", 0), ("IN-KA-BLR", "Whitefield", 1), ("IN-KA", "Karnataka", 2)]
+    (tmp_path / "terms.json").write_text('{"ord":0,"name":"Go","kind":"language","aliases":["Golang"],"implies":["C"]}\n{"ord":1,"name":"SQL","kind":"tool"}\n')
+    (tmp_path / "regions.json").write_text('{"code":"IN","places":["India"]}\n')
+    assert sorted(r.alias for r in readers.term_dictionary(spark, str(tmp_path / "terms.json")).collect()) == ["Go", "Golang", "SQL"]
+    assert readers.region_dictionary(spark, str(tmp_path / "regions.json")).first().place == "India"
+    kinds = dictionary.kind_of(spark.createDataFrame([("Go",), ("Zig",)], "name string"), "name", terms)
+    assert {r.name: r.kind for r in kinds.collect()} == {"Go": "language", "Zig": None}
+    r = one(spark, a=dictionary.cities(F.lit("x"), F.create_map(F.lit("x"), F.array(F.lit("y")))), b=dictionary.cities(F.lit("z"), F.create_map(F.lit("x"), F.array(F.lit("y")))))
+    assert (r.a, r.b) == (["y"], [])
+    df = spark.range(3)
+    readers.backup(df, str(tmp_path / "copy"))
+    readers.backup(df.where("id > 0"), str(tmp_path / "copy"))
+    assert spark.read.parquet(str(tmp_path / "copy")).count() == 2
+    (tmp_path / "cache").mkdir()
+    (tmp_path / "cache" / "a").write_bytes(b"x" * 700)
+    (tmp_path / "cache" / "b").write_bytes(b"x" * 200)
+    use = readers.folder_usage(spark, str(tmp_path / "cache"), 1000).first()
+    assert (use.bytes, use.share, use.light, use.human) == (900, 0.9, "amber", "900 B")
+    s = spark.createDataFrame([("Top\nAbout me\nline\nend",), ("none",)], "t string").select(layout.section(df, "t", "About me").alias("s"))
+    assert [x.s for x in s.collect()] == ["About me\nline\nend", None]
+
+
+def test_collect_score_and_detail(spark):
+    schema = "subject_id string, claim_type string, claim_key string, claim_value string, value_num double, tier string, source_url string, snippet string, observed_at timestamp, extractor string, extractor_version string"
+    prof = spark.createDataFrame([("s", "Dev", "Acme", 3.5, ["Go", "gender"], None, "Pune", "IN-MH", True, "u")], "subject_id string, title string, employer string, years double, skills array<string>, education string, location string, region string, open_to_work boolean, url string")
+    stored, refused = pipelines.collect_person(spark.createDataFrame([], schema), prof, F.lit(NOW))
+    assert sorted(r.claim_type for r in stored.collect()) == ["availability", "employer", "experience_years", "link", "location", "skill", "title"] and [r.bucket for r in refused.collect()] == ["banned"]
+    refs = spark.createDataFrame([("r", "s"), ("r", "s"), ("r", "gone"), ("r", None)], "req_id string, subject_id string")
+    people = spark.createDataFrame([("s", "active"), ("gone", "archived")], "subject_id string, status string")
+    pairs = pipelines.attached(refs, people)
+    assert [tuple(r) for r in pairs.collect()] == [("r", "s")]
+    req = spark.createDataFrame([("r", "business", ["x"], ["Go"], [], 1, ["IN-MH"], "hybrid", 540)], REQ)
+    w = spark.createDataFrame([(1, "business", "b1", True, 0.5, 0.0, 0.3, 0.0, 0.2)], "weights_id int, profile string, version string, active boolean, " + ", ".join(f"w_{c} double" for c in scoring.COMPONENTS))
+    row = pipelines.score(req, stored, w, F.lit(NOW), pairs).first()
+    assert row.weights_version == "b1" and row.score == 1.0 and row.passed
+    m = spark.createDataFrame([(1, "r", "s", 0.3, True, NOW, "b1", {"skill_match": 1.0, "skill_depth": 0.0})], "match_id long, req_id string, subject_id string, score double, passed boolean, scored_at timestamp, weights_version string, components map<string,double>")
+    ids = spark.createDataFrame([("s", "hf_user", "me"), ("s", "so_user_id", "1")], "subject_id string, kind string, value string")
+    a = spark.createDataFrame([], "action_id long, match_id long, action string, acted_at timestamp")
+    d = reports.detail(m, stored, a, req, ids, spark.createDataFrame([("b1", {"skill_depth": 0.0})], "version string, weights map<string,double>")).first()
+    assert d.components == {"skill_match": 1.0} and [(x.kind, x.url) for x in d.links] == [("hf_user", "https://huggingface.co/me"), ("so_user_id", None)]
+    labels = spark.createDataFrame([("IN-MH", "Mumbai area"), ("XX", "Nowhere")], "code string, label string")
+    assert [x.code for x in panels.region_choices(spark.createDataFrame([("IN-MH", "Pune")], "code string, place string"), labels).collect()] == ["IN-MH"]
+
+
 @pytest.mark.parametrize("name", ["deduplicated", "rolling_counts", "sessions"])
 def test_streams(spark, name, tmp_path):
     rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i % 2, "view", 1.0, "{}") for i in range(48)] + [(0, dt.datetime(2024, 1, 1), 0, "view", 1.0, "{}")]
