@@ -45,10 +45,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/attesta-{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage is cut, lost executors lose nothing."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    """``df`` written to the shared folder and read again: lineage is cut, lost executors lose nothing.
+
+    Spark deletes the write's shuffle files when it has ended, and not when the driver next collects garbage.
+    """
+    path, conf = scratch(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(_CLEANUP)
+        else:
+            conf.set(_CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
