@@ -20,7 +20,8 @@ query; repeated rows give repeated results; an empty table gives an empty one; f
 from __future__ import annotations
 
 import base64
-import hashlib
+import itertools
+from collections.abc import Iterator
 
 import duckdb
 import numpy as np
@@ -30,8 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import batch, map_batches, short_batches, table
 
-STEP_BYTES = 200_000  #: bytes of words, the shortest first, that one recursive query takes (a longer word has one of its own)
-CACHE = 300_000  #: words whose ids a worker keeps
+STEP_BYTES = 100_000  #: bytes of words, the shortest first, that one recursive query takes (a longer word has one of its own)
+TEXT_CHARS = 1_500_000  #: characters of texts whose new words are learnt together
+CACHE = 300_000  #: words whose ids a worker keeps, and as many older ones
 DECODE_TOKENS = 1_000_000  #: tokens that one decoding query takes
 MEMORY = "400MB"
 
@@ -68,6 +70,7 @@ class Coder:
         self.ranks = load_ranks(path)
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         rows = [
             (left, right, rank)
@@ -86,8 +89,8 @@ class Coder:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM token_rows")
         self.db.unregister("token_rows")
 
-    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each word, by the recursive query."""
+    def _contract(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of each word, by the recursive query, as little-endian unsigned 32-bit integers."""
         sizes = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(sizes)
         start = pa.table({
@@ -98,8 +101,9 @@ class Coder:
         self.db.register("start", start)
         out = self.db.execute(_ENCODE).fetchnumpy()
         self.db.unregister("start")
-        cuts = np.searchsorted(out["word"], np.arange(1, len(words)))
-        return np.split(out["tok"].astype("<u4"), cuts)
+        cuts = (4 * np.searchsorted(out["word"], np.arange(len(words) + 1))).tolist()
+        raw = out["tok"].astype("<u4").tobytes()
+        return [raw[a:b] for a, b in itertools.pairwise(cuts)]
 
     def learn(self, words: list[str]) -> None:
         open_ = []
@@ -117,15 +121,20 @@ class Coder:
                 size += open_[end][0]
                 end += 1
             coded = self._contract([raw for _, _, raw in open_[at:end]])
-            self.cache.update((w, c.tobytes()) for (_, w, _), c in zip(open_[at:end], coded, strict=True))
+            self.cache.update(zip((w for _, w, _ in open_[at:end]), coded, strict=True))
             at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.split(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        self.learn(list(set().union(*split).difference(self.cache)))
+        if len(self.cache) > CACHE:  # words that turn up again come back from the older half, the others go
+            self.cache, self.older = {}, self.cache
+        missing = set().union(*split).difference(self.cache)
+        if self.older:
+            back = missing & self.older.keys()
+            self.cache.update((w, self.older[w]) for w in back)
+            missing -= back
+        self.learn(list(missing))
         get = self.cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -160,10 +169,23 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """(id, ids): the token ids of each text, little-endian unsigned 32-bit."""
     short_batches(docs.sparkSession)
 
-    def f(b: pa.RecordBatch) -> pa.RecordBatch:
-        return batch(**{id_col: b.column(0), "ids": pa.array(coder(path, pattern).encode([t or "" for t in b.column(1).to_pylist()]), pa.binary())})
-
-    return map_batches(docs.select(id_col, text_col), f, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, chars = [], 0
+        for b in batches:
+            held.append((b.column(0), [t or "" for t in b.column(1).to_pylist()]))
+            chars += sum(map(len, held[-1][1]))
+            if chars >= TEXT_CHARS:
+                yield from flush(held)
+                held, chars = [], 0
+        yield from flush(held)
+
+    def flush(held: list[tuple[pa.Array, list[str]]]) -> Iterator[pa.RecordBatch]:
+        coded = iter(coder(path, pattern).encode([t for _, texts in held for t in texts]) if held else [])
+        for ids, texts in held:
+            if texts:
+                yield batch(**{id_col: ids, "ids": pa.array([next(coded) for _ in texts], pa.binary())})
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids binary")
 
 
 def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
