@@ -1,14 +1,15 @@
 """Token ids in Arrow stream files of fixed-size-list batches.
 
-Documents, ascending by id, form one stream of ids: each document's, then the end id. A range of documents, of about
-``FILE`` bytes of text whatever the corpus, makes one file: an Arrow IPC stream without compression whose batches hold ``ROWS`` sequences of ``LENGTH`` ids (16 bits where
+Documents, ascending by id, form one stream of ids: each document's, then the end id. A range of about ``FILE``
+documents, whatever the size of the corpus, makes one file: an Arrow IPC stream without compression whose batches hold ``ROWS`` sequences of ``LENGTH`` ids (16 bits where
 the vocabulary allows) and their masks; the last sequence is filled up with masked zeros. All full batches take
 the same number of bytes, so that ``TokenFile`` maps the file and cuts sequence i out at a computed place, without
 copying. A second stream beside it, the index, holds (doc_id, start in the file, n_tokens).
 
 Encoding runs the tokenizers library over the distinct space-separated chunks of a batch and keeps their ids in a
 bounded cache. Chunks are joined by a special token of the tokenizer, at which the library splits before anything else,
-so one call encodes many and its id tells them apart. That gives the ids of the whole text only for a tokenizer that drops white space and merges within
+so one call encodes many and its id tells them apart; words of ASCII letters are joined by spaces, as the tokens that end
+a word tell them apart. That gives the ids of the whole text only for a tokenizer that drops white space and merges within
 words; for others, pass ``chunked=False``.
 
 Edge cases: null texts are empty and keep their end id; texts of any length are encoded whole; null ids come first;
@@ -33,7 +34,7 @@ from .common import scratch, short_batches, table, written
 
 LENGTH = 2048  #: ids in a sequence
 ROWS = 64  #: sequences in a batch
-FILE, SHARE = 128 << 20, 4 << 20  #: bytes of text that make a file; small corpora still share cores by the second
+FILE, SHARE = 32_768, 1024  #: documents that make a file; small corpora still share cores by the second
 CACHE = 800_000  #: chunks whose ids a worker keeps
 
 
@@ -48,6 +49,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.chunked = chunked
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.marks = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special), reverse=True)
         self.cache: dict[str, bytes] = {}
 
@@ -64,6 +70,15 @@ class Encoder:
             raise ValueError("a chunk holds a special token")
         return [raw[a * width : b * width] for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
 
+    def _encode_spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of words of ASCII letters, each of which has one token that ends a word: its last."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._encode_joined(words)  # a tokenizer of another kind
+        raw, width = ids.tobytes(), self.dtype.itemsize
+        return [raw[a * width : b * width] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.chunked:
             return self._encode(texts)
@@ -71,12 +86,18 @@ class Encoder:
         if len(self.cache) > CACHE:
             self.cache.clear()
         missing = list(set().union(*split).difference(self.cache))
-        marked = [c for c in missing if any(m in c for m in self.marks)]
+        every = "\n".join(missing)  # no chunk holds a line end
+        marked = [c for c in missing if any(m in c for m in self.marks)] if any(m in every for m in self.marks) else []
         self.cache.update(zip(marked, self._encode(marked), strict=True))
         missing = list(set(missing).difference(marked)) if marked else missing
-        for at in range(0, len(missing), 2048):
-            part = missing[at : at + 2048]
-            self.cache.update(zip(part, self._encode_joined(part), strict=True))
+        words: list[str] = []
+        others: list[str] = []
+        for c in missing:
+            (words if c.isalpha() and c.isascii() else others).append(c)
+        for chunks, encode in ((words, self._encode_spaced), (others, self._encode_joined)):
+            for at in range(0, len(chunks), 2048):
+                part = chunks[at : at + 2048]
+                self.cache.update(zip(part, encode(part), strict=True))
         get = self.cache.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
@@ -189,7 +210,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, chunked: bo
     """Writes (doc_id, text) rows; a row for each file: shard, path, n_docs, n_tokens."""
     short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    total = docs.count()
     n = max(1, -(-total // FILE), min(8 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // SHARE)))
     rows = rows.repartitionByRange(int(n), "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
 
