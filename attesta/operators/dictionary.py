@@ -14,7 +14,7 @@ from ..functions.text import normalise_key, strings, window_keys
 
 
 #: Keys of a dictionary up to which windows are looked up where they arise; beyond, they are joined.
-FEW_KEYS = 5_000
+FEW_KEYS = 1_000
 
 
 def alias_lookup(terms: DataFrame) -> DataFrame:
@@ -25,8 +25,10 @@ def alias_lookup(terms: DataFrame) -> DataFrame:
 def _windows(docs: DataFrame, id_col: str, text_col: str, dim: DataFrame) -> DataFrame:
     """(id, pos, key) of the windows whose key the dictionary has (or of all, where it is large)."""
     keys = [r["key"] for r in dim.select("key").limit(FEW_KEYS + 1).collect()]  # a dimension, and bounded
-    known = (lambda k: k.isin(keys)) if len(keys) <= FEW_KEYS else None
-    return docs.select(id_col, F.inline(window_keys(text_col, wanted=known)))
+    if len(keys) > FEW_KEYS:
+        return docs.select(id_col, F.inline(window_keys(text_col)))
+    heads = sorted({k[:n] for k in keys for n in range(1, len(k) + 1)})
+    return docs.select(id_col, F.inline(window_keys(text_col, wanted=lambda k: k.isin(keys), begins=lambda w: w.isin(heads))))
 
 
 def terms_in_text(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
