@@ -410,3 +410,19 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+#: All pairs of distinct sets that share a shingle: for small tables.
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d),
+k AS (SELECT doc_id, len(g) AS n, md5(array_to_string(list_sort(g), chr(10))) AS key, g FROM s),
+u AS (SELECT key, any_value(n) AS n, any_value(g) AS g, min(doc_id) AS first, count(*) AS copies FROM k WHERE n > 0 GROUP BY key),
+x AS (SELECT key, n, unnest(g) AS t FROM u),
+p AS (SELECT a.key AS a, b.key AS b FROM x a JOIN x b ON a.t = b.t AND a.key <> b.key GROUP BY ALL HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+r(a, b) AS (SELECT key, key FROM u UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a AS key, min(first) AS component FROM r JOIN u ON r.b = u.key GROUP BY a),
+l AS (SELECT p.a AS key, count(*) AS sets, sum(u.copies) AS held FROM p JOIN u ON p.b = u.key GROUP BY p.a)
+SELECT k.doc_id, k.n AS n_shingles, coalesce(component, k.doc_id) AS component_id, coalesce(u.copies, 1) AS copies, coalesce(l.sets, 0) AS set_links, CAST(coalesce(l.held, 0) + coalesce(u.copies, 1) - 1 AS BIGINT) AS n_links
+FROM k LEFT JOIN u USING (key) LEFT JOIN c USING (key) LEFT JOIN l USING (key)
+"""
