@@ -388,7 +388,7 @@ act AS (SELECT r, s, CASE arg_max(st, (ts, id)) WHEN 'F' THEN 'shortlisted' WHEN
 k AS (SELECT o_custkey AS s, p_brand AS b, o_orderstatus = 'F' AS proven, l_extendedprice AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey),
 pr AS (SELECT s, string_agg(b, '|' ORDER BY v DESC, b) AS top FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY v DESC, b) AS n FROM (SELECT s, b, round(sum(v), 2) AS v FROM k WHERE proven GROUP BY ALL)) WHERE n <= 3 GROUP BY s),
 sd AS (SELECT s, string_agg(b, '|' ORDER BY b) AS top FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY b) AS n FROM (SELECT DISTINCT s, b FROM k WHERE NOT proven)) WHERE n <= 3 GROUP BY s)
-SELECT CAST(r AS VARCHAR) AS req_id, s AS subject_id, c_name AS name, round(score, 6) AS score, last_action, coalesce(pr.top, sd.top) AS top_skills, CASE WHEN score >= 0.55 THEN 'Strong match' WHEN score >= 0.4 THEN 'Good match' WHEN score >= 0.25 THEN 'Possible match' ELSE 'Weak' END AS label,
+SELECT CAST(r AS VARCHAR) AS req_id, s AS subject_id, c_name AS name, round(score, 8) AS score, last_action, coalesce(pr.top, sd.top) AS top_skills, CASE WHEN score >= 0.55 THEN 'Strong match' WHEN score >= 0.4 THEN 'Good match' WHEN score >= 0.25 THEN 'Possible match' ELSE 'Weak' END AS label,
  CASE WHEN s % 4 = 1 THEN 'unchecked' WHEN passed THEN 'ranked' ELSE 'ruled_out' END AS bucket FROM cur JOIN customer ON s = c_custkey LEFT JOIN act USING (r, s) LEFT JOIN pr USING (s) LEFT JOIN sd USING (s) WHERE s % 5 > 0""")
 def shortlist(t):
     """Current matches of active people with their last decision, strongest skills and bucket."""
@@ -398,7 +398,7 @@ def shortlist(t):
     held = lines.select(F.col("o_custkey").alias("subject_id"), F.lit("skill").alias("claim_type"), F.col("p_brand").alias("claim_key"), F.col("l_extendedprice").alias("value_num"), F.when(F.col("o_orderstatus") == "F", "artifact_backed").otherwise("self_reported").alias("tier"))
     read = t["customer"].where("c_custkey % 4 <> 1").select(k.alias("subject_id"))
     out = reports.shortlist(_matches(t), subjects, _actions(t), held, read)
-    return out.select("req_id", "subject_id", "name", F.round("score", 6).alias("score"), "last_action", bars("top_skills").alias("top_skills"), "label", "bucket")
+    return out.select("req_id", "subject_id", "name", F.round("score", 8).alias("score"), "last_action", bars("top_skills").alias("top_skills"), "label", "bucket")
 
 
 @query("""WITH m AS (SELECT o_orderkey AS id, c_nationkey AS r, o_custkey AS s, o_orderdate AS at, o_orderstatus AS st FROM orders JOIN customer ON o_custkey = c_custkey)

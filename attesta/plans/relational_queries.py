@@ -209,8 +209,8 @@ def identity_resolve_0_1_n(t):
     return identity.resolve(keys, known).select(F.col("source_id").cast("long").alias("source_id"), "outcome", "subject_id")
 
 
-@query("""WITH c AS (SELECT c_custkey AS id, c_nationkey AS s, c_custkey % 97 AS k FROM customer)
-SELECT id AS claim_id, CAST(CASE WHEN s < 5 AND NOT EXISTS (SELECT 1 FROM c b WHERE b.s = c.s + 10 AND b.k = c.k) THEN s + 10 ELSE s END AS VARCHAR) AS merged, CAST(s AS VARCHAR) AS restored FROM c""")
+@query("""WITH c AS (SELECT c_custkey AS id, c_nationkey AS s, c_custkey % 97 AS k, row_number() OVER (PARTITION BY c_nationkey, c_custkey % 97 ORDER BY c_custkey) AS nth FROM customer)
+SELECT id AS claim_id, CAST(CASE WHEN s < 5 AND nth = 1 AND NOT EXISTS (SELECT 1 FROM c b WHERE b.s = c.s + 10 AND b.k = c.k) THEN s + 10 ELSE s END AS VARCHAR) AS merged, CAST(s AS VARCHAR) AS restored FROM c""")
 def merge_split_unmerge(t):
     subject, key = F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 97).cast("string")
     claims = t["customer"].select(F.col("c_custkey").alias("claim_id"), subject.alias("subject_id"), F.lit("skill").alias("claim_type"), key.alias("claim_key"), F.lit("t").alias("source_url"))
