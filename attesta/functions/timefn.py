@@ -24,9 +24,10 @@ def spans(df: DataFrame, start: str, end: str, as_of: Column) -> DataFrame:
 
 
 def days_between(later: Column, earlier: Column) -> Column:
-    """Fractional days, 0 if negative."""
+    """Fractional days, 0 if negative; null where a date is."""
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    return F.greatest(F.lit(0.0), (micros(later) - micros(earlier)).cast("double") / 86_400e6)
+    days = (micros(later) - micros(earlier)).cast("double") / 86_400e6
+    return F.when(days.isNotNull(), F.greatest(F.lit(0.0), days))
 
 
 def decay(days: Column, half_life: float = HALF_LIFE_DAYS) -> Column:

@@ -43,6 +43,8 @@ def test_scoring_semantics(spark):
     assert half.seniority_basis == "estimated"
     stale = evaluate(spark, [("skill", "Python", None, 1.0, "artifact_backed", day(541)), ("location", "IN-MH", None, None, "self_reported", None)])
     assert stale.gate_activity == "fail: most recent public work 541 days old, limit 540" and "would need to relocate" in stale.gate_location
+    unknown = evaluate(spark, [("location", "IN-KA", None, None, "self_reported", None)], min_years=2)
+    assert unknown.seniority_basis == "unknown" and unknown.seniority_fit == 0.0
     banned = evaluate(spark, [("skill", "gender", None, 1.0, "artifact_backed", day(1))])
     assert banned.activity_recency == 0.0
     assert evaluate(spark, [("location", "IN", None, None, "self_reported", None)], regions=["IN-REMOTE"]).gate_location == "pass"
