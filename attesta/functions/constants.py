@@ -72,6 +72,29 @@ LINKS = {
 }
 STRONG_KINDS = ["github_login", "gitlab_login", "hf_user", "codeforces_handle", "so_user_id", "personal_domain", "email_sha256", "linkedin_slug"]
 LOGIN_KEYS = ["github_url", "url", "blog"]
+# Words that make a title, and words that identify no employer.
+TITLE_CUES = [
+    "manager", "director", "head", "lead", "leader", "vp", "svp", "avp", "president",
+    "chief", "officer", "ceo", "cto", "coo", "cfo", "cmo", "chro", "founder",
+    "cofounder", "partner", "principal", "associate", "analyst", "consultant",
+    "strategist", "specialist", "coordinator", "executive", "engineer", "developer",
+    "designer", "architect", "scientist", "researcher", "advisor", "counsel",
+    "controller", "treasurer", "recruiter", "generalist",
+]
+EMPLOYER_STOP = [
+    "private", "limited", "ltd", "pvt", "inc", "incorporated", "llc", "llp", "plc",
+    "corp", "corporation", "company", "co", "group", "holdings", "ventures",
+    "technologies", "technology", "tech", "solutions", "systems", "services",
+    "software", "labs", "consulting", "consultants", "partners", "global",
+    "international", "india", "asia", "digital", "media", "online", "the", "and",
+    "fulltime", "full", "time", "parttime", "part", "contract", "freelance",
+    "internship", "intern", "permanent", "temporary", "selfemployed", "self",
+    "employed", "apprenticeship", "seasonal",
+]
+TITLE_AFTER = r"\s*[,:|\-–—]\s*([A-Za-z][A-Za-z&/'. ]{2,80})"
+# Dated ranges of a page's text, the walls that its fields tell, and all walls.
+DATED_RANGE = r"(?iU)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\.?\s+\d{4}\s*[-–—]\s*(?:Present|[A-Z][a-z]{2}\w*\.?\s+\d{4})"
+PAGE_WALLS = ["join linkedin", "authwall", "sign in to see"]
 WALLS = ["authwall", "Join LinkedIn", "Sign in to see", "Please verify you are a human"]
 
 # Search plans, roles and the queue.

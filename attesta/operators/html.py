@@ -1,100 +1,114 @@
-"""Pages to blocks of visible text, and names near titles.
+"""Pages to blocks of visible text, and where pages name people beside their employers.
 
-HTML has no grammar that expressions can follow, so blocks come from the standard parser in an Arrow-batched map; all
-else is expressions on the blocks.
+HTML has no grammar that expressions can follow, so a page's text nodes come from ``htmltree`` in Arrow-batched maps; all
+else is expressions on blocks, and joins of an index of words by page, block and place.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from ..functions.text import col, signal_tokens
-
-HIDDEN = {"script", "style", "noscript", "template", "head"}
-INLINE = {"a", "abbr", "b", "bdi", "cite", "code", "em", "font", "i", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "time", "u"}
-
-
-class _Blocks(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.blocks: list[str] = []
-        self.now: list[str] = []
-        self.hidden: list[str] = []
-
-    def cut(self) -> None:
-        text = " ".join("".join(self.now).split())
-        if text:
-            self.blocks.append(text)
-        self.now = []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in HIDDEN:
-            self.hidden.append(tag)
-        if tag not in INLINE:
-            self.cut()
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.hidden:
-            del self.hidden[self.hidden.index(tag) :]
-        if tag not in INLINE:
-            self.cut()
-
-    def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.now.append(data)
+from ..functions.constants import EMPLOYER_STOP, TITLE_AFTER, TITLE_CUES
+from ..functions.text import bound, col, employer_keys, signal_tokens, strings
+from .htmltree import blocks_of
 
-
-def blocks_of(page: str | None) -> str:
-    """Visible text, a block on each line."""
-    p = _Blocks()
-    p.feed(page or "")
-    p.close()
-    p.cut()
-    return "\n".join(p.blocks)
+AROUND = 160  #: characters kept on either side of a name in a long window
 
 
 @pandas_udf(StringType())
 def page_text(html: pd.Series) -> pd.Series:
+    """Visible text, a block a line; a null page has none."""
     return html.map(blocks_of)
 
 
-def block_windows(pages: DataFrame, page: str, text: str, name: Column, employer: Column) -> DataFrame:
-    """(page, pos, window): blocks that hold the name; the next block comes with one that lacks the employer."""
-    b = pages.select("*", F.posexplode(F.split(text, "\n")).alias("pos", "block"))
-    b = b.withColumn("next", F.lead("block").over(Window.partitionBy(page).orderBy("pos")))
-    low = F.lower(col("block"))
-    alone = F.contains(low, F.lower(employer))
-    return b.where(F.contains(low, F.lower(name))).select(page, "pos", F.when(alone, F.col("block")).otherwise(F.concat_ws("\n", "block", "next")).alias("window"))
-
-
-def trimmed(window: Column, needle: Column, around: int = 160) -> Column:
-    """The window to ``around`` characters on either side of the needle, cut at words."""
-    at = F.greatest(F.instr(F.lower(window), F.lower(needle)), F.lit(1))
-    lo, hi = F.greatest(at - around, F.lit(1)), at + F.length(needle) + around
-    cut = F.substr(window, lo, hi - lo)
-    within = lambda at: F.regexp_like(F.substr(window, at, F.lit(1)), F.lit(r"\S"))
-    cut = F.when((lo > 1) & within(lo - 1), F.regexp_replace(cut, r"^\S*\s+", "")).otherwise(cut)
-    cut = F.when((hi <= F.length(window)) & within(hi), F.regexp_replace(cut, r"\s+\S*$", "")).otherwise(cut)
-    return F.trim(cut)
-
-
-def title_near(window: Column, name: Column, cues: list[str], longest: int = 6) -> Column:
-    """What follows the name and a separator, up to a line end, pipe, semicolon or full stop: few words with a title cue."""
-    after = F.substr(window, F.instr(F.lower(window), F.lower(name)) + F.length(name))
-    found = F.trim(F.regexp_extract(after, r"^\s*(?:[,:\n|(–—-]\s*)+([^\n|;.]+)", 1))
-    words = F.filter(F.split(found, r"\s+"), lambda x: x != "")
-    cue = F.arrays_overlap(signal_tokens(found), F.array(*map(F.lit, cues)))
-    return F.when((F.instr(F.lower(window), F.lower(name)) > 0) & (F.size(words) > 0) & (F.size(words) <= longest) & cue, found)
-
-
-def corroborations(windows: DataFrame, page: str, employer_words: Column) -> DataFrame:
-    """The first window of each page that names a word of the employer."""
-    hit = windows.where(F.arrays_overlap(signal_tokens("window"), employer_words))
-    return hit.withColumn("_rn", F.row_number().over(Window.partitionBy(page).orderBy("pos"))).where("_rn = 1").drop("_rn")
+def keys_of(employer: Column | str) -> Column:
+    """The words by which an employer is known; none for what reads like a title."""
+    return employer_keys(employer, EMPLOYER_STOP, TITLE_CUES)
+
+
+def trimmed(window: Column, name: Column, around: int = AROUND) -> Column:
+    """A window of over twice ``around`` characters, cut at spaces about ``around`` before and after the name."""
+
+    def cut(w: Column) -> Column:
+        whole = w["w"]
+        at = F.instr(F.lower(whole), F.lower(w["n"])) - 1
+        after = at + F.char_length(w["n"])
+        lo, hi = F.greatest(at - around, F.lit(0)), F.least(after + around, F.char_length(whole))
+        space = F.instr(F.substr(whole, lo + 1, at - lo + 1), F.lit(" "))  # of a space within the part before the name
+        start = F.when(lo == 0, 0).when(space == 0, at).otherwise(lo + space)
+        tail = F.substr(whole, after + 1, hi - after)
+        last = F.instr(F.reverse(tail), F.lit(" "))
+        stop = F.when((hi == F.char_length(whole)) | (last == 0), hi).otherwise(hi - last)
+        kept = F.substr(whole, start + 1, stop - start)
+        return F.when(F.char_length(whole) <= 2 * around, whole).when(at < 0, F.substr(whole, F.lit(1), F.lit(2 * around))).otherwise(F.btrim(kept, F.lit(" \n")))
+
+    return bound(F.struct(window.alias("w"), name.alias("n")), cut)
+
+
+def windows(pages: DataFrame, page: str, text: str, targets: DataFrame) -> DataFrame:
+    """(page, subject_id, pos, window, name, employer): where a page names a target by name and employer.
+
+    ``targets`` has (page, subject_id, name, employer). A window is a block that holds the name, if it holds one of the
+    employer's words as a word; else that block with the next one, if that does. Of equal windows the first stays.
+    Targets without a name or without identifying words have none.
+    """
+    known = targets.select(page, "subject_id", "name", "employer", keys_of("employer").alias("_keys")).where((F.coalesce("name", F.lit("")) != "") & (F.size("_keys") > 0))
+
+    def found(b: Column) -> Column:
+        named = F.filter(F.transform(b["blocks"], lambda x, i: F.struct(i.alias("pos"), x.alias("block"))), lambda s: F.contains(F.lower(s["block"]), F.lower(b["name"])))
+        holds = lambda x: F.coalesce(F.arrays_overlap(signal_tokens(x), b["keys"]), F.lit(False))
+        after = lambda s: F.get(b["blocks"], s["pos"] + 1)
+        seen = F.transform(named, lambda s: F.struct(s["pos"].alias("pos"), F.when(holds(s["block"]), s["block"]).when(holds(after(s)), F.concat(s["block"], F.lit("\n"), after(s))).alias("window")))
+        return F.transform(F.filter(seen, lambda s: s["window"].isNotNull()), lambda s: F.struct(s["pos"].alias("pos"), trimmed(s["window"], b["name"]).alias("window")))
+
+    pairs = pages.select(page, F.col(text).alias("_text")).join(known, page)
+    hits = pairs.select(page, "subject_id", "name", "employer", F.inline(bound(F.struct(F.split("_text", "\n").alias("blocks"), F.col("name").alias("name"), F.col("_keys").alias("keys")), found)))
+    return hits.where("window <> ''").groupBy(page, "subject_id", "name", "employer", "window").agg(F.min("pos").alias("pos"))
+
+
+def title_near(window: Column, name: Column, cues: list[str] = TITLE_CUES, longest: int = 6) -> Column:
+    """The first of what follows the name anywhere in the window, up to a line end, pipe, semicolon or full stop, that
+    has at most ``longest`` words, one of them a title's."""
+    quoted = F.regexp_replace(name, r"([^\p{L}\p{N}\s])", r"\\$1")
+    after = F.regexp_extract_all(window, F.concat(F.lit("(?i)"), quoted, F.lit(TITLE_AFTER)), F.lit(1))
+    phrase = F.transform(after, lambda x: F.btrim(F.element_at(F.split(F.trim(x), r"[\n|;.]"), 1), F.lit(" .,-")))
+    words = lambda x: F.size(F.filter(F.split(x, "[^A-Za-z0-9]+"), lambda w: w != ""))
+    return F.get(F.filter(phrase, lambda x: (words(x) <= longest) & F.arrays_overlap(signal_tokens(x), strings(cues))), F.lit(0))
+
+
+def corroborations(pages: DataFrame, page: str, text: str, targets: DataFrame) -> DataFrame:
+    """(page, subject_id, employer, pos, window, title): each page's first window of each target."""
+    first = windows(pages, page, text, targets).groupBy(page, "subject_id", "name", "employer").agg(F.min(F.struct("pos", "window")).alias("_w"))
+    return first.select(page, "subject_id", "employer", "_w.pos", "_w.window", title_near(F.col("_w.window"), F.col("name")).alias("title"))
+
+
+def postings(pages: DataFrame, page: str, text: str) -> DataFrame:
+    """(page, block, place, word, next): the index of a page's words; ``next`` is the word after it in its block."""
+    blocks = pages.select(page, F.posexplode(F.split(text, "\n")).alias("block", "_b"))
+    words = blocks.select(page, "block", F.filter(F.split(F.lower("_b"), "[^a-z0-9]+"), lambda w: w != "").alias("_w"))
+    return words.select(page, "block", F.inline(bound(F.col("_w"), lambda w: F.transform(w, lambda x, i: F.struct(i.alias("place"), x.alias("word"), F.get(w, i + 1).alias("next"))))))
+
+
+def mentions(index: DataFrame, page: str, people: DataFrame) -> DataFrame:
+    """(page, subject_id, block, distance): blocks that hold a person's name, word by word, and a word of the employer in
+    the same block (distance 0) or the next (1).
+
+    ``index`` is what ``postings`` gives, ``people`` has (subject_id, name, employer). A name is looked up by its first two
+    words, its further ones at their places; the employer's words only in the blocks beside a name. All are equi-joins.
+    """
+    # the names
+    who = people.select("subject_id", F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: w != "").alias("_n"), keys_of("employer").alias("_keys")).where((F.size("_n") > 0) & (F.size("_keys") > 0))
+    head = who.select("subject_id", F.size("_n").alias("_size"), F.col("_n")[0].alias("word"), F.get("_n", F.lit(1)).alias("next"))
+    spot = ["subject_id", page, "block", "place", "_size"]
+    hits = index.join(head.where("_size > 1"), ["word", "next"]).select(*spot).unionByName(index.drop("next").join(head.where("_size = 1").drop("next"), "word").select(*spot))
+    further = hits.where("_size > 2").join(who.select("subject_id", F.posexplode("_n").alias("_k", "word")).where("_k > 1"), "subject_id").withColumn("place", F.col("place") + F.col("_k"))
+    held = further.join(index.select(page, "block", "place", "word"), [page, "block", "place", "word"]).groupBy("subject_id", page, "block", (F.col("place") - F.col("_k")).alias("place"), "_size").agg(F.count("*").alias("_held"))
+    named = hits.where("_size <= 2").select("subject_id", page, "block").unionByName(held.where("_held = _size - 2").select("subject_id", page, "block")).distinct()
+    # their employers, beside them
+    beside = named.join(who.select("subject_id", F.explode("_keys").alias("word")), "subject_id").select("subject_id", page, "word", F.col("block").alias("_at"), F.explode(F.array(F.lit(0), F.lit(1))).alias("distance"))
+    near = beside.withColumn("block", F.col("_at") + F.col("distance")).join(index.select(page, "block", "word").distinct(), [page, "block", "word"])
+    return near.groupBy(page, "subject_id", F.col("_at").alias("block")).agg(F.min("distance").alias("distance"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import LINKS, MONTHS, STAGES, WALLS
+from ..functions.constants import DATED_RANGE, LINKS, PAGE_WALLS, STAGES, WALLS
 from ..functions.text import employer_keys, first_integer, keyword_routes
 
 
@@ -96,12 +96,6 @@ def post_counts(reactions: Column, comments: Column) -> Column:
     return F.struct(F.coalesce(first_integer(reactions), F.lit(0)).alias("reactions"), F.coalesce(first_integer(comments), F.lit(0)).alias("comments"))
 
 
-# Dated ranges of a page's text, and the walls that its fields tell.
-_MONTH = "(?:" + "|".join(m.capitalize() for m in MONTHS) + ")"
-DATED = r"(?iU)\b" + _MONTH + r"\w*\.?\s+\d{4}\s*[-–—]\s*(?:Present|[A-Z][a-z]{2}\w*\.?\s+\d{4})"
-PAGE_WALLS = ("join linkedin", "authwall", "sign in to see")
-
-
 def page_fields(page: Column) -> tuple[Column, ...]:
     """rendered, authwalled, has_experience and dated_entries of a page's whole text."""
     text = F.coalesce(page, F.lit(""))
@@ -110,4 +104,4 @@ def page_fields(page: Column) -> tuple[Column, ...]:
     for marker in PAGE_WALLS:
         walled = walled | F.contains(low, F.lit(marker))
     rendered = (F.char_length(text) > 5000) & ~walled
-    return rendered.alias("rendered"), walled.alias("authwalled"), F.contains(low, F.lit("experience")).alias("has_experience"), F.regexp_count(text, F.lit(DATED)).alias("dated_entries")
+    return rendered.alias("rendered"), walled.alias("authwalled"), F.contains(low, F.lit("experience")).alias("has_experience"), F.regexp_count(text, F.lit(DATED_RANGE)).alias("dated_entries")

@@ -624,34 +624,36 @@ def ambiguous_layouts(t):
 
 
 def _pages(t):
+    """A page of each customer: no end of head, an svg, the name twice, the title only where it is named again."""
     k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
-    body = F.concat(F.lit("<html><head><title>no</title><style>p{}</style></head><body><h1>Person "), k, F.lit(", <b>Head</b> of Data</h1><p>Works at Firm"), n, F.lit(" &amp; co</p><script>var a=1</script><div>Person "), k, F.lit(" elsewhere</div></body></html>"))
-    return t["customer"].select("c_custkey", F.concat(F.lit("person "), k).alias("name"), F.concat(F.lit("Firm"), n).alias("employer"), html.page_text(body).alias("text"))
+    head = F.lit("<html><head><title>no</title><style>p{}</style><body><svg><title>no</title></svg><p>one <i>of</i> many<table>")
+    again = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(". Person "), k, F.lit(" - Head of Data."))).otherwise(".")
+    body = F.concat(head, F.lit("<tr><td>Person "), k, F.lit(", our own 1st"), again, F.lit("<td>Works at Firm"), n, F.lit(" &amp; co</table><script>var a='<p>'</script><div>Person "), k, F.lit(" left Firm"), n, F.lit("x</div>"))
+    return t["customer"].select("c_custkey", html.page_text(body).alias("text")), t["customer"].select("c_custkey", F.col("c_custkey").alias("subject_id"), F.concat(F.lit("person "), k).alias("name"), F.concat(F.lit("Firm"), n, F.lit(" Pvt Ltd")).alias("employer"))
 
 
-@query("SELECT c_custkey, 'Person ' || c_custkey || ', Head of Data' || chr(10) || 'Works at Firm' || c_nationkey || ' & co' || chr(10) || 'Person ' || c_custkey || ' elsewhere' AS text FROM customer")
+_OWN = "'Person ' || c_custkey || ', our own 1st' || CASE WHEN c_custkey % 2 = 0 THEN '. Person ' || c_custkey || ' - Head of Data.' ELSE '.' END"
+
+
+@query(f"SELECT c_custkey, 'one' || chr(10) || 'of' || chr(10) || 'many' || chr(10) || {_OWN} || chr(10) || 'Works at Firm' || c_nationkey || ' & co' || chr(10) || 'Person ' || c_custkey || ' left Firm' || c_nationkey || 'x' AS text FROM customer")
 def visible_text(t):
     """Blocks of visible text of made-up pages."""
-    return _pages(t).select("c_custkey", "text")
+    return _pages(t)[0].select("c_custkey", "text")
 
 
-@query("""SELECT c_custkey, 'Person ' || c_custkey || ', Head of Data' || chr(10) || 'Works at Firm' || c_nationkey || ' & co' AS window, 'Head of Data' AS title FROM customer""")
+@query(f"""SELECT c_custkey, {_OWN} || chr(10) || 'Works at Firm' || c_nationkey || ' & co' AS win, CASE WHEN c_custkey % 2 = 0 THEN 'Head of Data' END AS title FROM customer""")
 def corroborated(t):
     """The block that names the person with the next, where that names the employer, and the title beside the name."""
-    p = _pages(t)
-    w = html.block_windows(p, "c_custkey", "text", F.col("name"), F.col("employer")).join(p.select("c_custkey", "name", "employer"), "c_custkey")
-    best = html.corroborations(w, "c_custkey", text.signal_tokens("employer"))
-    return best.select("c_custkey", html.trimmed(F.col("window"), F.col("name")).alias("window"), html.title_near(F.col("window"), F.col("name"), ["head"]).alias("title"))
+    p, who = _pages(t)
+    return html.corroborations(p, "c_custkey", "text", who).select("c_custkey", F.col("window").alias("win"), "title")
 
 
-@query("""WITH w AS (SELECT c_custkey AS s, 'Person ' || c_custkey || ', Head of Data' || chr(10) || 'Works at Firm' || c_nationkey || ' & co' AS snippet, c_nationkey FROM customer)
-SELECT s, 'employer' AS claim_type, 'firm' || c_nationkey AS claim_key, 'Firm' || c_nationkey AS claim_value, snippet FROM w UNION ALL SELECT s, 'title', 'head of data', 'Head of Data', snippet FROM w""")
+@query(f"""WITH w AS (SELECT c_custkey AS s, {_OWN} || chr(10) || 'Works at Firm' || c_nationkey || ' & co' AS snippet, c_nationkey FROM customer)
+SELECT s, 'employer' AS claim_type, 'firm' || c_nationkey || ' pvt ltd' AS claim_key, 'Firm' || c_nationkey || ' Pvt Ltd' AS claim_value, snippet FROM w UNION ALL SELECT s, 'title', 'head of data', 'Head of Data', snippet FROM w WHERE s % 2 = 0""")
 def third_party_claims(t):
-    p = _pages(t)
-    w = html.block_windows(p, "c_custkey", "text", F.col("name"), F.col("employer")).join(p.select("c_custkey", "name", "employer"), "c_custkey")
-    best = html.corroborations(w, "c_custkey", text.signal_tokens("employer")).withColumn("title", html.title_near(F.col("window"), F.col("name"), ["head"]))
-    rows = claims.page_claims(best.select(F.col("c_custkey").alias("subject_id"), F.lit("u").alias("url"), "window", "employer", "title"), "employer", "title")
-    return rows.select(F.col("subject_id").alias("s"), "claim_type", "claim_key", "claim_value", "snippet")
+    p, who = _pages(t)
+    best = html.corroborations(p, "c_custkey", "text", who).withColumn("url", F.lit("u"))
+    return claims.page_claims(best, "employer", "title").select(F.col("subject_id").alias("s"), "claim_type", "claim_key", "claim_value", "snippet")
 
 
 @query("""SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'authwall' WHEN 1 THEN 'Join LinkedIn' WHEN 2 THEN 'Please verify you are a human' END AS marker, CASE o_orderkey % 4 WHEN 0 THEN 'busy' WHEN 1 THEN 'deepest' ELSE 'started' END AS more FROM orders""")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text, urls
+from ..functions.constants import EMPLOYER_STOP, TITLE_CUES
 from ..operators import claims, dictionary as D, html, layout, panels
 from ..sources import readers
 from . import pipelines
@@ -130,20 +131,52 @@ def url_redact_hash(t):
     return t["pages"].select("page_id", urls.redact_url(u).alias("redacted"), urls.url_hash(u).alias("url_hash"))
 
 
-@query(None)
+_TAGS = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?s)^.*</head>', ''), '(?s)<!--.*?-->', chr(10), 'g'), '<[^>]*(>|$)', chr(10), 'g')"""
+_VISIBLE = rf"""replace(replace(replace(regexp_replace({_TAGS}, '&amp;?', '&', 'g'), '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', '"')"""
+#: Blocks of the driver's pages: each tag ends a text node there, and a page can end within a tag.
+_BLOCKS = rf"""b AS (SELECT page_id, list_filter(list_transform(string_split({_VISIBLE}, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM pages)"""
+
+
+@query(f"WITH {_BLOCKS} SELECT page_id, array_to_string(b, chr(10)) AS text FROM b")
 def page_text(t):
+    """Visible text of the pages, a text node a line."""
     return t["pages"].select("page_id", html.page_text("html").alias("text"))
 
 
-@query(None)
-def block_proximity(t):
-    """Blocks near a page's first word, as name, with the second as employer; the first qualifying window of each."""
+def _people(t):
+    """The pages' texts, and for each page a person and employer: the first four words of its first block of as many."""
     p = t["pages"].select("page_id", html.page_text("html").alias("text"))
-    p = p.select("*", F.split(F.get(F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit(" "))), F.lit(0)), " ").alias("w")).where("size(w) > 1").select("page_id", "text", F.col("w")[0].alias("name"), F.col("w")[1].alias("employer"))
-    w = html.block_windows(p, "page_id", "text", F.col("name"), F.col("employer"))
-    found = w.join(p.select("page_id", "name", "employer"), "page_id")
-    best = html.corroborations(found, "page_id", text.signal_tokens("employer"))
-    return best.select("page_id", "pos", html.trimmed(F.col("window"), F.col("name")).alias("window"))
+    words = F.get(F.filter(F.transform(F.split("text", "\n"), lambda x: F.split(x, " ")), lambda w: F.size(w) > 3), F.lit(0))
+    pair = lambda i: F.concat_ws(" ", F.get("w", F.lit(i)), F.get("w", F.lit(i + 1)))
+    return p, p.select("page_id", words.alias("w")).where("w IS NOT NULL").select("page_id", F.col("page_id").alias("subject_id"), pair(0).alias("name"), pair(2).alias("employer"))
+
+
+_SQL_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_SQL_WORDS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+_PEOPLE = f"""f AS (SELECT page_id, b, string_split(list_filter(b, lambda x: len(string_split(x, ' ')) > 3)[1], ' ') AS w FROM b), n AS (SELECT page_id, b, w[1] || ' ' || w[2] AS name, w[3] || ' ' || w[4] AS employer FROM f WHERE w IS NOT NULL),
+k AS (SELECT *, CASE WHEN list_has_any({_SQL_WORDS.format('employer')}, {_SQL_LIST(TITLE_CUES)}) THEN [] ELSE list_filter(list_distinct({_SQL_WORDS.format('employer')}), lambda x: length(x) >= 2 AND NOT list_contains({_SQL_LIST(EMPLOYER_STOP)}, x)) END AS keys FROM n)"""
+
+
+@query(f"""WITH {_BLOCKS}, {_PEOPLE}, e AS (SELECT *, unnest(b) AS x, generate_subscripts(b, 1) AS i FROM k),
+h AS (SELECT *, CASE WHEN list_has_any({_SQL_WORDS.format('x')}, keys) THEN x WHEN i < len(b) AND list_has_any({_SQL_WORDS.format('b[i + 1]')}, keys) THEN x || chr(10) || b[i + 1] END AS v FROM e WHERE contains(lower(x), lower(name))),
+m AS (SELECT *, strpos(lower(v), lower(name)) - 1 AS a, strpos(lower(v), lower(name)) - 1 + length(name) AS z, length(v) AS l FROM h WHERE v IS NOT NULL),
+o AS (SELECT *, greatest(a - 160, 0) AS lo, least(z + 160, l) AS hi FROM m), s AS (SELECT *, strpos(substr(v, lo + 1, a - lo + 1), ' ') AS sp, strpos(reverse(substr(v, z + 1, hi - z)), ' ') AS ep FROM o),
+c AS (SELECT *, CASE WHEN lo = 0 THEN 0 WHEN sp = 0 THEN a ELSE lo + sp END AS st, CASE WHEN hi = l OR ep = 0 THEN hi ELSE hi - ep END AS en FROM s)
+SELECT page_id, min(i - 1) AS pos, CASE WHEN l <= 320 THEN v ELSE trim(substr(v, st + 1, en - st), ' ' || chr(10)) END AS win FROM c GROUP BY page_id, 3""")
+def block_proximity(t):
+    """Windows in which pages name a person (two words that they begin with) beside the employer (the two words after)."""
+    p, people = _people(t)
+    return html.windows(p, "page_id", "text", people).select("page_id", "pos", F.col("window").alias("win"))
+
+
+@query(f"""WITH {_BLOCKS}, {_PEOPLE}, p AS (SELECT page_id AS s, ' ' || array_to_string({_SQL_WORDS.format('name')}, ' ') || ' ' AS name, keys FROM k WHERE len(keys) > 0 AND len({_SQL_WORDS.format('name')}) > 0),
+e AS (SELECT page_id, b, unnest(b) AS x, generate_subscripts(b, 1) AS i FROM b), w AS (SELECT page_id, i, {_SQL_WORDS.format('x')} AS own, {_SQL_WORDS.format("coalesce(b[i + 1], '')")} AS after FROM e),
+v AS (SELECT *, ' ' || array_to_string(own, ' ') || ' ' AS line FROM w)
+SELECT page_id, s AS subject_id, i - 1 AS block, CASE WHEN list_has_any(own, keys) THEN 0 ELSE 1 END AS distance FROM v JOIN p ON contains(line, name) AND (list_has_any(own, keys) OR list_has_any(after, keys))""")
+def co_mentions(t):
+    """Every person of the pages, looked for in all pages: blocks with the name word by word, an employer's word in them or next."""
+    p, people = _people(t)
+    return html.mentions(html.postings(p, "page_id", "text"), "page_id", people.select("subject_id", "name", "employer"))
 
 
 @query("""WITH d AS (SELECT o_orderkey AS doc, 'Engineer ' || o_custkey AS title, 'Firm ' || (o_custkey % 50) AS firm, o_orderkey % 3 AS kind FROM orders)
@@ -226,7 +259,9 @@ def documents_by_source(t):
     return t["documents"].groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("english"), F.count_if(F.col("n_chars") > 1000).alias("long"))
 
 
-@query(None)
+@query(rf"""WITH {_BLOCKS}, t AS (SELECT page_id, array_to_string(b, chr(10)) AS t FROM b), w AS (SELECT *, regexp_matches(lower(t), 'join linkedin|authwall|sign in to see') AS walled FROM t)
+SELECT page_id, length(t) > 5000 AND NOT walled AS rendered, walled AS authwalled, contains(lower(t), 'experience') AS has_experience,
+  CAST(len(regexp_extract_all(t, '(?i)\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\w*\.?\s+\d{{4}}\s*(-|–|—)\s*(Present|[A-Z][a-z]{{2}}\w*\.?\s+\d{{4}})')) AS INTEGER) AS dated_entries FROM w""")
 def page_classifier(t):
     """What each page shows: rendered, authwalled, has_experience and its number of dated ranges."""
     return t["pages"].select("page_id", html.page_text("html").alias("text")).select("page_id", *panels.page_fields(F.col("text")))

@@ -2,12 +2,13 @@
 
 import datetime as dt
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.functions import scores, text, timefn, urls
-from attesta.operators import claims, dictionary, gate, html, identity, jobs, layout, panels, relational, reports, scoring
+from attesta.functions import constants, scores, text, timefn, urls
+from attesta.operators import claims, dictionary, gate, html, htmltree, identity, jobs, layout, panels, relational, reports, scoring
 from attesta.plans import matching_queries, pipelines
 from attesta.sources import readers
 from attesta.streaming import mirrors
@@ -176,12 +177,131 @@ def test_layouts(spark):
 def test_pages(spark):
     page = "<html><head><title>t</title><style>x</style></head><body><h2>Jane Doe, <b>Head of Data</b></h2><p>Acme builds</p><script>var a='<p>no</p>'</script><p>Other Jane Doe</p></body></html>"
     df = spark.createDataFrame([(1, page), (2, None)], "page int, html string").withColumn("text", html.page_text("html"))
-    assert [r.text for r in df.orderBy("page").collect()] == ["Jane Doe, Head of Data\nAcme builds\nOther Jane Doe", ""]
-    w = html.block_windows(df, "page", "text", F.lit("jane doe"), F.lit("acme"))
-    first = html.corroborations(w, "page", text.strings(["acme"])).first()
-    assert first.window == "Jane Doe, Head of Data\nAcme builds"
-    assert w.where("pos = 0").select(html.title_near(F.col("window"), F.lit("Jane Doe"), ["head", "engineer"]).alias("t")).first().t == "Head of Data"
-    assert one(spark, t=html.trimmed(F.lit("aaa bbb needle ccc ddd"), F.lit("needle"), 4)).t == "bbb needle ccc"
+    assert [r.text for r in df.orderBy("page").collect()] == ["Jane Doe,\nHead of Data\nAcme builds\nOther Jane Doe", ""]
+    assert one(spark, t=html.title_near(F.lit("Jane Doe,\nHead of Data"), F.lit("jane doe"))).t == "Head of Data"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>x</title><body><p>Hello there</p>", "Hello there"),
+        ("<span>Priya Sharma</span><span>VP Supply</span>", "Priya Sharma|VP Supply"),
+        ("one<a>Jane</a>two", "one|Jane|two"),
+        ("<p>a<svg><title>t</title><text>x</text></svg>b", "a|b"),
+        ("<div><noscript>no</div>yes", "yes"),
+        ("<head><noscript><p>x</p></noscript>y", "x|y"),
+        ("a</foo>b", "ab"),
+        ("a</p>b", "a|b"),
+        ("a<!--c-->b<?x?>c</>d", "a|b|cd"),
+        ("foo<table>bar<tr><td>x</td></tr>baz</table>q", "foobarbaz|x|q"),
+        ("<table><b>x<tr><td>y</table>z", "x|y|z"),
+        ("<table><caption>c<tr><td>d<td>e<table><tr><td>f</table>g</table>h", "c|d|e|f|g|h"),
+        ("<p>1<b>2<p>3</b>4", "1|2|3|4"),
+        ("<p><b>x</p>y</b>z", "x|y|z"),
+        ("<ul><li>a<li>b<p>c</ul>d", "a|b|c|d"),
+        ("<svg><circle><p>text</p></svg>more", "text|more"),
+        ("<svg/>a<svg><style>p{}</style><![CDATA[zz]]></svg>b", "a|b"),
+        ("<math><mi>x</mi><![CDATA[a<b]]></math>y", "x|a<b|y"),
+        ("<select><option>a<option>b<div>c</select>d", "a|bc|d"),
+        ("<textarea><p>x</textarea><title>y</title>", "<p>x|y"),
+        ("a &lt; b &amp; c&nbsp;d < e", "a < b & c d < e"),
+        ("kept <b", "kept"),
+        ("x<p title='>'>y<p a=it's>z", "x|y|z"),
+        ("<body>a</body>b</html>c", "abc"),
+        ("<template><p>x</template>y<script>never", "y"),
+        ("two\nlines", "two|lines"),
+        ("<iframe><p>x</iframe><xmp><b></xmp><plaintext>a<b>", "<p>x|<b>|a<b>"),
+        ("", ""),
+    ],
+)
+def test_text_nodes(page, want):
+    assert htmltree.blocks_of(page) == want.replace("|", "\n")
+
+
+def test_text_nodes_of_any_page():
+    import random
+
+    rng = random.Random(4)
+    parts = ["<p>", "</p>", "<b>", "</b>", "<table>", "</table>", "<tr>", "<td>", "</td>", "<svg>", "</svg>", "<select>", "</select>", "<option>", "<li>", "</li>", "<a>", "</a>", "<template>", "</template>", "<noscript>", "</noscript>", "<head>", "</head>",
+             "<caption>", "<col>", "<button>", "</button>", "<h1>", "</h2>", "<form>", "</form>", "<math>", "<mi>", "</math>", "<br>", "</br>", "<!--", "-->", "<title>", "</title>", "<div>", "</div>", "<nobr>", "<body>", "</body>", "<i>", "</i>", "x", "y z", "&amp;", "<"]
+    for _ in range(4000):
+        htmltree.blocks_of("".join(rng.choice(parts) for _ in range(rng.randrange(40))))
+    for deep in ("<div>" * 30_000 + "x", "<p><b>x" * 10_000, "<table>x" * 2000, "<b><div>" * 3000 + "</b>" * 3000, "<a " * 50_000):
+        htmltree.blocks_of(deep)
+
+
+def windows_by_rule(text, name, employer, around=160):
+    """Plain Python of the rule that the windows follow."""
+    word = lambda s: {w.lower() for w in re.findall("[A-Za-z0-9]+", s)}
+    keys = set() if word(employer) & set(constants.TITLE_CUES) else {w for w in word(employer) if len(w) >= 2} - set(constants.EMPLOYER_STOP)
+    blocks, out = text.split("\n"), []
+    for i, block in enumerate(blocks):
+        if not name or not keys or name.lower() not in block.lower():
+            continue
+        after = blocks[i + 1] if i + 1 < len(blocks) else ""
+        window = block if word(block) & keys else block + "\n" + after if word(after) & keys else None
+        if window is None:
+            continue
+        if len(window) > 2 * around:
+            a = window.lower().index(name.lower())
+            z = a + len(name)
+            lo, hi = max(0, a - around), min(len(window), z + around)
+            if lo:
+                space = window.find(" ", lo)
+                lo = a if space < 0 or space > a else space + 1
+            if hi < len(window):
+                space = window.rfind(" ", z, hi)
+                hi = hi if space < 0 else space
+            window = window[lo:hi].strip()
+        if window and window not in [w for _, w in out]:
+            out.append((i, window))
+    return out
+
+
+def test_windows_equal_the_rule(spark):
+    import random
+
+    rng = random.Random(9)
+    vocabulary = ["Priya", "Sharma", "Priya Sharma", "EY", "They", "hired", "Kestrel", "Foods", "Kestrel Foods", "and", "Ltd", "x" * 150, "(EY)", "priya sharma,", "VP"]
+    texts = ["They praised Priya Sharma\nEY hired Priya Sharma", "Priya Sharma leads Kestrel\nnothing", "a " * 100 + "Priya Sharma" + " b" * 20 + " EY", "Priya Sharma" + "\n" + "y" * 400 + " EY", ""]
+    texts += ["\n".join(" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 60))) for _ in range(rng.randrange(1, 6))) for _ in range(150)]
+    people = [("Priya Sharma", "EY"), ("Priya Sharma", "Kestrel Foods Ltd"), ("Sharma, P.", "EY"), ("Priya Sharma", "Head Office"), ("", "EY"), (None, "EY"), ("Priya Sharma", None), ("priya sharma,", "ey ltd")]
+    pages = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9999, None)], "page int, text string")
+    targets = spark.createDataFrame([(i, s, n, e) for i in range(len(texts)) for s, (n, e) in enumerate(people)], "page int, subject_id int, name string, employer string")
+    got = sorted((r.page, r.subject_id, r.pos, r.window) for r in html.windows(pages, "page", "text", targets).collect())
+    want = sorted((i, s, pos, w) for i, t in enumerate(texts) for s, (n, e) in enumerate(people) if n and e for pos, w in windows_by_rule(t, n, e))
+    assert got == want and len(want) > 200
+    best = {(r.page, r.subject_id): r.pos for r in html.corroborations(pages, "page", "text", targets).collect()}
+    assert best == {(i, s): min(p for a, b, p, _ in want if (a, b) == (i, s)) for i, s, *_ in want}
+
+
+def test_mentions_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    names = ["ann", "ann lee", "ann lee may", "ann lee may dow", "lee", "may ann"]
+    pages = [(i, "\n".join(" ".join(rng.choice(["ann", "lee", "may", "dow", "Acme", "x", "é"]) for _ in range(rng.randrange(9))) for _ in range(5))) for i in range(60)] + [(99, None), (98, "")]
+    people = [(i, n, e) for i, (n, e) in enumerate((n, e) for n in [*names, "", None, "--"] for e in ("Acme Ltd", "dow", None))]
+    index = html.postings(spark.createDataFrame(pages, "page int, text string"), "page", "text")
+    got = sorted(tuple(r) for r in html.mentions(index, "page", spark.createDataFrame(people, "subject_id int, name string, employer string")).select("page", "subject_id", "block", "distance").collect())
+    want = []
+    for p, text in pages:
+        lines = [re.findall("[a-z0-9]+", b.lower()) for b in (text or "").split("\n")]
+        for s, n, e in people:
+            n, e = re.findall("[a-z0-9]+", n or ""), set(re.findall("[a-z0-9]+", (e or "").lower())) - {"ltd"}
+            for i, line in enumerate(lines):
+                if n and any(line[j : j + len(n)] == n for j in range(len(line))):
+                    near = [d for d in (0, 1) if i + d < len(lines) and set(lines[i + d]) & e]
+                    want += [(p, s, i, near[0])] if near else []
+    assert got == sorted(want) and len(want) > 100
+
+
+def test_titles(spark):
+    t = lambda w, n="Ann Lee": one(spark, t=html.title_near(F.lit(w), F.lit(n))).t
+    assert t("Ann Lee joined. Ann Lee - VP Supply; x") == "VP Supply"
+    assert t("Ann Lee, gardener 1. ANN LEE | Head of Ops.") == "Head of Ops"
+    assert t("Ann Lee (VP)") is None and t("Ann Lee, one two three four five six head") is None
+    assert t("A.B (x) – Chief Officer", "A.B (x)") == "Chief Officer" and t(None) is None
 
 
 def test_jobs_and_reports(spark):
