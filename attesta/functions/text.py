@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,27 +93,20 @@ def words(c: Column | str) -> Column:
     return F.filter(F.split(col(c), "[^A-Za-z0-9+#.]+"), lambda x: x != "")
 
 
-def window_keys(c: Column | str, longest: int = 3, wanted: Callable[[Column], Column] | None = None, begins: Callable[[Column], Column] | None = None) -> Column:
-    """{pos, key} of the windows of ``longest`` to 1 words, larger first: their words in lower case, letters and digits only.
-
-    Each word is folded once, and a window's key is made of folded words. ``wanted`` keeps windows by their key;
-    ``begins`` says of a first word that isn't empty whether any wanted key begins with it: others make no windows.
-    """
+def folded(word: Column) -> Column:
+    """A word in lower case, its letters and digits only."""
+    return F.translate(F.lower(word), "+#.", "")
 
-    def windows(folded: Column) -> Column:
-        n = F.size(folded)
-        start = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-        if begins:
-            start = F.filter(start, lambda i: (F.get(folded, i) == "") | begins(F.get(folded, i)))
 
-        def of(start: Column, k: int) -> Column:
-            key = lambda i: F.when(i + k <= n, F.concat(*[F.get(folded, i + j) for j in range(k)]))
-            return F.transform(start, lambda i: F.struct(((longest - k) * 10_000_000 + i).alias("pos"), key(i).alias("key")))
+def window_keys(c: Column | str, longest: int = 3) -> Column:
+    """{stage, place, key} of the windows of ``longest`` (stage 0) to 1 words that have a letter or digit."""
 
-        every = bound(start, lambda at: F.concat(*[of(at, k) for k in range(longest, 0, -1)]))
-        return F.filter(every, lambda w: F.coalesce(w["key"] != "", F.lit(False)) & (wanted(w["key"]) if wanted else F.lit(True)))
+    def windows(w: Column) -> Column:
+        key = lambda i, k: F.when(i + k <= F.size(w), F.concat(*[F.get(w, i + j) for j in range(k)]))
+        of = lambda k: F.transform(w, lambda _, i: F.struct(F.lit(longest - k).alias("stage"), i.alias("place"), key(i, k).alias("key")))
+        return F.filter(F.concat(*[of(k) for k in range(longest, 0, -1)]), lambda x: F.coalesce(x["key"] != "", F.lit(False)))
 
-    return bound(F.transform(words(c), lambda w: F.translate(F.lower(w), "+#.", "")), windows)
+    return bound(F.transform(words(c), folded), windows)
 
 
 def squeezed(c: Column | str) -> Column:

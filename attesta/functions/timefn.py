@@ -1,8 +1,8 @@
-"""Dates, decay and interval union. The clock is always an argument."""
+"""Dates and decay. The clock is always an argument."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .constants import HALF_LIFE_DAYS, MONTHS
@@ -34,17 +34,6 @@ def decay(days: Column, half_life: float = HALF_LIFE_DAYS) -> Column:
     return F.pow(F.lit(0.5), days / float(half_life))
 
 
-def union_years(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """(key, days, years): the union of each key's intervals, years floored to one decimal.
-
-    One shuffle by key: the furthest end so far is a running maximum, and each row adds what lies beyond it.
-    """
-    before = Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(end).over(before)
-    added = F.when(reach.isNull() | (F.col(start) > reach), F.datediff(end, start)).when(F.col(end) > reach, F.datediff(F.col(end), reach)).otherwise(0)
-    return df.select(key, start, end, added.alias("_days")).groupBy(key).agg(F.sum("_days").alias("days")).withColumn("years", F.floor(F.col("days") / F.lit(365.25) * 10) / 10.0)
-
-
 def epoch_age(as_of: Column, c: Column | str) -> Column:
     """Whole seconds since."""
     return F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(col(c).cast("timestamp"))) / 1_000_000).cast("long")

@@ -1,7 +1,8 @@
 """Dictionary lookups of terms and hierarchical regions. Dictionaries are dimensions that the caller passes.
 
-A term dimension has (name, alias, kind, implies array); a region dimension has (code, place). Spark broadcasts them if
-they are under its threshold and shuffles otherwise: windows are an equi-join either way.
+A term dimension has (name, alias, kind, implies array); a region dimension has (code, place). Windows of a text are looked
+up by an equi-join, for which Spark broadcasts a dimension under its threshold and shuffles otherwise; filters of a fixed
+size keep nearly all windows that no dictionary has from being made.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import ROLE_WORD
-from ..functions.text import normalise_key, strings, window_keys
+from ..functions.text import folded, normalise_key, strings, words
 
 
-#: Keys of a dictionary up to which windows are looked up where they arise; beyond, they are joined.
-FEW_KEYS = 1_000
+LONGEST = 3  #: words of a window
+BEGIN = 6  #: letters of a key that its beginnings are told by
+SLOTS = 1 << 21  #: of a filter; 2 MB, whatever the dictionary
 
 
 def alias_lookup(terms: DataFrame) -> DataFrame:
@@ -22,19 +24,42 @@ def alias_lookup(terms: DataFrame) -> DataFrame:
     return terms.select(normalise_key("alias").alias("key"), "name", "ord").groupBy("key").agg(F.max_by("name", "ord").alias("name"))
 
 
+def _filter(texts: DataFrame, c: str) -> Column:
+    """A filter of the column's texts as an array of flags, made by an aggregate and handed on as a scalar.
+
+    Flags are gathered as words of 64 bits and spread in the one row: a lookup is then one access, and takes its text once.
+    """
+    spot = F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    held = texts.select(F.shiftright(spot, 6).cast("int").alias("i"), (spot % 64).cast("int").alias("b")).groupBy("i").agg(F.expr("bit_or(shiftleft(1L, b))").alias("w"))
+    every = texts.sparkSession.range(SLOTS // 64).select(F.col("id").cast("int").alias("i")).join(held, "i", "left")
+    flags = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda b: F.coalesce(F.getbit("w", b), F.lit(0).cast("byte")))
+    return every.select("i", flags.alias("f")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "f"))), lambda x: x["f"])).alias("flags")).scalar()
+
+
+def _may_hold(flags: Column, c: Column) -> Column:
+    """False only for texts that the filter wasn't made of."""
+    return F.get(flags, F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")) == 1
+
+
 def _windows(docs: DataFrame, id_col: str, text_col: str, dim: DataFrame) -> DataFrame:
-    """(id, pos, key) of the windows whose key the dictionary has (or of all, where it is large)."""
-    keys = [r["key"] for r in dim.select("key").limit(FEW_KEYS + 1).collect()]  # a dimension, and bounded
-    if len(keys) > FEW_KEYS:
-        return docs.select(id_col, F.inline(window_keys(text_col)))
-    heads = sorted({k[:n] for k in keys for n in range(1, len(k) + 1)})
-    return docs.select(id_col, F.inline(window_keys(text_col, wanted=lambda k: k.isin(keys), begins=lambda w: w.isin(heads))))
+    """(id, stage, place, key) of the windows of 3 (stage 0) to 1 words whose key the dictionary may have, and few others.
+
+    A row for each word with the two after it; words that begin no key go, by a filter of the keys' first letters, before
+    any key is made, and windows by a filter of whole keys. Both filters have one size; what they let through is joined.
+    """
+    begins = _filter(dim.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(BEGIN)), lambda n: F.substr("key", F.lit(1), n))).alias("b")), "b")
+    held = _filter(dim.select("key"), "key")
+    every = docs.select(id_col, words(text_col).alias("_w")).select(id_col, F.posexplode(F.arrays_zip(*[F.slice("_w", F.lit(i + 1), F.size("_w")).alias(f"w{i}") for i in range(LONGEST)])).alias("place", "_z"))
+    first = every.where(_may_hold(begins, F.substring(folded(F.col("_z.w0")), 1, BEGIN)))
+    said = [folded(F.col(f"_z.w{i}")) for i in range(LONGEST)]
+    made = first.select(id_col, "place", F.posexplode(F.array(*[F.concat(*said[:k]) for k in range(LONGEST, 0, -1)])).alias("stage", "key"))
+    return made.where((F.col("key") != "") & _may_hold(held, F.col("key")))
 
 
 def terms_in_text(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
     """(id, names): canonical names in the order in which windows of 3 to 1 words first name them."""
     dim = alias_lookup(terms)
-    hits = _windows(docs, id_col, text_col, dim).join(dim, "key").groupBy(id_col, "name").agg(F.min("pos").alias("pos"))
+    hits = _windows(docs, id_col, text_col, dim).join(dim, "key").groupBy(id_col, "name").agg(F.min(F.struct("stage", "place")).alias("pos"))
     return hits.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]).alias("names"))
 
 
@@ -74,7 +99,7 @@ def region_of(df: DataFrame, id_col: str, text_col: str, regions: DataFrame) ->
     base = df.select(id_col, F.col(text_col).alias("t"))
     whole = base.select(id_col, F.lit(0).alias("stage"), F.lit(0).alias("pos"), normalise_key("t").alias("key"))
     parts = base.select(id_col, F.lit(1).alias("stage"), F.posexplode(F.split("t", ",")).alias("pos", "w")).select(id_col, "stage", "pos", normalise_key("w").alias("key"))
-    found = _windows(base, id_col, "t", dim).select(id_col, (F.lit(2) + F.floor(F.col("pos") / 10_000_000).cast("int")).alias("stage"), F.col("pos").cast("int").alias("pos"), "key")
+    found = _windows(base, id_col, "t", dim).select(id_col, (F.lit(2) + F.col("stage")).alias("stage"), F.col("place").alias("pos"), "key")
     tried = whole.unionByName(parts).unionByName(found).where("key <> ''").join(dim, "key")
     best = tried.groupBy(id_col).agg(F.min_by("code", F.struct("stage", (-F.length("code")).alias("n"), "pos")).alias("region"))
     return df.select(id_col).distinct().join(best, id_col, "left")

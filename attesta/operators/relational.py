@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import past, scanned, upto
+
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the order given (Spark cuts each partition to its first row before the shuffle)."""
@@ -97,13 +99,32 @@ def rolling_count(df: DataFrame, keys: list[str], ts: str, hours: int, row_id: s
 def throttled(df: DataFrame, keys: list[str], ts: str, seconds: float, tie: str) -> DataFrame:
     """Rows with ``starts_at``: each key's rows in their order, none sooner than ``seconds`` after the one before it starts.
 
-    Start n is the greatest of (time j + (n - j) * seconds) over the rows up to it, so a running maximum stands for the fold.
+    Start n is the greatest of (time j + (n - j) * seconds) over the rows up to it: a scan by hours, in which an hour
+    hands on how many rows it has and the greatest of their (time - number * seconds).
     """
     gap = round(seconds * 1_000_000)
-    w = Window.partitionBy(*keys).orderBy("_us", tie)
-    rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_n", F.row_number().over(w))
-    least = F.max(F.col("_us") - F.col("_n") * gap).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("starts_at", F.timestamp_micros(least + F.col("_n") * gap)).drop("_us", "_n")
+    rows = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    out = scanned(
+        rows, keys, ["_us", tie], F.floor(F.col("_us") / 3_600_000_000),
+        [{"_n": lambda w: F.row_number().over(w).cast("long")}, {"_own": lambda w: F.max(F.col("_us") - F.col("_n") * gap).over(upto(w))}],
+        {"_count": F.count("*"), "_top": F.max("_own")},
+        [{"_off": lambda w: F.coalesce(F.sum("_count").over(past(w)), F.lit(0))}, {"_best": lambda w: F.max(F.col("_top") - F.col("_off") * gap).over(past(w))}],
+    )
+    least = F.greatest(F.col("_best"), F.col("_own") - F.col("_off") * gap)
+    return out.withColumn("starts_at", F.timestamp_micros(least + (F.col("_off") + F.col("_n")) * gap)).select(*df.columns, "starts_at")
+
+
+def union_years(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
+    """(key, days, years): the union of each key's intervals, years floored to one decimal.
+
+    A scan by the year that intervals begin in: each row adds what lies beyond the furthest end so far.
+    """
+    out = scanned(
+        df.select(key, start, end), [key], [start, end], F.year(start), [{"_own": lambda w: F.max(end).over(past(w))}], {"_top": F.max(end)}, [{"_prior": lambda w: F.max("_top").over(past(w))}]
+    )
+    reach = F.greatest("_own", "_prior")
+    added = F.when(reach.isNull() | (F.col(start) > reach), F.datediff(end, start)).when(F.col(end) > reach, F.datediff(F.col(end), reach)).otherwise(0)
+    return out.groupBy(key).agg(F.sum(added).alias("days")).withColumn("years", F.floor(F.col("days") / F.lit(365.25) * 10) / 10.0)
 
 
 def window_frees_at(df: DataFrame, keys: list[str], ts: str, as_of: Column, hours: int) -> DataFrame:
@@ -114,8 +135,8 @@ def window_frees_at(df: DataFrame, keys: list[str], ts: str, as_of: Column, hour
 
 def share_of_group(df: DataFrame, keys: list[str], value: str, least: float) -> DataFrame:
     """Rows that hold at least a share of their group's total."""
-    total = F.sum(value).over(Window.partitionBy(*keys))
-    return df.withColumn("share", F.col(value) / total).where(F.col("share") >= least)
+    totals = df.groupBy(F.struct(*keys).alias("_key")).agg(F.sum(value).alias("_total"))  # partial sums before the shuffle
+    return df.withColumn("_key", F.struct(*keys)).join(totals, "_key").withColumn("share", F.col(value) / F.col("_total")).drop("_key", "_total").where(F.col("share") >= least)
 
 
 def scalar_lookup(df: DataFrame, facts: DataFrame, key: str, aggs: dict[str, Column], default: dict[str, object] | None = None) -> DataFrame:
@@ -130,18 +151,32 @@ def membership(df: DataFrame, array_a: Column, array_b: Column, a: str, b: str)
     return df.join(F.broadcast(pairs), (df[a] == pairs["x"]) & (df[b] == pairs["y"]), "left_semi")  # literals: as many rows as the caller wrote
 
 
+#: Positions of a key that are scanned together.
+BLOCK = 4096
+
+
 def pages_until_stale(pages: DataFrame, key: str, page: str, item: str) -> DataFrame:
-    """Pages before the first that adds no new item."""
+    """Pages before the first that adds no new item. Pages are numbered; a scan of the least count by blocks of numbers."""
     first = pages.groupBy(key, item).agg(F.min(page).alias("_first"))
     fresh = pages.join(first, [key, item]).groupBy(key, page).agg(F.count_if(F.col(page) == F.col("_first")).alias("new_items"))
-    w = Window.partitionBy(key).orderBy(page).rowsBetween(Window.unboundedPreceding, 0)
-    return fresh.withColumn("_least", F.min("new_items").over(w)).where("_least > 0").drop("_least")
+    out = scanned(
+        fresh, [key], [page], F.floor(F.col(page) / BLOCK), [{"_own": lambda w: F.min("new_items").over(upto(w))}], {"_least": F.min("new_items")}, [{"_prior": lambda w: F.min("_least").over(past(w))}]
+    )
+    return out.where(F.least("_own", "_prior") > 0).select(fresh.columns)
+
 
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, cell: Column | None = None) -> DataFrame:
+    """The last value that isn't null up to each row. A closing row passes a struct with a null field.
 
-def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """The last value that isn't null up to each row. A closing row passes a struct with a null field."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    ``cell`` deals a key's rows and grows with the order; by default, blocks of the first order column, which is a number
+    then. Nulls in it come first.
+    """
+    cell = F.floor(F.col(order[0]) / BLOCK) if cell is None else cell
+    out = scanned(
+        df.withColumn("_v", value), keys, order, cell, [{"_own": lambda w: F.last("_v", ignorenulls=True).over(upto(w))}],
+        {"_last": F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order)))}, [{"_prior": lambda w: F.last("_last", ignorenulls=True).over(past(w))}],
+    )
+    return out.select(*df.columns, F.coalesce("_own", "_prior").alias(name))
 
 
 def all_of(conditions: list[Column | None]) -> Column:

@@ -6,13 +6,14 @@ requirements are a small dimension that is joined on the claim key, not a per-su
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.constants import BANNED, COMPONENTS, DECIMALS, DEPTH_CAP, NICE_WEIGHT, NONE_HELD_FACTOR, PROFILES, SCORER_VERSION, TIERS, WEIGHTS
 from ..functions.text import banned_signal
 from ..functions.timefn import days_between, decay
+from . import scan
 from .dictionary import compatible
 from .gate import names_foreign
 from .relational import latest_per_key, upsert
@@ -149,22 +150,6 @@ def current_matches(matches: DataFrame) -> DataFrame:
     return latest_per_key(matches, ["req_id", "subject_id"], [F.col("scored_at").desc_nulls_last(), F.desc("match_id")])
 
 
-#: Steps of the score by which ranks are dealt.
-STEPS = 1000
-
-
-def ranked(scored: DataFrame, by: str, tie: str = "subject_id", ties: Column | None = None) -> DataFrame:
-    """Rows with their rank in ``by``: by score, then ``tie``.
-
-    Rows are dealt by their score (and by ``ties``, a number that grows with ``tie``, where many rows can have one score),
-    ranked within such a cell, and moved by the count of the cells before it in its step of the score, and of the steps
-    before that one: no task holds all rows of a requirement.
-    """
-    low = F.coalesce("score", F.lit(-1.0))
-    placed = scored.withColumn("_score", low).withColumn("_step", -F.floor(low * STEPS).cast("long")).withColumn("_tie", (F.lit(0) if ties is None else ties).cast("long"))
-    past = lambda keys, *order: F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = placed.groupBy(by, "_step", "_score", "_tie").agg(F.count("*").alias("_n")).withColumn("_in_step", past([by, "_step"], F.desc("_score"), "_tie")).drop("_n")
-    steps = placed.groupBy(by, "_step").agg(F.count("*").alias("_n")).withColumn("_before", past([by], "_step")).drop("_n")
-    own = F.row_number().over(Window.partitionBy(by, "_step", "_score", "_tie").orderBy(tie))
-    out = placed.withColumn("_own", own).join(cells, [by, "_step", "_score", "_tie"]).join(steps, [by, "_step"])
-    return out.withColumn("rank", (F.col("_own") + F.col("_in_step") + F.col("_before")).cast("long")).drop("_score", "_step", "_tie", "_own", "_in_step", "_before")
+def ranked(scored: DataFrame, by: str, tie: str = "subject_id") -> DataFrame:
+    """Rows with their rank in ``by``: by score, then ``tie``. Scores are computed once; see ``scan.ranked``."""
+    return scan.ranked(scored, [by], F.col("score"), tie)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import COMPONENTS
-from ..functions.timefn import union_years
+from ..operators.relational import union_years
 from ..operators.scoring import active_weights, components, evaluate, ranked
 from ..sources.readers import tables
 
@@ -36,8 +36,8 @@ def claims(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def _pairs(t: dict[str, DataFrame]) -> DataFrame:
-    """The one search has found all customers."""
-    return t["customer"].select(F.lit("r1").alias("req_id"), F.col("c_custkey").alias("subject_id"))
+    """The one search has found all customers that have a number."""
+    return t["customer"].select(F.when(F.col("c_custkey").isNotNull(), "r1").alias("req_id"), F.col("c_custkey").alias("subject_id"))
 
 
 def _as_of():
@@ -47,7 +47,7 @@ def _as_of():
 def shortlist_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
     scored = evaluate(requirements(spark), claims(t), _as_of(), _pairs(t), depth_cap=CAP)
-    return ranked(scored, "req_id", ties=F.col("subject_id") / 4096).select("req_id", "subject_id", *COMPONENTS, "score", "gate_must_have", "gate_location", "gate_activity", "passed", "label", "rank")
+    return ranked(scored, "req_id").select("req_id", "subject_id", *COMPONENTS, "score", "gate_must_have", "gate_location", "gate_activity", "passed", "label", "rank")
 
 
 def component_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:

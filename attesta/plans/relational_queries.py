@@ -151,7 +151,7 @@ SELECT k, CAST(sum(CASE WHEN r IS NULL OR a > r THEN b - a WHEN b > r THEN b - r
 def interval_union_years(t):
     day = F.col("o_orderdate").cast("date")
     s = t["orders"].join(t["lineitem"], F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("k"), day.alias("a"), F.date_add(day, F.col("l_quantity").cast("int")).alias("b"))
-    return timefn.union_years(s, "k", "a", "b")
+    return R.union_years(s, "k", "a", "b")
 
 
 @query("SELECT o_custkey, round(pow(0.5, greatest(0.0, date_diff('day', max(o_orderdate), TIMESTAMP '2001-12-31')::DOUBLE) / 365.0), 6) AS recency FROM orders GROUP BY 1")
