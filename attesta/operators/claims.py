@@ -153,3 +153,9 @@ def stale_claims(stored: DataFrame, parsed: DataFrame, doc: str) -> DataFrame:
     """Stored values that a new parse of their document no longer holds; documents without a parse are left alone."""
     checked = parsed.select(doc).distinct()
     return stored.join(checked, doc, "left_semi").join(parsed.select(doc, "claim_value").distinct(), [doc, "claim_value"], "left_anti")
+
+
+def evidence_bodies(claims: DataFrame, fetches: DataFrame, adapter: str) -> DataFrame:
+    """(subject_id, body_path): the distinct stored bodies of an adapter that a subject's claims were read from."""
+    known = fetches.where((F.col("adapter") == adapter) & F.col("body_path").isNotNull()).select("fetch_id", "body_path")
+    return claims.where("fetch_id IS NOT NULL").select("subject_id", "fetch_id").distinct().join(known, "fetch_id").select("subject_id", "body_path").distinct()

@@ -120,6 +120,30 @@ def compatible(region: Column, wanted: Column) -> Column:
     return F.exists(wanted, lambda w: F.startswith(region, F.when(w == "IN-REMOTE", "IN").otherwise(w)) | F.startswith(F.when(w == "IN-REMOTE", "IN").otherwise(w), region))
 
 
+def _prefixes(code: Column, least: int = 1, but: int = 0) -> Column:
+    """The beginnings of a code from ``least`` characters on, up to all but ``but``; none of an empty or null one."""
+    last = F.coalesce(F.char_length(code), F.lit(0)) - but
+    return F.when(last >= least, F.transform(F.sequence(F.lit(least), last), lambda n: F.substr(code, F.lit(1), n))).otherwise(F.array().cast("array<string>"))
+
+
+def prefix_pairs(left: DataFrame, left_code: str, right: DataFrame, right_code: str) -> DataFrame:
+    """All pairs of rows of which one's code begins the other's; columns of both, whose names differ.
+
+    Codes are spread to their beginnings, so both directions are equi-joins. Empty and null codes have no partner.
+    """
+    shorter = left.select("*", F.explode(_prefixes(F.col(left_code))).alias("_c")).join(right, F.col("_c") == F.col(right_code)).drop("_c")
+    longer = right.select("*", F.explode(_prefixes(F.col(right_code), but=1)).alias("_c")).join(left, F.col("_c") == F.col(left_code))
+    return shorter.unionByName(longer.select(shorter.columns))
+
+
+def longest_prefix(left: DataFrame, left_key: str, left_code: str, right: DataFrame, right_code: str) -> DataFrame:
+    """(left_key, right_code): for each left row the right code that begins its code, the longest; null if none does."""
+    codes = right.select(F.col(right_code).alias("_c")).where("_c <> ''").distinct()
+    hit = left.select(left_key, F.explode(_prefixes(F.col(left_code))).alias("_c")).join(codes, "_c")
+    best = hit.groupBy(left_key).agg(F.max_by("_c", F.char_length("_c")).alias(right_code))
+    return left.select(left_key).distinct().join(best, left_key, "left")
+
+
 def expects_artifacts(terms_held: Column, titles: Column, code_terms: list[str], analyst_terms: list[str]) -> Column:
     """Whether code can be expected: a code term outside the analyst set, or an analyst one under a title with a role word."""
     code = F.array_intersect(terms_held, strings(code_terms))

@@ -98,3 +98,13 @@ def cached(fetches: DataFrame, as_of: Column, hours: int) -> DataFrame:
     """The newest successful fetch of each URL digest within the hours."""
     fresh = fetches.where(F.col("status").between(200, 299) & (F.col("fetched_at") > as_of - F.make_dt_interval(hours=F.lit(hours))))
     return fresh.groupBy("url_hash").agg(F.max_by(F.struct("fetch_id", "body_path", "fetched_at"), F.struct("fetched_at", "fetch_id")).alias("hit")).select("url_hash", "hit.*")
+
+
+def ruled_out(roles: DataFrame, refs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(req_id, passed, rejected, jobs, last_finished): refs of each role by gate, its jobs, and when the last one ended.
+
+    Each fact table is counted once before its join; roles without refs or jobs count 0.
+    """
+    counts = refs.groupBy("req_id").agg(F.count_if(F.col("gate_state") == "passed").alias("passed"), F.count_if(F.col("gate_state") == "rejected").alias("rejected"))
+    ended = jobs.groupBy("req_id").agg(F.count("*").alias("jobs"), F.max(F.when(F.col("state").isin("done", "failed"), F.col("finished_at"))).alias("last_finished"))
+    return roles.select("req_id").join(counts, "req_id", "left").join(ended, "req_id", "left").fillna(0, ["passed", "rejected", "jobs"])

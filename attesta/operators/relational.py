@@ -21,6 +21,21 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def flagged_first(df: DataFrame, keys: list[str], flag: Column, order: list[Column], name: str = "place") -> DataFrame:
+    """Rows with their place in their key: those for which ``flag`` holds come first, then by ``order``; unknown counts as no."""
+    w = Window.partitionBy(*keys).orderBy(F.coalesce(flag, F.lit(False)).desc(), *order)
+    return df.withColumn(name, F.row_number().over(w).cast("long"))
+
+
+def union_by_precedence(parts: list[DataFrame], keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows of several parsers as one: of a key that several give, the earliest parser's stays, then the first by ``order``.
+
+    Columns that a parser lacks are null. Null keys are keys.
+    """
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [p.withColumn("_from", F.lit(i)) for i, p in enumerate(parts)])
+    return latest_per_key(every, keys, [F.col("_from"), *order]).drop("_from")
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Order-preserving dedup."""
     return latest_per_key(df, keys, order)

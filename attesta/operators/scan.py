@@ -16,7 +16,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 Step = dict[str, Callable[[WindowSpec], Column]]
@@ -84,21 +84,25 @@ def quantile_cells(df: DataFrame, first: Column, second: Column, n: int | None =
     return both.withColumn("_at", (F.col("_a") * (n + 1) + inside).cast("long")).drop("_first", "_second", "_a", "_b")
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` computed once: written to the folder that ``spark.checkpoint.dir`` names, and read from there.
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names.
 
     A session on one machine that names none gets a temporary folder; a cluster must name a shared one.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not re.fullmatch(r"local(\[[^,\]]+(,\s*\d+)?\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="attesta-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/attesta-rows-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/attesta-{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` computed once: written to the shared folder, and read from there."""
+    path = new_folder(df.sparkSession, "rows")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ranked(df: DataFrame, by: list[str], score: Column, tie: str, name: str = "rank") -> DataFrame:

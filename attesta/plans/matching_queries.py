@@ -64,18 +64,6 @@ def weighted_profile_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("subject_id", "weights_version", "score")
 
 
-def golden_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hand-built subject whose score is known."""
-    now = F.lit("2026-08-26").cast("timestamp")
-    r = spark.createDataFrame([("g", "tech", ["Backend Engineer"], ["Python", "PostgreSQL"], ["Kubernetes"], 4, ["IN-KA-BLR"], "hybrid", 540)], REQ)
-    c = spark.createDataFrame(
-        [("s", "skill", "Python", "Python", 100000.0, "artifact_backed", True), ("s", "skill", "PostgreSQL", "PostgreSQL", 100000.0, "artifact_backed", True), ("s", "location", "IN-KA-BLR", None, None, "self_reported", False),
-         ("s", "experience_years", None, None, 6.0, "self_reported", False), ("s", "availability", None, None, None, "self_reported", False)],
-        "subject_id string, claim_type string, claim_key string, claim_value string, value_num double, tier string, dated boolean",
-    ).withColumn("observed_at", F.when(F.col("dated"), now))
-    return evaluate(r, c, now, c.select(F.lit("g").alias("req_id"), "subject_id")).select("subject_id", *COMPONENTS, "score", "passed")
-
-
 _BASE = f"""
 WITH lines AS (SELECT o_custkey AS s, o_orderdate AS ts, o_orderstatus AS st, l_partkey, l_extendedprice AS price, CAST(l_quantity AS INTEGER) AS q FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 skill AS (SELECT s, p_brand AS k, price, st, ts FROM lines JOIN part ON l_partkey = p_partkey),
@@ -110,8 +98,4 @@ SELECT 'r1' AS req_id, subject_id, skill_match, skill_depth, seniority_fit, acti
   row_number() OVER (ORDER BY score DESC, subject_id) AS rank FROM sc"""),
     "component_breakdown": (component_breakdown, _BASE + "SELECT subject_id, CASE WHEN y IS NOT NULL THEN 'computed' WHEN latest IS NOT NULL THEN 'estimated' ELSE 'unknown' END AS seniority_basis, skill_match, skill_depth, seniority_fit, activity_recency, availability FROM comp"),
     "weighted_profile_join": (weighted_profile_join, _BASE + "SELECT subject_id, 'v1' AS weights_version, round((0.4 * skill_match + 0.2 * skill_depth + 0.2 * seniority_fit + 0.2 * activity_recency + 0.0 * availability)::DOUBLE * CASE WHEN n_must = 0 THEN 0.25::DOUBLE ELSE 1 END, 6) AS score FROM comp"),
-    "golden_score": (golden_score, """WITH w(k, weight, must) AS (VALUES ('Python', 1.0::DOUBLE, true), ('PostgreSQL', 1.0, true), ('Kubernetes', 0.4, false)), h(k, bytes, days) AS (VALUES ('Python', 100000.0::DOUBLE, 0), ('PostgreSQL', 100000.0, 0)),
-c AS (SELECT round(sum(weight) FILTER (WHERE bytes IS NOT NULL) / sum(weight), 6) AS skill_match, round(sum(CASE WHEN must THEN least(1.0, ln(1 + bytes) / ln(1 + 500000::DOUBLE)) * pow(0.5, days / 365.0) END) / count(*) FILTER (WHERE must), 6) AS skill_depth,
-  round(least(1.0, greatest(0.0, 1 - (4 - 6) / 4.0::DOUBLE)), 6) AS seniority_fit, round(pow(0.5, min(days) / 365.0), 6) AS activity_recency, 1.0::DOUBLE AS availability FROM w LEFT JOIN h USING (k))
-SELECT 's' AS subject_id, *, round((skill_match + skill_depth + seniority_fit + activity_recency + availability) * 0.2, 6) AS score, true AS passed FROM c"""),
 }

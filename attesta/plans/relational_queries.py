@@ -96,10 +96,7 @@ def share_of_group(t):
 
 @query("""SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderstatus = 'F') DESC, o_orderpriority, o_orderkey) AS place, o_orderkey FROM orders""")
 def tier_split_sort(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy((F.col("o_orderstatus") == "F").desc(), "o_orderpriority", "o_orderkey")
-    return t["orders"].select("o_custkey", F.row_number().over(w).cast("long").alias("place"), "o_orderkey")
+    return R.flagged_first(t["orders"], ["o_custkey"], F.col("o_orderstatus") == "F", [F.asc("o_orderpriority"), F.asc("o_orderkey")]).select("o_custkey", "place", "o_orderkey")
 
 
 @query("""WITH c AS (SELECT c_custkey, c_nationkey, c_acctbal > 6000 AS strict, c_acctbal > 2000 AS loose FROM customer),

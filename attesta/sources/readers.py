@@ -65,10 +65,9 @@ def search_refs(payloads: DataFrame, payload: str, blocklist: list[str] = ()) ->
     return best.select("ref_value", t["name"].alias("name"), t["headline"].alias("headline"), "r.snippet", "r.link", "r.position", F.col("r.rich_snippet.top.extensions").alias("extensions"), "r.raw")
 
 
-def code_host_repos(payloads: DataFrame, payload: str) -> DataFrame:
-    """A row for each repo of code-host payloads, with its map of languages."""
-    p = payloads.select("subject_id", F.from_json(payload, USER).alias("p"))
-    r = p.select("subject_id", "p.user", F.explode("p.repos").alias("x"))
+def repos_of(p: DataFrame) -> DataFrame:
+    """A row for each repo of parsed code-host payloads (subject_id, user, repos), with its map of languages."""
+    r = p.select("subject_id", "user", F.explode("repos").alias("x"))
     return r.select(
         "subject_id", F.col("user.login").alias("login"), F.col("user.type").alias("account_type"), F.col("x.repo.full_name").alias("repo"), F.col("x.repo.html_url").alias("url"),
         F.col("x.repo.fork").alias("fork"), F.col("x.repo.private").alias("private"), F.col("x.repo.archived").alias("archived"), F.col("x.repo.size").alias("size"),
@@ -76,6 +75,11 @@ def code_host_repos(payloads: DataFrame, payload: str) -> DataFrame:
     )
 
 
+def code_host_repos(payloads: DataFrame, payload: str) -> DataFrame:
+    """The same of payloads (subject_id, text)."""
+    return repos_of(payloads.select("subject_id", F.from_json(payload, USER).alias("p")).select("subject_id", "p.*"))
+
+
 def code_host_accounts(payloads: DataFrame, payload: str) -> DataFrame:
     """(subject_id, login, account_type, location, hireable, url) of code-host payloads."""
     p = payloads.select("subject_id", F.from_json(payload, USER).alias("p")).select("subject_id", "p.user")

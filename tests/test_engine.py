@@ -21,8 +21,20 @@ def one(spark, **cols):
     return spark.range(1).select(*[c.alias(n) for n, c in cols.items()]).first()
 
 
+def golden_score(spark):
+    """A hand-built subject whose score is known."""
+    now = F.lit("2026-08-26").cast("timestamp")
+    r = spark.createDataFrame([("g", "tech", ["Backend Engineer"], ["Python", "PostgreSQL"], ["Kubernetes"], 4, ["IN-KA-BLR"], "hybrid", 540)], REQ)
+    c = spark.createDataFrame(
+        [("s", "skill", "Python", "Python", 100000.0, "artifact_backed", True), ("s", "skill", "PostgreSQL", "PostgreSQL", 100000.0, "artifact_backed", True), ("s", "location", "IN-KA-BLR", None, None, "self_reported", False),
+         ("s", "experience_years", None, None, 6.0, "self_reported", False), ("s", "availability", None, None, None, "self_reported", False)],
+        "subject_id string, claim_type string, claim_key string, claim_value string, value_num double, tier string, dated boolean",
+    ).withColumn("observed_at", F.when(F.col("dated"), now))
+    return scoring.evaluate(r, c, now, c.select(F.lit("g").alias("req_id"), "subject_id")).select("subject_id", *constants.COMPONENTS, "score", "passed")
+
+
 def test_golden(spark):
-    r = matching_queries.golden_score(spark, "").first()
+    r = golden_score(spark).first()
     assert r.score == 0.942137 and r.passed and r.skill_match == 0.833333
 
 
