@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import matching_queries, operator_queries, relational_queries, store_queries, text_queries
+from . import matching_queries, operator_queries, panel_queries, relational_queries, store_queries, text_queries
 
-QUERIES = matching_queries.QUERIES | relational_queries.QUERIES | text_queries.QUERIES | operator_queries.QUERIES | store_queries.QUERIES
+QUERIES = matching_queries.QUERIES | relational_queries.QUERIES | text_queries.QUERIES | operator_queries.QUERIES | panel_queries.QUERIES | store_queries.QUERIES

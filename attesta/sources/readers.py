@@ -101,7 +101,8 @@ def contact_refs(rows: DataFrame) -> DataFrame:
 
 
 def line_list(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
+    """Lines without the white space around them; blank ones go."""
+    return spark.read.text(path).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("value")).where("value <> ''")
 
 
 def term_dictionary(spark: SparkSession, path: str) -> DataFrame:
