@@ -17,6 +17,7 @@ from ..functions.text import bound, col, employer_keys, signal_tokens, strings
 from .htmltree import blocks_of
 
 AROUND = 160  #: characters kept on either side of a name in a long window
+NAME = 4  #: words of a name that are looked up at once
 
 
 @pandas_udf(StringType())
@@ -87,27 +88,30 @@ def corroborations(pages: DataFrame, page: str, text: str, targets: DataFrame) -
 
 
 def postings(pages: DataFrame, page: str, text: str) -> DataFrame:
-    """(page, block, place, word, next): the index of a page's words; ``next`` is the word after it in its block."""
+    """(page, block, place, word, after): the index of a page's words; ``after`` has the next words of the block, up to
+    ``NAME - 1``."""
     blocks = pages.select(page, F.posexplode(F.split(text, "\n")).alias("block", "_b"))
     words = blocks.select(page, "block", F.filter(F.split(F.lower("_b"), "[^a-z0-9]+"), lambda w: w != "").alias("_w"))
-    return words.select(page, "block", F.inline(bound(F.col("_w"), lambda w: F.transform(w, lambda x, i: F.struct(i.alias("place"), x.alias("word"), F.get(w, i + 1).alias("next"))))))
+    return words.select(page, "block", F.inline(bound(F.col("_w"), lambda w: F.transform(w, lambda x, i: F.struct(i.alias("place"), x.alias("word"), F.slice(w, i + 2, F.lit(NAME - 1)).alias("after"))))))
 
 
 def mentions(index: DataFrame, page: str, people: DataFrame) -> DataFrame:
     """(page, subject_id, block, distance): blocks that hold a person's name, word by word, and a word of the employer in
     the same block (distance 0) or the next (1).
 
-    ``index`` is what ``postings`` gives, ``people`` has (subject_id, name, employer). A name is looked up by its first two
-    words, its further ones at their places; the employer's words only in the blocks beside a name. All are equi-joins.
+    ``index`` is what ``postings`` gives, ``people`` has (subject_id, name, employer). A name is looked up by its first
+    ``NAME`` words at once, its further ones at their places; the employer's words only in the blocks beside a name. All
+    are equi-joins, so common words meet only where they stand together.
     """
     # the names
     who = people.select("subject_id", F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: w != "").alias("_n"), keys_of("employer").alias("_keys")).where((F.size("_n") > 0) & (F.size("_keys") > 0))
-    head = who.select("subject_id", F.size("_n").alias("_size"), F.col("_n")[0].alias("word"), F.get("_n", F.lit(1)).alias("next"))
-    spot = ["subject_id", page, "block", "place", "_size"]
-    hits = index.join(head.where("_size > 1"), ["word", "next"]).select(*spot).unionByName(index.drop("next").join(head.where("_size = 1").drop("next"), "word").select(*spot))
-    further = hits.where("_size > 2").join(who.select("subject_id", F.posexplode("_n").alias("_k", "word")).where("_k > 1"), "subject_id").withColumn("place", F.col("place") + F.col("_k"))
-    held = further.join(index.select(page, "block", "place", "word"), [page, "block", "place", "word"]).groupBy("subject_id", page, "block", (F.col("place") - F.col("_k")).alias("place"), "_size").agg(F.count("*").alias("_held"))
-    named = hits.where("_size <= 2").select("subject_id", page, "block").unionByName(held.where("_held = _size - 2").select("subject_id", page, "block")).distinct()
+    head = who.select("subject_id", F.size("_n").alias("_size"), F.least(F.size("_n"), F.lit(NAME)).alias("_k"), F.array_join(F.slice("_n", 1, NAME), " ").alias("_head"))
+    gram = F.concat(F.array("word"), "after")
+    grams = F.transform(F.sequence(F.lit(1), F.size(gram)), lambda k: F.struct(k.alias("_k"), F.array_join(F.slice(gram, F.lit(1), k), " ").alias("_head")))
+    hits = index.select(page, "block", "place", F.inline(grams)).join(head, ["_k", "_head"]).select("subject_id", page, "block", "place", "_size")
+    further = hits.where(F.col("_size") > NAME).join(who.select("subject_id", F.posexplode("_n").alias("_at", "word")).where(F.col("_at") >= NAME), "subject_id").withColumn("place", F.col("place") + F.col("_at"))
+    held = further.join(index.select(page, "block", "place", "word"), [page, "block", "place", "word"]).groupBy("subject_id", page, "block", (F.col("place") - F.col("_at")).alias("place"), "_size").agg(F.count("*").alias("_held"))
+    named = hits.where(F.col("_size") <= NAME).select("subject_id", page, "block").unionByName(held.where(F.col("_held") == F.col("_size") - NAME).select("subject_id", page, "block")).distinct()
     # their employers, beside them
     beside = named.join(who.select("subject_id", F.explode("_keys").alias("word")), "subject_id").select("subject_id", page, "word", F.col("block").alias("_at"), F.explode(F.array(F.lit(0), F.lit(1))).alias("distance"))
     near = beside.withColumn("block", F.col("_at") + F.col("distance")).join(index.select(page, "block", "word").distinct(), [page, "block", "word"])

@@ -144,16 +144,16 @@ def page_text(t):
 
 
 def _people(t):
-    """The pages' texts, and for each page a person and employer: the first four words of its first block of as many."""
+    """The pages' texts, and for each page a person and employer: the first eight words of its first block of as many."""
     p = t["pages"].select("page_id", html.page_text("html").alias("text"))
-    words = F.get(F.filter(F.transform(F.split("text", "\n"), lambda x: F.split(x, " ")), lambda w: F.size(w) > 3), F.lit(0))
-    pair = lambda i: F.concat_ws(" ", F.get("w", F.lit(i)), F.get("w", F.lit(i + 1)))
-    return p, p.select("page_id", words.alias("w")).where("w IS NOT NULL").select("page_id", F.col("page_id").alias("subject_id"), pair(0).alias("name"), pair(2).alias("employer"))
+    words = F.get(F.filter(F.transform(F.split("text", "\n"), lambda x: F.split(x, " ")), lambda w: F.size(w) > 7), F.lit(0))
+    said = lambda at, n: F.array_join(F.slice("w", at, n), " ")
+    return p, p.select("page_id", words.alias("w")).where("w IS NOT NULL").select("page_id", F.col("page_id").alias("subject_id"), said(1, 6).alias("name"), said(7, 2).alias("employer"))
 
 
 _SQL_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _SQL_WORDS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
-_PEOPLE = f"""f AS (SELECT page_id, b, string_split(list_filter(b, lambda x: len(string_split(x, ' ')) > 3)[1], ' ') AS w FROM b), n AS (SELECT page_id, b, w[1] || ' ' || w[2] AS name, w[3] || ' ' || w[4] AS employer FROM f WHERE w IS NOT NULL),
+_PEOPLE = f"""f AS (SELECT page_id, b, string_split(list_filter(b, lambda x: len(string_split(x, ' ')) > 7)[1], ' ') AS w FROM b), n AS (SELECT page_id, b, array_to_string(w[1:6], ' ') AS name, w[7] || ' ' || w[8] AS employer FROM f WHERE w IS NOT NULL),
 k AS (SELECT *, CASE WHEN list_has_any({_SQL_WORDS.format('employer')}, {_SQL_LIST(TITLE_CUES)}) THEN [] ELSE list_filter(list_distinct({_SQL_WORDS.format('employer')}), lambda x: length(x) >= 2 AND NOT list_contains({_SQL_LIST(EMPLOYER_STOP)}, x)) END AS keys FROM n)"""
 
 
@@ -164,7 +164,7 @@ o AS (SELECT *, greatest(a - 160, 0) AS lo, least(z + 160, l) AS hi FROM m), s A
 c AS (SELECT *, CASE WHEN lo = 0 THEN 0 WHEN sp = 0 THEN a ELSE lo + sp END AS st, CASE WHEN hi = l OR ep = 0 THEN hi ELSE hi - ep END AS en FROM s)
 SELECT page_id, min(i - 1) AS pos, CASE WHEN l <= 320 THEN v ELSE trim(substr(v, st + 1, en - st), ' ' || chr(10)) END AS win FROM c GROUP BY page_id, 3""")
 def block_proximity(t):
-    """Windows in which pages name a person (two words that they begin with) beside the employer (the two words after)."""
+    """Windows in which pages name a person (six words that they begin with) beside the employer (the two words after)."""
     p, people = _people(t)
     return html.windows(p, "page_id", "text", people).select("page_id", "pos", F.col("window").alias("win"))
 
