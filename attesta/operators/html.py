@@ -99,7 +99,7 @@ def mentions(index: DataFrame, page: str, people: DataFrame) -> DataFrame:
     """(page, subject_id, block, distance): blocks that hold a person's name, word by word, and a word of the employer in
     the same block (distance 0) or the next (1).
 
-    ``index`` is what ``postings`` gives, ``people`` has (subject_id, name, employer). A name is looked up by its first
+    ``index`` is what ``postings`` gives (it is read three times: written down, if pages are many), ``people`` has (subject_id, name, employer). A name is looked up by its first
     ``NAME`` words at once, its further ones at their places; the employer's words only in the blocks beside a name. All
     are equi-joins, so common words meet only where they stand together.
     """

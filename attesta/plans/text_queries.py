@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text, urls
 from ..functions.constants import EMPLOYER_STOP, TITLE_CUES
 from ..operators import claims, dictionary as D, html, layout, panels
+from ..operators.scan import materialised
 from ..sources import readers
 from . import pipelines
 from .registry import Registry
@@ -145,7 +146,7 @@ def page_text(t):
 
 def _people(t):
     """The pages' texts, and for each page a person and employer: the first eight words of its first block of as many."""
-    p = t["pages"].select("page_id", html.page_text("html").alias("text"))
+    p = materialised(t["pages"].select("page_id", html.page_text("html").alias("text")))  # pages are parsed once
     words = F.get(F.filter(F.transform(F.split("text", "\n"), lambda x: F.split(x, " ")), lambda w: F.size(w) > 7), F.lit(0))
     said = lambda at, n: F.array_join(F.slice("w", at, n), " ")
     return p, p.select("page_id", words.alias("w")).where("w IS NOT NULL").select("page_id", F.col("page_id").alias("subject_id"), said(1, 6).alias("name"), said(7, 2).alias("employer"))
@@ -169,14 +170,16 @@ def block_proximity(t):
     return html.windows(p, "page_id", "text", people).select("page_id", "pos", F.col("window").alias("win"))
 
 
-@query(f"""WITH {_BLOCKS}, {_PEOPLE}, p AS (SELECT page_id AS s, ' ' || array_to_string({_SQL_WORDS.format('name')}, ' ') || ' ' AS name, keys FROM k WHERE len(keys) > 0 AND len({_SQL_WORDS.format('name')}) > 0),
+@query(f"""WITH {_BLOCKS}, {_PEOPLE}, p AS (SELECT min(page_id) AS s, ' ' || array_to_string({_SQL_WORDS.format('name')}, ' ') || ' ' AS name, any_value(keys) AS keys FROM k WHERE len(keys) > 0 AND len({_SQL_WORDS.format('name')}) > 0 GROUP BY k.name, employer),
 e AS (SELECT page_id, b, unnest(b) AS x, generate_subscripts(b, 1) AS i FROM b), w AS (SELECT page_id, i, {_SQL_WORDS.format('x')} AS own, {_SQL_WORDS.format("coalesce(b[i + 1], '')")} AS after FROM e),
 v AS (SELECT *, ' ' || array_to_string(own, ' ') || ' ' AS line FROM w)
 SELECT page_id, s AS subject_id, i - 1 AS block, CASE WHEN list_has_any(own, keys) THEN 0 ELSE 1 END AS distance FROM v JOIN p ON contains(line, name) AND (list_has_any(own, keys) OR list_has_any(after, keys))""")
 def co_mentions(t):
-    """Every person of the pages, looked for in all pages: blocks with the name word by word, an employer's word in them or next."""
+    """Every person of the pages (one for each name and employer), looked for in all pages: blocks with the name word by
+    word, an employer's word in them or next."""
     p, people = _people(t)
-    return html.mentions(html.postings(p, "page_id", "text"), "page_id", people.select("subject_id", "name", "employer"))
+    each = people.groupBy("name", "employer").agg(F.min("subject_id").alias("subject_id"))
+    return html.mentions(html.postings(p, "page_id", "text"), "page_id", each)
 
 
 @query("""WITH d AS (SELECT o_orderkey AS doc, 'Engineer ' || o_custkey AS title, 'Firm ' || (o_custkey % 50) AS firm, o_orderkey % 3 AS kind FROM orders)
