@@ -24,7 +24,7 @@ def alias_lookup(terms: DataFrame) -> DataFrame:
     return terms.select(normalise_key("alias").alias("key"), "name", "ord").groupBy("key").agg(F.max_by("name", "ord").alias("name"))
 
 
-def _filter(texts: DataFrame, c: str) -> Column:
+def fixed_filter(texts: DataFrame, c: str) -> Column:
     """A filter of the column's texts as an array of flags, made by an aggregate and handed on as a scalar.
 
     Flags are gathered as words of 64 bits and spread in the one row: a lookup is then one access, and takes its text once.
@@ -36,7 +36,7 @@ def _filter(texts: DataFrame, c: str) -> Column:
     return every.select("i", flags.alias("f")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "f"))), lambda x: x["f"])).alias("flags")).scalar()
 
 
-def _may_hold(flags: Column, c: Column) -> Column:
+def may_hold(flags: Column, c: Column) -> Column:
     """False only for texts that the filter wasn't made of."""
     return F.get(flags, F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")) == 1
 
@@ -47,13 +47,13 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, dim: DataFrame) -> Dat
     A row for each word with the two after it; words that begin no key go, by a filter of the keys' first letters, before
     any key is made, and windows by a filter of whole keys. Both filters have one size; what they let through is joined.
     """
-    begins = _filter(dim.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(BEGIN)), lambda n: F.substr("key", F.lit(1), n))).alias("b")), "b")
-    held = _filter(dim.select("key"), "key")
+    begins = fixed_filter(dim.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(BEGIN)), lambda n: F.substr("key", F.lit(1), n))).alias("b")), "b")
+    held = fixed_filter(dim.select("key"), "key")
     every = docs.select(id_col, words(text_col).alias("_w")).select(id_col, F.posexplode(F.arrays_zip(*[F.slice("_w", F.lit(i + 1), F.size("_w")).alias(f"w{i}") for i in range(LONGEST)])).alias("place", "_z"))
-    first = every.where(_may_hold(begins, F.substring(folded(F.col("_z.w0")), 1, BEGIN)))
+    first = every.where(may_hold(begins, F.substring(folded(F.col("_z.w0")), 1, BEGIN)))
     said = [folded(F.col(f"_z.w{i}")) for i in range(LONGEST)]
     made = first.select(id_col, "place", F.posexplode(F.array(*[F.concat(*said[:k]) for k in range(LONGEST, 0, -1)])).alias("stage", "key"))
-    return made.where((F.col("key") != "") & _may_hold(held, F.col("key")))
+    return made.where((F.col("key") != "") & may_hold(held, F.col("key")))
 
 
 def terms_in_text(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:

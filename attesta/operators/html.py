@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 
 from ..functions.constants import EMPLOYER_STOP, TITLE_AFTER, TITLE_CUES
 from ..functions.text import bound, col, employer_keys, signal_tokens, strings
+from .dictionary import fixed_filter, may_hold
 from .htmltree import blocks_of
 
 AROUND = 160  #: characters kept on either side of a name in a long window
@@ -101,18 +102,22 @@ def mentions(index: DataFrame, page: str, people: DataFrame) -> DataFrame:
 
     ``index`` is what ``postings`` gives (it is read three times: written down, if pages are many), ``people`` has (subject_id, name, employer). A name is looked up by its first
     ``NAME`` words at once, its further ones at their places; the employer's words only in the blocks beside a name. All
-    are equi-joins, so common words meet only where they stand together.
+    are equi-joins, so common words meet only where they stand together; filters of a fixed size keep words of the index
+    that no person has from being shuffled.
     """
+    within = lambda rows, c: may_hold(fixed_filter(rows, c), F.col(c))
     # the names
     who = people.select("subject_id", F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: w != "").alias("_n"), keys_of("employer").alias("_keys")).where((F.size("_n") > 0) & (F.size("_keys") > 0))
     head = who.select("subject_id", F.size("_n").alias("_size"), F.least(F.size("_n"), F.lit(NAME)).alias("_k"), F.array_join(F.slice("_n", 1, NAME), " ").alias("_head"))
     gram = F.concat(F.array("word"), "after")
     grams = F.transform(F.sequence(F.lit(1), F.size(gram)), lambda k: F.struct(k.alias("_k"), F.array_join(F.slice(gram, F.lit(1), k), " ").alias("_head")))
-    hits = index.select(page, "block", "place", F.inline(grams)).join(head, ["_k", "_head"]).select("subject_id", page, "block", "place", "_size")
-    further = hits.where(F.col("_size") > NAME).join(who.select("subject_id", F.posexplode("_n").alias("_at", "word")).where(F.col("_at") >= NAME), "subject_id").withColumn("place", F.col("place") + F.col("_at"))
-    held = further.join(index.select(page, "block", "place", "word"), [page, "block", "place", "word"]).groupBy("subject_id", page, "block", (F.col("place") - F.col("_at")).alias("place"), "_size").agg(F.count("*").alias("_held"))
+    hits = index.select(page, "block", "place", F.inline(grams)).where(within(head, "_head")).join(head, ["_k", "_head"]).select("subject_id", page, "block", "place", "_size")
+    later = who.select("subject_id", F.posexplode("_n").alias("_at", "word")).where(F.col("_at") >= NAME)
+    further = hits.where(F.col("_size") > NAME).join(later, "subject_id").withColumn("place", F.col("place") + F.col("_at"))
+    held = further.join(index.select(page, "block", "place", "word").where(within(later, "word")), [page, "block", "place", "word"]).groupBy("subject_id", page, "block", (F.col("place") - F.col("_at")).alias("place"), "_size").agg(F.count("*").alias("_held"))
     named = hits.where(F.col("_size") <= NAME).select("subject_id", page, "block").unionByName(held.where(F.col("_held") == F.col("_size") - NAME).select("subject_id", page, "block")).distinct()
     # their employers, beside them
-    beside = named.join(who.select("subject_id", F.explode("_keys").alias("word")), "subject_id").select("subject_id", page, "word", F.col("block").alias("_at"), F.explode(F.array(F.lit(0), F.lit(1))).alias("distance"))
-    near = beside.withColumn("block", F.col("_at") + F.col("distance")).join(index.select(page, "block", "word").distinct(), [page, "block", "word"])
+    known = who.select("subject_id", F.explode("_keys").alias("word"))
+    beside = named.join(known, "subject_id").select("subject_id", page, "word", F.col("block").alias("_at"), F.explode(F.array(F.lit(0), F.lit(1))).alias("distance"))
+    near = beside.withColumn("block", F.col("_at") + F.col("distance")).join(index.select(page, "block", "word").where(within(known, "word")).distinct(), [page, "block", "word"])
     return near.groupBy(page, "subject_id", F.col("_at").alias("block")).agg(F.min("distance").alias("distance"))
