@@ -1,13 +1,15 @@
 """Token ids in Arrow stream files of fixed-size-list batches.
 
-Documents, ascending by id, form one stream of ids: each document's, then the end id. A range of about ``FILE``
-documents, whatever the size of the corpus, makes one file: an Arrow IPC stream without compression whose batches hold ``ROWS`` sequences of ``LENGTH`` ids (16 bits where
-the vocabulary allows) and their masks; the last sequence is filled up with masked zeros. All full batches take
-the same number of bytes, so that ``TokenFile`` maps the file and cuts sequence i out at a computed place, without
-copying. A second stream beside it, the index, holds (doc_id, start in the file, n_tokens).
-
-Encoding runs the tokenizers library over the distinct space-separated chunks of a batch and keeps their ids in a
-bounded cache. Chunks are joined by a special token of the tokenizer, at which the library splits before anything else,
+Documents, ascending by id, form one stream of ids: each document's, then the end id. A task takes a range of about
+``SHARD`` documents and writes it to files one after another: a file ends with the document that brings it to
+``FILE_IDS`` ids, so it has less than that many and one document's more, however long documents are. A file is an Arrow
+IPC stream without compression whose batches hold ``ROWS`` sequences of ``LENGTH`` ids (16 bits where the vocabulary
+allows) and their masks; the last sequence is filled up with masked zeros. All full batches take the same number of
+bytes, so that ``TokenFile`` maps the file and cuts sequence i out at a computed place, without copying. A second stream
+beside it, the index, holds (doc_id, start in the file, n_tokens).
+
+Encoding runs the tokenizers library over the distinct space-separated chunks of texts of about ``SLICE`` characters
+together and keeps their ids in a cache that is bounded in chunks and in characters. Chunks are joined by a special token of the tokenizer, at which the library splits before anything else,
 so one call encodes many and its id tells them apart; words of ASCII letters are joined by spaces, as the tokens that end
 a word tell them apart. That gives the ids of the whole text only for a tokenizer that drops white space and merges within
 words; for others, pass ``chunked=False``.
@@ -34,8 +36,10 @@ from .common import scratch, short_batches, table, written
 
 LENGTH = 2048  #: ids in a sequence
 ROWS = 64  #: sequences in a batch
-FILE, SHARE = 32_768, 1024  #: documents that make a file; small corpora still share cores by the second
-CACHE = 800_000  #: chunks whose ids a worker keeps
+SHARD, SHARE = 32_768, 1024  #: documents that a task takes; small corpora still share cores by the second
+FILE_IDS = 1 << 26  #: ids that end a file: 128 MB where ids have 16 bits
+SLICE = 2_000_000  #: characters of texts that are split into chunks together
+CACHE, CACHE_CHARS = 800_000, 16_000_000  #: chunks whose ids a worker keeps, and their characters
 
 
 class Encoder:
@@ -56,6 +60,7 @@ class Encoder:
             self.ends_word[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.marks = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special), reverse=True)
         self.cache: dict[str, bytes] = {}
+        self.cached = 0  # characters
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -80,13 +85,24 @@ class Encoder:
         return [raw[a * width : b * width] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.chunked:
-            return self._encode(texts)
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
+                size += len(texts[end])
+                end += 1
+            out += self._encode_chunks(texts[at:end]) if self.chunked else self._encode(texts[at:end])
+            at = end
+        return out
+
+    def _encode_chunks(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE:
+        if len(self.cache) > CACHE or self.cached > CACHE_CHARS:
             self.cache.clear()
+            self.cached = 0
         missing = list(set().union(*split).difference(self.cache))
         every = "\n".join(missing)  # no chunk holds a line end
+        self.cached += len(every)
         marked = [c for c in missing if any(m in c for m in self.marks)] if any(m in every for m in self.marks) else []
         self.cache.update(zip(marked, self._encode(marked), strict=True))
         missing = list(set(missing).difference(marked)) if marked else missing
@@ -206,44 +222,64 @@ class TokenFile:
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, chunked: bool = True, length: int = LENGTH) -> DataFrame:
-    """Writes (doc_id, text) rows; a row for each file: shard, path, n_docs, n_tokens."""
+class _File:
+    """A file of sequences and its index."""
+
+    def __init__(self, path: str, dtype: np.dtype, length: int):
+        self.path, self.n_docs, self.n_ids = path, 0, 0
+        self.out, self.sink = _Writer(path, dtype, length), files.create(path + ".index")
+        self.index = pa.ipc.new_stream(self.sink, INDEX)
+
+    def add(self, ids: pa.Array, coded: list[bytes], sizes: np.ndarray) -> None:
+        """``coded`` with their end ids."""
+        for c in coded:
+            self.out.add(c)
+        starts = self.n_ids + np.cumsum(sizes) - sizes
+        self.index.write_batch(pa.record_batch([ids, pa.array(starts), pa.array(sizes)], schema=INDEX))
+        self.n_docs, self.n_ids = self.n_docs + len(ids), self.n_ids + int(sizes.sum())
+
+    def close(self, shard: int, part: int) -> pa.RecordBatch:
+        self.index.close()
+        self.sink.close()
+        if self.out.close() != self.n_ids:
+            raise ValueError("the index and the file differ")
+        return pa.RecordBatch.from_pydict({"shard": [shard], "part": [part], "path": [self.path], "n_docs": [self.n_docs], "n_tokens": [self.n_ids]})
+
+
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, chunked: bool = True, length: int = LENGTH, file_ids: int = FILE_IDS) -> DataFrame:
+    """Writes (doc_id, text) rows; a row for each file: shard, part (its place in the shard), path, n_docs, n_tokens."""
     short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
     total = docs.count()
-    n = max(1, -(-total // FILE), min(8 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // SHARE)))
+    n = max(1, -(-total // SHARD), min(8 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // SHARE)))
     rows = rows.repartitionByRange(int(n), "doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, path = encoder(tokenizer, chunked), f"{folder}/{files.attempt_name()}.arrows"
+        enc, shard, part, file = encoder(tokenizer, chunked), TaskContext.get().partitionId(), 0, None
         end = np.array([end_id], enc.dtype).tobytes()
-        out, sink, n_docs, start = None, None, 0, 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            if out is None:
-                out, sink = _Writer(path, enc.dtype, length), files.create(path + ".index")
-                index = pa.ipc.new_stream(sink, INDEX)
-            coded = enc(b.column(1).to_pylist())
-            sizes = np.array([len(c) // enc.dtype.itemsize + 1 for c in coded], np.int64)
-            for c in coded:
-                out.add(c + end)
-            starts = start + np.cumsum(sizes) - sizes
-            index.write_batch(pa.record_batch([b.column(0), pa.array(starts), pa.array(sizes)], schema=INDEX))
-            start, n_docs = start + int(sizes.sum()), n_docs + b.num_rows
-        if out is not None:
-            index.close()
-            sink.close()
-            if out.close() != start:
-                raise ValueError("the index and the file differ")
-            yield pa.RecordBatch.from_pydict({"shard": [TaskContext.get().partitionId()], "path": [path], "n_docs": [n_docs], "n_tokens": [start]})
-
-    return rows.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long")
+            coded = [c + end for c in enc(b.column(1).to_pylist())]
+            sizes = np.array([len(c) // enc.dtype.itemsize for c in coded], np.int64)
+            ends, at = np.cumsum(sizes), 0
+            while at < len(coded):
+                if file is None:
+                    file = _File(f"{folder}/{files.attempt_name()}.arrows", enc.dtype, length)
+                before = int(ends[at] - sizes[at])
+                to = min(int(np.searchsorted(ends, before + file_ids - file.n_ids)) + 1, len(coded))
+                file.add(b.column(0)[at:to], coded[at:to], sizes[at:to])
+                at = to
+                if file.n_ids >= file_ids:
+                    yield file.close(shard, part)
+                    file, part = None, part + 1
+        if file is not None:
+            yield file.close(shard, part)
+
+    return rows.mapInArrow(run, "shard long, part long, path string, n_docs long, n_tokens long")
 
 
 def read(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files of ``manifest``; the manifest has one row for each file."""
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

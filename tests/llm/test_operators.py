@@ -449,7 +449,7 @@ def test_token_files_round_trip(spark):
         at += len(ids)
         stream += ids.tolist()
     seen = []
-    for row in manifest.orderBy("shard").collect():
+    for row in manifest.orderBy("shard", "part").collect():
         f = tokenfiles.TokenFile(row.path)
         for i in itertools.count():
             try:
@@ -462,6 +462,29 @@ def test_token_files_round_trip(spark):
     assert tokenfiles.read(written(tokenfiles.write(df.where("false"), folder, path, 1), "manifest")).count() == 0
 
 
+def test_token_files_are_bounded(spark, monkeypatch):
+    """A file ends with the document that brings it to its bound; slices and a cleared cache change no id."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["one two three " * (i % 7) for i in range(60)] + ["four five " * 300] + ["x"] * 40
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    rows = docs(spark, texts)
+    folder, last = scratch(spark, "tokens"), max(map(len, want))
+    manifest = written(tokenfiles.write(rows, folder, path, 1, length=16, file_ids=100), "manifest")
+    found = manifest.orderBy("shard", "part").collect()
+    assert len(found) > 5 and sum(r.n_docs for r in found) == len(texts) and sum(r.n_tokens for r in found) == sum(map(len, want))
+    assert all(r.n_tokens < 100 + last for r in found) and all(r.n_tokens >= 100 for r in found[:-1] if (r.shard, r.part + 1) in {(x.shard, x.part) for x in found})
+    assert np.concatenate([x for r in found for x in tokenfiles.TokenFile(r.path).ids()]).tolist() == [i for w in want for i in w]
+    got = {r.doc_id: r for r in tokenfiles.read(manifest).collect()}
+    assert [got[i].start for i in range(len(texts))] == [sum(map(len, want[:i])) for i in range(len(texts))]
+    monkeypatch.setattr(tokenfiles, "SLICE", 50)
+    monkeypatch.setattr(tokenfiles, "CACHE_CHARS", 5)
+    coded = tokenfiles.Encoder(path)(texts)
+    assert [np.frombuffer(c, "<u2").tolist() for c in coded] == [w[:-1] for w in want]
+
+
 def test_token_file_access_copies_nothing(tmp_path):
     w = tokenfiles._Writer(f"file://{tmp_path}/x", np.dtype("<u2"), 8, 2)
     for i in range(9):
