@@ -2,13 +2,22 @@
 
 Texts are split by the tokenizer's pattern. The distinct words of a batch that aren't cached become token-position
 rows (word and position in one id, tok), at first a row for each byte. A recursive query joins neighbouring rows with the merge
-table (left, right, rank), which holds every split of every token, and contracts each word's leftmost pair of least
-rank until none is left. Its table is keyed by position: a step writes the changed positions only, and looks only at
-words that the step before has changed, so a word of any length takes space in proportion to it.
-
-Where the leftmost pair of least rank occurs again in the word, a step contracts these occurrences too, from left to
+table (left, right, rank), which holds every split of every token, and contracts leftmost pairs of least rank until
+none is left. Its table is keyed by position: a step writes the changed positions only, and looks only at words that
+the step before has changed, so a word of any length takes space in proportion to it.
+
+A step contracts the leftmost pair of least rank of each word, and every other pair that is so among all that can reach
+it: what happens further off can't touch it first. A pair is reached through tokens that hold bytes of it, and a token has
+at most L bytes (the longest one made of the batch's bytes). So a pair that is the least among those that begin within
+NEAR x L bytes of it would be contracted later in any case, with the same neighbours: L bytes are what can change its
+tokens, L more what its new token can lead to at lower ranks, and L keep two such pairs of one step apart. The steps of a
+word thus don't grow with its length. Words of at most NEAR x L bytes are within reach as a whole, so there the least is
+an aggregate by word; for longer ones it is a window by position.
+
+Where such a pair of least rank occurs again within reach, a step contracts these occurrences too, from left to
 right and without overlaps: they would be the next ones, as long as the token that they make can't begin or end a
-token of lower rank. Pairs whose token can (``alone``) are contracted one at a time.
+token of lower rank, and none of their overlapping run has lower ranks within its own reach. Pairs whose token can
+(``alone``) are contracted only as the leftmost.
 
 Decoding joins id-position rows with the vocabulary; an ordered string aggregate puts the bytes of each document
 back together.
@@ -36,6 +45,7 @@ TEXT_CHARS = 1_500_000  #: characters of texts whose new words are learnt togeth
 CACHE = 300_000  #: words whose ids a worker keeps, and as many older ones
 DECODE_TOKENS = 1_000_000  #: tokens that one decoding query takes
 MEMORY = "400MB"
+NEAR = 3  #: longest tokens between a pair and what can't reach it
 
 _ENCODE = """
 WITH RECURSIVE t(id, tok) USING KEY (id) AS (
@@ -44,16 +54,30 @@ WITH RECURSIVE t(id, tok) USING KEY (id) AS (
   (WITH n AS (
     SELECT id, tok, lead(tok) OVER w AS after, lead(id) OVER w AS next FROM recurring.t
     WHERE tok >= 0 AND id >> 32 IN (SELECT id >> 32 FROM t) WINDOW w AS (ORDER BY id)),
-  p AS (SELECT n.id, n.next, m.rank, m.alone FROM n JOIN merges m ON n.tok = m.l AND n.after = m.r WHERE n.next >> 32 = n.id >> 32),
-  b AS (SELECT id >> 32 AS word, min(rank) AS least, arg_min(id, (rank << 32) | (id & 4294967295)) AS leftmost FROM p GROUP BY 1),
-  c AS (
-    SELECT p.*, b.leftmost, row_number() OVER w AS nth, lag(next) OVER w = id AS tied
-    FROM p JOIN b ON p.id >> 32 = b.word AND p.rank = b.least WINDOW w AS (ORDER BY id)),
-  r AS (SELECT *, max(CASE WHEN tied IS NOT TRUE THEN nth END) OVER (ORDER BY id) AS run FROM c),
-  d AS (SELECT id, next, rank FROM r WHERE CASE WHEN alone THEN id = leftmost ELSE (nth - run) % 2 = 0 END)
+  p AS (
+    SELECT n.id, n.next, m.rank, m.alone, (m.rank << 32) | (n.id & 4294967295) AS place
+    FROM n JOIN merges m ON n.tok = m.l AND n.after = m.r WHERE n.next >> 32 = n.id >> 32),
+  {pairs},
+  r AS (
+    SELECT *, max(CASE WHEN tied IS NOT TRUE THEN nth END) OVER w AS run, max(CASE WHEN least >> 32 < rank THEN nth END) OVER w AS late
+    FROM c WINDOW w AS (ORDER BY id)),
+  d AS (
+    SELECT id, next, rank FROM r
+    WHERE CASE WHEN alone THEN place = least ELSE least >> 32 = rank AND (nth - run) % 2 = 0 AND coalesce(late < run, true) END)
   SELECT id, rank FROM d UNION ALL SELECT next, -1 FROM d))
 SELECT id >> 32 AS word, tok FROM t WHERE tok >= 0 ORDER BY id
 """
+# pairs with the least (rank, position) of what can reach them: of the word, where no word is longer than that, or nearby
+_OF_WORD = """
+  b AS (SELECT id >> 32 AS word, min(place) AS least FROM p GROUP BY 1),
+  c AS (
+    SELECT p.*, b.least, row_number() OVER w AS nth, lag(next) OVER w = id AS tied
+    FROM p JOIN b ON p.id >> 32 = b.word AND p.rank = b.least >> 32 WINDOW w AS (ORDER BY id))"""
+_NEARBY = """
+  c AS (
+    SELECT *, row_number() OVER w AS nth, lag(next) OVER w = id AND lag(rank) OVER w = rank AS tied,
+      min(place) OVER (ORDER BY id RANGE BETWEEN {before} PRECEDING AND {behind} FOLLOWING) AS least
+    FROM p WINDOW w AS (ORDER BY id))"""
 _DECODE = "SELECT doc, string_agg(v.bytes, '' ORDER BY pos) AS bytes FROM ids JOIN vocabulary v USING (tok) GROUP BY doc"
 
 
@@ -72,6 +96,8 @@ class Coder:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.longest = sorted(self.ranks, key=len, reverse=True)
+        self.near = NEAR * len(self.longest[0])
         rows = [
             (left, right, rank)
             for token, rank in self.ranks.items()
@@ -99,12 +125,21 @@ class Coder:
             "tok": pa.array(self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]),
         })
         self.db.register("start", start)
-        out = self.db.execute(_ENCODE).fetchnumpy()
+        pairs = _OF_WORD
+        if sizes.max() > self.near:
+            reach = self._reach(words)
+            pairs = _NEARBY.format(before=NEAR * reach, behind=(NEAR + 1) * reach)
+        out = self.db.execute(_ENCODE.format(pairs=pairs)).fetchnumpy()
         self.db.unregister("start")
         cuts = (4 * np.searchsorted(out["word"], np.arange(len(words) + 1))).tolist()
         raw = out["tok"].astype("<u4").tobytes()
         return [raw[a:b] for a, b in itertools.pairwise(cuts)]
 
+    def _reach(self, words: list[bytes]) -> int:
+        """Bytes of the longest token that consists of bytes of ``words``."""
+        found = set().union(*words)
+        return next((len(t) for t in self.longest if found.issuperset(t)), 1)
+
     def learn(self, words: list[str]) -> None:
         open_ = []
         for w in words:
@@ -117,7 +152,7 @@ class Coder:
         at = 0
         while at < len(open_):
             end, size = at, 0
-            while end < len(open_) and (end == at or size + open_[end][0] <= STEP_BYTES):
+            while end < len(open_) and (end == at or size + open_[end][0] <= STEP_BYTES and (open_[at][0] > self.near or open_[end][0] <= self.near)):
                 size += open_[end][0]
                 end += 1
             coded = self._contract([raw for _, _, raw in open_[at:end]])

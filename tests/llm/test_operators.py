@@ -70,6 +70,25 @@ def test_bpe_one_pair_at_a_time():
         assert np.frombuffer(ids, "<u4").tolist() == [c.ranks[p] for p in parts]
 
 
+def test_bpe_long_words_by_reach():
+    """Words beyond the reach of a pair against the library: every alphabet, runs of all parities, tokens of lower rank."""
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    c = bpe.Coder(path, P.PATTERN)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
+    r = random.Random(11)
+    tokens = [t.decode() for t in c.ranks if t.isalpha() and t.isascii()]
+    early = {n for (n,) in c.db.execute("SELECT DISTINCT rank FROM merges WHERE alone").fetchall()}
+    lone = [t.decode() for t, n in c.ranks.items() if n in early and t.isalpha() and t.isascii()][:400]
+    words = ["".join(r.choice(a) for _ in range(n)) for a in ("abcdefghijklmnopqrstuvwxyz", "aabething", "xy", "字é", "กขคงจ", "абвгдеёжз") for n in (150, 700, 3000)]
+    words += ["".join(r.choices(p, k=400)) for p in (tokens, lone, tokens[:60], sorted(lone)[:7]) for _ in range(6)]
+    words += ["".join(r.choice("abe") * r.randint(1, 60) for _ in range(60)) for _ in range(8)] + ["a" * n for n in range(100, 140)]
+    assert all(len(w.encode()) > c.near for w in words)
+    for w, ids in zip(words, c.encode(words), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(w)
+
+
 def test_toxicity_learns_and_spares(spark):
     r = random.Random(1)
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
