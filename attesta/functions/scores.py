@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 from .constants import DECIMALS, DEPTH_CAP, LABELS, SENIORITY_SLACK_YEARS
 
 
+def rounded(c: Column, decimals: int = DECIMALS) -> Column:
+    """A double rounded as SQL engines do: the scaled value to a whole one.
+
+    Spark's own rounding goes by the shortest decimal of the double, so the two part where a half is no double.
+    """
+    scale = float(10**decimals)
+    return F.round(c * scale) / scale
+
+
 def clamp(c: Column) -> Column:
-    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)), DECIMALS)
+    return rounded(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)))
 
 
 def depth(volume: Column, cap: float = DEPTH_CAP) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..functions.constants import BANNED, COMPONENTS, DECIMALS, DEPTH_CAP, NICE_WEIGHT, NONE_HELD_FACTOR, PROFILES, SCORER_VERSION, TIERS, WEIGHTS
+from ..functions.constants import BANNED, COMPONENTS, DEPTH_CAP, NICE_WEIGHT, NONE_HELD_FACTOR, PROFILES, SCORER_VERSION, TIERS, WEIGHTS
 from ..functions.text import banned_signal
 from ..functions.timefn import days_between, decay
 from . import scan
@@ -122,7 +122,7 @@ def evaluate(requirements: DataFrame, claims: DataFrame, as_of: Column, pairs: D
         rows = rows.join(weights.select("profile", "version", *[f"w_{c}" for c in COMPONENTS]), "profile")
         w = {c: F.col(f"w_{c}") for c in COMPONENTS}
     score = sum((w[c] * F.col(c) for c in COMPONENTS), F.lit(0.0))
-    score = F.round(F.when((F.size("must_have") > 0) & (F.size("must_held") == 0), score * NONE_HELD_FACTOR).otherwise(score), DECIMALS)
+    score = scores.rounded(F.when((F.size("must_have") > 0) & (F.size("must_held") == 0), score * NONE_HELD_FACTOR).otherwise(score))
     g = gates(as_of)
     out = rows.select("req_id", "subject_id", *COMPONENTS, "seniority_basis", F.col("version").alias("weights_version"), score.alias("score"), *[c.alias(n) for n, c in g.items()])
     failed = [F.startswith(F.col(n), F.lit("fail")) for n in g]
