@@ -625,11 +625,12 @@ def ambiguous_layouts(t):
 
 def _pages(t):
     """A page of each customer: no end of head, an svg, the name twice, the title only where it is named again."""
+    customers = t["customer"].select("c_custkey", "c_nationkey").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")  # a few MB of keys, so one task or two, make pages that take far longer to read
     k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
     head = F.lit("<html><head><title>no</title><style>p{}</style><body><svg><title>no</title></svg><p>one <i>of</i> many<table>")
     again = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(". Person "), k, F.lit(" - Head of Data."))).otherwise(".")
     body = F.concat(head, F.lit("<tr><td>Person "), k, F.lit(", our own 1st"), again, F.lit("<td>Works at Firm"), n, F.lit(" &amp; co</table><script>var a='<p>'</script><div>Person "), k, F.lit(" left Firm"), n, F.lit("x</div>"))
-    return t["customer"].select("c_custkey", html.page_text(body).alias("text")), t["customer"].select("c_custkey", F.col("c_custkey").alias("subject_id"), F.concat(F.lit("person "), k).alias("name"), F.concat(F.lit("Firm"), n, F.lit(" Pvt Ltd")).alias("employer"))
+    return html.with_text(customers, "c_custkey", body), customers.select("c_custkey", F.col("c_custkey").alias("subject_id"), F.concat(F.lit("person "), k).alias("name"), F.concat(F.lit("Firm"), n, F.lit(" Pvt Ltd")).alias("employer"))
 
 
 _OWN = "'Person ' || c_custkey || ', our own 1st' || CASE WHEN c_custkey % 2 = 0 THEN '. Person ' || c_custkey || ' - Head of Data.' ELSE '.' END"
