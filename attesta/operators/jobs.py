@@ -60,8 +60,14 @@ def pending(jobs: DataFrame, kinds: DataFrame) -> DataFrame:
 
 
 def noted(jobs: DataFrame, notes: DataFrame) -> DataFrame:
-    """Jobs with their newest note (id, note, noted_at), cut to what the column holds."""
-    last = notes.groupBy("id").agg(F.max_by(F.substring("note", 1, NOTE_CHARS), F.struct("noted_at", "note")).alias("note"))
+    """Jobs with their newest note (id, note, noted_at), cut to what the column holds; of notes of one time, the greatest.
+
+    Newest times are found first, from ids and times alone, so that notes are sorted only where they are joined; they are
+    cut before, as the greatest note begins with the greatest beginning.
+    """
+    newest = notes.groupBy("id").agg(F.max("noted_at").alias("_newest"))
+    cut = notes.select(F.col("id").alias("_id"), F.col("noted_at").alias("_at"), F.substring("note", 1, NOTE_CHARS).alias("note"))
+    last = cut.join(newest, (F.col("_id") == F.col("id")) & F.col("_at").eqNullSafe(F.col("_newest"))).groupBy("id").agg(F.max("note").alias("note"))
     return jobs.join(last, "id", "left")
 
 
