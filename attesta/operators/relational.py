@@ -132,14 +132,16 @@ def throttled(df: DataFrame, keys: list[str], ts: str, seconds: float, tie: str)
 def union_years(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """(key, days, years): the union of each key's intervals, years floored to one decimal.
 
-    A scan by the year that intervals begin in: each row adds what lies beyond the furthest end so far.
+    Days are bits of words of 64, so that the union is one aggregate; an interval is a row for each word that it touches.
+    An interval that ends before it begins counts nothing; one without an end is unknown, one without a start goes.
     """
-    out = scanned(
-        df.select(key, start, end), [key], [start, end], F.year(start), [{"_own": lambda w: F.max(end).over(past(w))}], {"_top": F.max(end)}, [{"_prior": lambda w: F.max("_top").over(past(w))}]
-    )
-    reach = F.greatest("_own", "_prior")
-    added = F.when(reach.isNull() | (F.col(start) > reach), F.datediff(end, start)).when(F.col(end) > reach, F.datediff(F.col(end), reach)).otherwise(0)
-    return out.groupBy(key).agg(F.sum(added).alias("days")).withColumn("years", F.floor(F.col("days") / F.lit(365.25) * 10) / 10.0)
+    a, z = (F.unix_date(F.col(c).cast("date")) for c in (start, end))
+    first = F.floor(a / 64).cast("int")
+    touched = df.where(F.col(start).isNotNull()).select(key, a.alias("_a"), z.alias("_z"), F.explode(F.sequence(first, F.coalesce(F.greatest(first, F.floor((z - 1) / 64).cast("int")), first))).alias("_word"))
+    lo, hi = F.greatest(F.col("_a") - F.col("_word") * 64, F.lit(0)), F.least(F.col("_z") - F.col("_word") * 64, F.lit(64))
+    bits = F.when(F.col("_z") > F.col("_a"), F.call_function("shiftleft", F.expr("-1L"), lo).bitwiseAND(F.call_function("shiftrightunsigned", F.expr("-1L"), 64 - hi))).when(F.col("_z").isNotNull(), F.expr("0L"))
+    held = touched.select(key, "_word", bits.alias("_bits")).groupBy(key, "_word").agg(F.bit_or("_bits").alias("_bits"))
+    return held.groupBy(key).agg(F.sum(F.bit_count("_bits")).alias("days")).withColumn("years", F.floor(F.col("days") / F.lit(365.25) * 10) / 10.0)
 
 
 def window_frees_at(df: DataFrame, keys: list[str], ts: str, as_of: Column, hours: int) -> DataFrame:

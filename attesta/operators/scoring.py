@@ -29,7 +29,8 @@ def wanted_terms(requirements: DataFrame) -> DataFrame:
 def components(requirements: DataFrame, claims: DataFrame, as_of: Column, pairs: DataFrame, depth_cap: float = DEPTH_CAP) -> DataFrame:
     """Facts and components of each pair (req_id, subject_id): the subjects that a search attached to a requirement.
 
-    A foreign place is that of the first claim (by claim_id, where claims have one; else by its text). Three aggregates over the claims (by subject and wanted term, by subject, location rows), then joins by subject.
+    A foreign place is that of the first claim (by claim_id, where claims have one; else by its text). Three aggregates over the claims (by subject and wanted term,
+    by subject with values of fixed size only, location rows), then joins by subject.
     """
     usable = claims.where(banned_signal("claim_type", "claim_key", BANNED).isNull())
     artifact = F.col("tier") == "artifact_backed"
@@ -56,10 +57,12 @@ def components(requirements: DataFrame, claims: DataFrame, as_of: Column, pairs:
         F.min(F.when(artifact, F.col("observed_at"))).alias("earliest"),
         F.max(F.when(F.col("claim_type") == "experience_years", F.col("value_num"))).alias("stated_years"),
         F.max(F.when(F.col("claim_type") == "availability", 1.0).otherwise(0.0)).alias("available"),
-        F.array_sort(F.collect_set(F.when(F.col("claim_type") == "location", F.nullif(F.col("claim_key"), F.lit(""))))).alias("regions_held"),
-        F.min_by(F.trim("claim_value"), F.when((F.col("claim_type") == "location") & names_foreign(F.col("claim_value")), F.struct(*([F.col("claim_id")] if "claim_id" in claims.columns else []), F.trim("claim_value").alias("v")))).alias("foreign_place"),
     )
-    base = pairs.select("req_id", "subject_id").distinct().join(facts, "subject_id", "left").join(skill, ["req_id", "subject_id"], "left").join(requirements, "req_id")
+    places = usable.where("claim_type = 'location'").groupBy("subject_id").agg(
+        F.array_sort(F.collect_set(F.nullif(F.col("claim_key"), F.lit("")))).alias("regions_held"),
+        F.min_by(F.trim("claim_value"), F.when(names_foreign(F.col("claim_value")), F.struct(*([F.col("claim_id")] if "claim_id" in claims.columns else []), F.trim("claim_value").alias("v")))).alias("foreign_place"),
+    )
+    base = pairs.select("req_id", "subject_id").distinct().join(facts, "subject_id", "left").join(places, "subject_id", "left").join(skill, ["req_id", "subject_id"], "left").join(requirements, "req_id")
     total = F.aggregate("must_have", F.lit(0.0), lambda a, _: a + 1.0) + NICE_WEIGHT * F.size(F.array_except("nice_to_have", "must_have"))
     years = F.coalesce("stated_years", days_between(as_of, F.col("earliest")) / F.lit(365.25))
     basis = F.when(F.col("stated_years").isNotNull(), "computed").when(F.col("earliest").isNotNull(), "estimated").otherwise("unknown")
